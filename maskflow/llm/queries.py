@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["op1_token_output", "op2_token_counts", "op3_ngram_jaccard", "op6_sentencepiece"]
+MODULES = ["op1_token_output", "op2_token_counts", "op3_ngram_jaccard", "op6_sentencepiece", "op10_language"]
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
