@@ -43,7 +43,7 @@ CHUNK = 4096
 #: Nodes that every chunk of a large family holds besides its own.
 PIVOTS = 32
 #: A segment of fewer elements is weak: its signature alone would also bring unlike sets together.
-WEAK = 3
+WEAK = 2
 #: The text scan for candidate families gets their ids broadcast up to so many rows, else joins by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -74,7 +74,7 @@ class Threshold:
         """First sizes of the size groups: linked sets lie in the same or in neighbouring groups."""
         firsts = [1]
         while firsts[-1] <= upto:
-            firsts.append(100 * firsts[-1] // self.percent + 1)
+            firsts.append(max(100 * firsts[-1] // self.percent + 1, int(1.3 * firsts[-1])))
         return np.array(firsts, np.int64)
 
     def differ(self, size: int | np.ndarray):
@@ -151,7 +151,7 @@ def signatures(flat: np.ndarray, off: np.ndarray, rule: Threshold) -> tuple[np.n
         if not len(rows):
             continue
         most = rule.differ(firsts[space[rows] + 1] - 1)
-        spare = np.where(most >= 6, 2, 0)
+        spare = np.where(most >= 12, 3, 0)
         parts = most + 1 + spare
         begin = np.concatenate([[0], np.cumsum(parts)])
         elements = np.repeat(rows, size[rows])
@@ -368,7 +368,8 @@ def ngram_jaccard(docs: DataFrame, n: int = 3, percent: int = 90, chunk: int = C
     rows = scanned.select("doc_id", "node", "n_shingles")
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
-    signed = scanned.where("size(sigs) > 0").select("node", F.explode("sigs").alias("sig"))
+    # one exchange, read by the aggregate and by the join
+    signed = scanned.where("size(sigs) > 0").select("node", F.explode("sigs").alias("sig")).repartition("sig")
     heads = signed.groupBy("sig").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head < tail").select("sig", "head")
     stars = signed.join(heads, "sig").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     met = scanned.where("size(links) > 0").select(F.col("node").alias("a"), F.explode("links").alias("b"))
