@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["op1_token_output", "op2_token_counts", "op3_ngram_jaccard", "op4_quality", "op5_chat", "op6_sentencepiece", "op7_toxicity", "op9_ann", "op10_language"]
+MODULES = ["op1_token_output", "op2_token_counts", "op3_ngram_jaccard", "op4_quality", "op5_chat", "op6_sentencepiece", "op7_toxicity", "op8_mixing", "op9_ann", "op10_language"]
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
