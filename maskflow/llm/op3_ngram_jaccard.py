@@ -436,6 +436,20 @@ def _across(sets: DataFrame, sized: DataFrame, edges: DataFrame, rule: Threshold
     return both.groupBy("family", "query_chunk", "at").applyInPandas(search, _EDGES)
 
 
+def one_of_each(docs: DataFrame, joined: DataFrame) -> DataFrame:
+    """The rows of ``docs`` but those whose component has a smaller doc_id; of rows equal in doc_id and text, one."""
+    joined = joined.select("doc_id", "component_id").where("doc_id is not null")
+    others = materialize(joined.where("doc_id <> component_id").select("doc_id").distinct(), "op3-others")
+    again = materialize(joined.groupBy("doc_id").count().where("count > 1").select("doc_id"), "op3-again")
+    sized = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    left = docs.join(sized(others), "doc_id", "left_anti")
+    if again.isEmpty():
+        return left.select(docs.columns)
+    again = sized(again)
+    once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(read_table(spark, sf_dir, "documents"))
 
