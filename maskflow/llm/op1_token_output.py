@@ -11,11 +11,10 @@ by a hash of their text; an empty table gives no rows; other columns are ignored
 
 from __future__ import annotations
 
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_list, read_table, text_slices, work_path
+from .common import arrow_list, hash_words, read_table, text_buffer, text_slices, work_path
 
 END_ID = 2
-#: Distinct units (a space and what follows it up to the next) whose ids a worker keeps; the ids of further ones last for one slice.
-MEMO = 600_000
+#: Distinct units of text whose ids a worker keeps (about 40 bytes each); the ids of further ones last for one slice.
+MEMO = 2_000_000
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, token_ids array<int>"
 
 
@@ -41,50 +40,85 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-class UnitEncoder:
-    """Encodes through the tokenizers library, each frequent distinct unit of text once.
+#: 2: ASCII letter, 1: ASCII punctuation, -9: any other byte.
+_KIND = np.array([2 if chr(b).isalpha() and b < 128 else 1 if 33 <= b < 127 and not chr(b).isalnum() else -9 for b in range(256)], np.int8)
+
+
+def unit_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each unit. The byte-level pre-tokenizer always breaks before a single space and around a
+    single line feed between characters that aren't white space, and between an ASCII letter and ASCII punctuation;
+    cut at such places only, a text's ids are its units' ids, joined."""
+    blank = (data == 32) | ((data >= 9) & (data <= 13)) | ((data >= 28) & (data <= 31))
+    if len(data) > 1:  # characters that are, or share two bytes with, white space beyond ASCII
+        lead, then = data[:-1], data[1:]
+        wide = np.flatnonzero(((lead == 0xC2) & ((then == 0x85) | (then == 0xA0))) | ((lead >= 0xE1) & (lead <= 0xE3) & ((then == 0x9A) | (then == 0x80) | (then == 0x81))))
+        for k in range(3):
+            blank[np.minimum(wide + k, len(data) - 1)] = True
+    inner = np.zeros(len(data), bool)
+    alone = np.flatnonzero(((data[1:-1] == 32) | (data[1:-1] == 10)) & ~blank[:-2] & ~blank[2:]) + 1
+    inner[alone] = True
+    inner[alone[data[alone] == 10] + 1] = True
+    inner[1:] |= _KIND[data[:-1]] - _KIND[data[1:]] == 1
+    edge = off[(off > 0) & (off < len(data))]
+    inner[alone[np.isin(alone, edge) | np.isin(alone + 1, edge)]] = False
+    inner[off[:-1][off[:-1] < off[1:]]] = True
+    starts = np.flatnonzero(inner)
+    return starts, np.append(starts[1:], len(data))
 
-    The byte-level pre-tokenizer always breaks before a single space that stands between two characters that
-    aren't white space, so a text's ids are its units' ids, joined. Cuts are made nowhere else.
-    """
 
-    _CUT = re.compile(r"(?<=\S) (?=\S)")
+class UnitEncoder:
+    """Encodes through the tokenizers library, each frequent distinct unit of text once (units are told apart by a
+    64-bit hash)."""
 
     def __init__(self, path: str):
-        self.encode_batch = _tokenizer(path).encode_batch
-        self.first: dict[str, int] = {}
-        self.later: dict[str, int] = {}  # without the space in front
-        self.ids, self.ends = array("i"), array("q", [0])
-
-    def _learn(self, units: dict[str, None], known: dict[str, int], front: str) -> None:
-        new = [u for u in units if u not in known]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for u, e in zip(part, self.encode_batch([front + u for u in part], add_special_tokens=False), strict=True):
-                known[u] = len(self.ends) - 1
-                self.ids.extend(e.ids)
-                self.ends.append(len(self.ids))
-
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        tokenizer = _tokenizer(path)
+        self.encode_batch = tokenizer.encode_batch
+        self.added = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
+        self.known = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes, number of the unit
+        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def _with_added(self, data: np.ndarray, off: np.ndarray) -> set[int]:
+        """Texts that hold the string of an added token."""
+        raw, found = data.tobytes(), set()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                found.add(row := int(np.searchsorted(off, at, side="right")) - 1)
+                at = raw.find(token, int(off[row + 1]))
+        return found
+
+    def _fresh(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = data.tobytes()
+        lists = [e.ids for e in self.encode_batch([raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter(chain.from_iterable(lists), np.int32, sizes.sum()), sizes
+
+    def __call__(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, offset of each text)."""
-        cut = [self._CUT.split(t) for t in texts]
-        was = (len(self.first), len(self.later), len(self.ids), len(self.ends))
-        self._learn(dict.fromkeys(c[0] for c in cut), self.first, "")
-        self._learn(dict.fromkeys(u for c in cut for u in c[1:]), self.later, " ")
-        first, later = self.first, self.later
-        which = np.fromiter((k for c in cut for k in (first[c[0]], *map(later.__getitem__, c[1:]))), np.int64)
-        ids, ends = np.frombuffer(self.ids, np.int32), np.frombuffer(self.ends, np.int64)
-        begin, length = ends[which], ends[which + 1] - ends[which]
-        upto = np.cumsum(length)
-        flat = ids[np.repeat(begin - upto + length, length) + np.arange(upto[-1] if len(upto) else 0)]
-        n_units = np.cumsum([0, *map(len, cut)])
-        off = np.concatenate([[0], upto])[n_units]
-        if was[0] + was[1] >= MEMO:  # the units of this call go again
-            del ids, ends, self.ids[was[2] :], self.ends[was[3] :]
-            for known, n in zip((first, later), was, strict=False):
-                while len(known) > n:
-                    known.popitem()
-        return flat, off
+        starts, ends = unit_bounds(data, off)
+        if whole := self._with_added(data, off):  # the library looks for added tokens before anything else
+            inner = np.isin(np.searchsorted(off, starts, side="right") - 1, list(whole)) & ~np.isin(starts, off)
+            starts = starts[~inner]
+            ends = np.append(starts[1:], len(data))
+        hashes, at, inverse = np.unique(hash_words(data, starts, ends), return_index=True, return_inverse=True)
+        seen, number = self.known
+        place = np.searchsorted(seen, hashes)
+        old = np.zeros(len(hashes), bool)
+        if len(seen):
+            old = seen[np.minimum(place, len(seen) - 1)] == hashes
+        unit = np.empty(len(hashes), np.int64)
+        unit[old] = number[place[old]]
+        unit[~old] = len(self.ends) - 1 + np.arange(np.count_nonzero(~old))
+        ids, sizes = self._fresh(data, starts[at[~old]], ends[at[~old]])
+        ids, upto = np.concatenate([self.ids, ids]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        if len(seen) < MEMO:  # else the new units last for this call only
+            self.known = np.insert(seen, place[~old], hashes[~old]), np.insert(number, place[~old], unit[~old])
+            self.ids, self.ends = ids, upto
+        which = unit[inverse]
+        length = (upto[1:] - upto[:-1])[which]
+        total = np.concatenate([[0], np.cumsum(length)])
+        flat = ids[np.repeat(upto[which] - total[:-1], length) + np.arange(total[-1])]
+        return flat, total[np.searchsorted(starts, off)]
 
 
 @cache
@@ -96,8 +130,8 @@ def _encoder(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, start = _unit_encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for rows in text_slices(batch):
-                ids, ends = encode([t or "" for t in rows.column("text").to_pylist()])
+            for rows in text_slices(batch, limit=4 << 20):
+                ids, ends = encode(*text_buffer(rows.column("text")))
                 n = np.diff(ends) + 1
                 off = np.concatenate([[0], np.cumsum(n)])
                 ids = np.insert(ids, ends[1:], end_id)
