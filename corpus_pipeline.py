@@ -21,14 +21,14 @@ MIX = op8_mixing.Mix(percent=80, epochs=1)
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the labelled neighbours call toxic go."""
     labels = read_table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
-    scored = op7_toxicity.score(docs, op7_toxicity.fit(docs, labels), keep=True)
-    return scored.where("predicted = 0").select(docs.columns)
+    scored = op7_toxicity.score(docs, op7_toxicity.fit(docs, labels), keep=True, prefix="_toxicity_")
+    return scored.where("_toxicity_predicted = 0").select(docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or far from every language, go."""
-    predicted = op10_language.predict(docs, op10_language.fit(docs), keep=True)
-    return predicted.where("not rejected").select(docs.columns)
+    predicted = op10_language.predict(docs, op10_language.fit(docs), keep=True, prefix="_language_")
+    return predicted.where("not _language_rejected").select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents up to the token budgets of the domain-language-source tree stay."""
-    return op8_mixing.mix_documents(docs, MIX).select(docs.columns)
+    return op8_mixing.mix_documents(docs, MIX).select("_row.*")
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

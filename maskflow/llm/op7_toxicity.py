@@ -39,7 +39,7 @@ from .sampling import by_class, fold
 PER_CLASS = (1500, 1000)
 MAX_TERMS, K, BLOCK = 400, 15, 64
 #: Least log-likelihood ratio and least number of toxic examples of a term.
-LEAST_RATIO, LEAST_DOCS = 18.0, 4
+LEAST_RATIO, LEAST_DOCS = 12.0, 3
 #: Characters of an example's text that are kept as evidence.
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -220,10 +220,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     return model
 
 
-def score(docs: DataFrame, model: Model | None, keep: bool = False) -> DataFrame:
+def score(docs: DataFrame, model: Model | None, keep: bool = False, prefix: str = "") -> DataFrame:
     """doc_id, score, predicted and evidence (doc_ids of the nearest examples) of each row; all columns of ``docs``
-    besides, if ``keep``."""
+    besides, if ``keep``; ``prefix`` goes before the new names, where a column has one of them already."""
     columns = docs.columns if keep else ["doc_id"]
+    new = [prefix + c for c in ("score", "predicted", "evidence")]
     held = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # bounded by PER_CLASS and MAX_TERMS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,10 +243,10 @@ def score(docs: DataFrame, model: Model | None, keep: bool = False) -> DataFrame
                 value = np.array([s for s, _ in got], np.float64)
                 yield pa.RecordBatch.from_arrays(
                     [*(rows.column(c) for c in columns), pa.array(value), pa.array((value >= 0.5).astype(np.int32)), pa.array([e for _, e in got], pa.list_(pa.int64()))],
-                    names=[*columns, "score", "predicted", "evidence"],
+                    names=[*columns, *new],
                 )
 
-    kinds = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns), "score double, predicted int, evidence array<bigint>"])
+    kinds = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns), *(f"`{c}` {t}" for c, t in zip(new, ("double", "int", "array<bigint>"), strict=True))])
     return docs.select(*dict.fromkeys([*columns, "text"])).mapInArrow(run, kinds)
 
 

@@ -54,7 +54,8 @@ def _with_leaf(docs: DataFrame, mix: Mix) -> DataFrame:
     """doc_id, n_tokens (words), digest of the text, and the leaf, under names that no input column has."""
     text = "coalesce(text, '')"
     return docs.select(
-        "*",
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"),  # whatever its columns are called
+        "doc_id",
         F.expr(f"cast(size(array_remove(split({text}, '[\\\\x20\\\\x09-\\\\x0D]+'), '')) as bigint)").alias("_n"),
         F.md5(F.expr(text)).alias("_text"),
         F.expr(f"coalesce({mix.domain}, '(none)')").alias("_domain"),
@@ -97,7 +98,8 @@ def budgets(supply: DataFrame, mix: Mix) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, mix: Mix) -> DataFrame:
-    """The rows of ``docs`` that are taken, once for each pass, with _epoch and _taken (tokens of it); and _n and the leaf."""
+    """The rows of ``docs`` that are taken, as struct _row, once for each pass; with _epoch, _taken (tokens of it), _n and
+    the leaf."""
     columns = [f"_{level}" for level in LEVELS]
     marked = _with_leaf(docs, mix)
     small = materialize(marked.select("doc_id", "_n", "_text", *columns), "op8-rows")
