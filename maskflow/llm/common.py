@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.storage import materialize, shared_dir, work_path
+
+__all__ = ["SLICE_BYTES", "SPACES", "arrow_list", "give_back", "hash_words", "lower_ascii", "materialize", "mix", "read_table", "shared_dir", "text_buffer", "text_slices", "word_bounds", "work_path"]
+
 #: White space of every word contract: space and \t \n \v \f \r.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Bytes of text that one vectorised step holds at once; temporaries take about 40 times as much.
@@ -24,31 +24,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` where the cluster names
-    one, else (tests, one machine) a folder of our own that goes when the process ends."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="maskflow-")
-        atexit.register(shutil.rmtree, where, True)
-        where = f"file://{where}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
-def work_path(spark: SparkSession, tag: str) -> str:
-    """A new, unused path in the shared folder. The caller may delete it once its result is consumed."""
-    return os.path.join(shared_dir(spark), f"{tag}-{uuid.uuid4().hex}")
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = work_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -61,6 +36,20 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_
         to = max(at + 1, int(np.searchsorted(off, off[at] + limit, side="right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can: workers live on from task to task."""
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+try:
+    _LIBC: ctypes.CDLL | None = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018
+except (OSError, AttributeError):
+    _LIBC = None
 
 
 def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
