@@ -140,8 +140,8 @@ class ResponseBuffer(StatefulProcessor):
 
     Over a limit, or silent too long, it gives a failure instead and forgets as well; frames after that are refused."""
 
-    def __init__(self, limits: InspectionLimits | None = None):
-        self.limits = limits or InspectionLimits()
+    def __init__(self, limits: InspectionLimits | None = None, timers: bool = True):
+        self.limits, self.timers = limits or InspectionLimits(), timers
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -168,11 +168,11 @@ class ResponseBuffer(StatefulProcessor):
         yield self._out(key, [(-1, "", None, code)] if code else join_frames(held))
 
     def _rearm(self, timer) -> None:
+        if not self.timers:
+            return
         for at in list(self.handle.listTimers() or []):
             self.handle.deleteTimer(at)
-        now = timer.getCurrentProcessingTimeInMs()
-        if now >= 0:
-            self.handle.registerTimer(now + int(self.limits.idle_seconds * 1000))
+        self.handle.registerTimer(timer.getCurrentProcessingTimeInMs() + int(self.limits.idle_seconds * 1000))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.frames.clear()
@@ -189,4 +189,4 @@ class ResponseBuffer(StatefulProcessor):
 
 def buffer_responses(stream: DataFrame, limits: InspectionLimits | None = None, timers: bool = True) -> DataFrame:
     """Whole responses of a live stream of frames (response_id, and the columns of a frame with ``last``)."""
-    return stream.groupBy("response_id").transformWithStateInPandas(statefulProcessor=ResponseBuffer(limits), outputStructType=WHOLE, outputMode="Append", timeMode="ProcessingTime" if timers else "None")
+    return stream.groupBy("response_id").transformWithStateInPandas(statefulProcessor=ResponseBuffer(limits, timers), outputStructType=WHOLE, outputMode="Append", timeMode="ProcessingTime" if timers else "None")
