@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,3 +34,20 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = work_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt over all cores if its scan has fewer partitions than those: a few small files, or one row group.
+
+    Inputs with a partition for each core, as any large one has, are left where they are: no shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+#: Rows up to which a table of keys is broadcast by ``fitted``; beyond, the join shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def fitted(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with a broadcast hint if it has so few rows, as counted."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df

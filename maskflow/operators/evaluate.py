@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import match_spans
+from ..functions.text import match_spans, slice_text
 from .rewrite import token_pattern
 
 
@@ -25,6 +25,12 @@ def leaks(texts: DataFrame, originals: DataFrame, key: str = "doc_id", text: str
     return texts.join(originals.select(key, "original").distinct(), key).where(F.contains(F.col(text), F.col("original")))
 
 
+def row_leaks(rows: DataFrame, protected: str, key: str = "doc_id", text: str = "text", spans: str = "spans") -> DataFrame:
+    """V3 where text, spans and protected text stand in one row: no join."""
+    originals = F.array_distinct(F.transform(spans, lambda s: slice_text(F.col(text), s["start"], s["end"])))
+    return rows.select(key, protected, F.explode(originals).alias("original")).where(F.contains(F.col(protected), F.col("original")))
+
+
 def token_counts(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """V4: distinct tokens of each row and type."""
     some = texts.where(F.contains(F.col(text), F.lit("[[PII_")))

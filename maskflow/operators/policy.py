@@ -11,7 +11,7 @@ from ..plans.model import BOUNDARIES, OUTCOMES, ConfigError, Disclosures, Output
 from ..sources.detect import Detector
 from .jsonval import protect_json, restore_json
 from .resolve import analyze
-from .rewrite import allowed_vault, contains_pii, detokenize, put_replacements, redact, token_ranges, tokenize
+from .rewrite import allowed_vault, apply_puts, contains_pii, detokenize, redact, token_ranges, tokenize
 
 #: Roles of messages, and metadata keys that hold a provider's reasoning.
 ROLES = ("user", "system", "assistant", "tool")
@@ -50,8 +50,7 @@ def disclose(df: DataFrame, vault: DataFrame, policy: Disclosures, session: str,
     some = df.where(F.contains(F.col(text), F.lit("[[PII_")))
     at = token_ranges(some, session, key, text).join(some.select(key, F.col(tool).alias("_tool")), key)
     hits = at.join(scoped.select("session_id", "token", "_tool", F.col("original").alias("put")), ["session_id", "token", "_tool"])
-    rest = df.where(~F.coalesce(F.contains(F.col(text), F.lit("[[PII_")), F.lit(False))).withColumn(out, F.col(text))
-    return rest.unionByName(put_replacements(some, [key], text, out, hits)).withColumn("changed", ~F.col(out).eqNullSafe(F.col(text)))
+    return apply_puts(df, hits, key, text, out).withColumn("changed", ~F.col(out).eqNullSafe(F.col(text)))
 
 
 def call_tool(calls: DataFrame, vault: DataFrame, tool: Callable[[DataFrame], DataFrame], types: Sequence[str], detectors: Sequence[Detector], session: str, key: str, arguments: str = "arguments", order: Sequence[str] = ()) -> tuple[DataFrame, DataFrame | None]:

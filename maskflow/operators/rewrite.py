@@ -11,10 +11,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.storage import materialize
+from ..functions.storage import fitted, materialize
 from ..functions.text import match_spans, once, replace_spans, slice_text, subtract_ranges
 from ..plans.model import MAX_OUTPUT_CHARS, TYPE_GRAMMAR, entity_type
-from ..sources.detect import FAILURE
+from ..sources.detect import FAILURE, Detector
+from .resolve import analyze
 
 NONCE = "[a-f0-9]{32}"
 TOKEN = rf"\[\[PII_(?=[A-Z0-9_]{{1,128}}_{NONCE}_){TYPE_GRAMMAR}_{NONCE}_[1-9][0-9]*\]\]"
@@ -92,12 +93,6 @@ def number_densely(rows: DataFrame, keys: Sequence[str], order: Sequence[str], o
     return joined.withColumn(out, (F.col("_k") + F.col("_shift")).cast("long")).drop("_part", "_k", "_shift", *(f"_s{c}" for c in names))
 
 
-def occurrences(df: DataFrame, session: str, order: Sequence[str], text: str = "text", spans: str = "spans", kind: str = "text") -> DataFrame:
-    """A row for each protected span: session_id, entity_type, value_kind, original, and where it stands."""
-    found = df.where(F.size(spans) > 0).select(F.col(session).cast("string").alias("session_id"), *(F.col(c).alias(f"_o{k}") for k, c in enumerate(order)), F.col(text).alias("_text"), F.explode(spans).alias("s"))
-    return found.select("session_id", F.col("s.entity_type").alias("entity_type"), F.lit(kind).alias("value_kind"), slice_text(F.col("_text"), F.col("s.start"), F.col("s.end")).alias("original"), F.struct(*(f"_o{k}" for k in range(len(order))), F.col("s.start").alias("start")).alias("at"))
-
-
 def build_vault(found: DataFrame, secret: str | None = None) -> DataFrame:
     """One row for each distinct value of a session and type. Repeats are combined before the shuffle."""
     firsts = found.groupBy("session_id", "entity_type", "value_kind", "original").agg(F.min("at").alias("first"))
@@ -109,23 +104,48 @@ def build_vault(found: DataFrame, secret: str | None = None) -> DataFrame:
 # --- tokenize and detokenize -----------------------------------------------------------------------------------
 
 
-def put_replacements(rows: DataFrame, keys: list[str], text: str, out: str, filled: DataFrame) -> DataFrame:
-    """Joins each row's replacements (keys, start, end, put) and rewrites its text."""
-    arrays = filled.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end", "put"))).alias("_put"))
-    return rows.join(arrays, keys, "left").withColumn(out, replace_spans(F.col(text), F.coalesce("_put", F.array().cast("array<struct<start:int,end:int,put:string>>")))).drop("_put")
+def apply_puts(df: DataFrame, hits: DataFrame, key: str, text: str, out: str) -> DataFrame:
+    """Adds ``out``: ``text`` with the replacements of ``hits`` (key, start, end, put). Only the replacements move, as long
+    as the rows that have some are few enough to be broadcast; beyond, both sides are dealt by key."""
+    puts = materialize(hits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "put"))).alias("_put")), "puts")
+    joined = df.join(fitted(puts, puts.count()), key, "left")
+    return joined.withColumn(out, F.when(F.col("_put").isNull(), F.col(text)).otherwise(replace_spans(F.col(text), F.col("_put")))).drop("_put")
 
 
-def tokenize(df: DataFrame, vault: DataFrame, session: str, key: str, text: str = "text", spans: str = "spans", out: str = "tokenized", kind: str = "text", limit: int = MAX_OUTPUT_CHARS) -> DataFrame:
-    """Adds ``out``. Rows without spans, most of a corpus, aren't shuffled; ``key`` names each row."""
+def found_spans(df: DataFrame, session: str, key: str, order: Sequence[str], text: str = "text", spans: str = "spans", kind: str = "text", limit: int = MAX_OUTPUT_CHARS) -> DataFrame:
+    """The narrow outcome of an analysis, written once: for each row with spans, or without an answer (failed, or T7:
+    its tokens could make it too long), its key, session_id, order columns and spans with their originals.
+
+    Everything after detection works on this table, so that no text is analysed twice and none is carried along."""
     longest = lambda x: F.lit(6 + 1 + 32 + 1 + _INDEX_CHARS + 2) + F.length(x["entity_type"])
-    over = too_long(F.col(text), plain_spans(F.col(spans)), longest, limit)
-    open_rows = (F.size(spans) > 0) & ~over
-    rest = df.where(~F.coalesce(open_rows, F.lit(False))).withColumn(out, F.when((F.size(spans) == 0), F.col(text)))
-    busy = df.where(open_rows)
-    found = busy.select(key, F.col(session).cast("string").alias("session_id"), F.col(text).alias("_text"), F.explode(spans).alias("s"))
-    found = found.select(key, "session_id", F.col("s.entity_type").alias("entity_type"), F.lit(kind).alias("value_kind"), slice_text(F.col("_text"), F.col("s.start"), F.col("s.end")).alias("original"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
-    filled = found.join(vault.select("session_id", "entity_type", "value_kind", "original", F.col("token").alias("put")), ["session_id", "entity_type", "value_kind", "original"])
-    return rest.unionByName(put_replacements(busy, [key], text, out, filled))
+    df = once(df, _plain=plain_spans(F.col(spans)))
+    some = df.where(F.col(text).isNotNull() & (F.col("_plain").isNull() | (F.size("_plain") > 0)))
+    refused = F.col("_plain").isNull() | too_long(F.col(text), F.col("_plain"), longest, limit)
+    parts = F.transform("_plain", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["entity_type"].alias("entity_type"), F.lit(kind).alias("value_kind"), slice_text(F.col(text), x["start"], x["end"]).alias("original")))
+    narrow = some.select(F.col(key).alias("_key"), F.col(session).cast("string").alias("session_id"), F.struct(*(F.col(c).alias(f"o{k}") for k, c in enumerate(order))).alias("_order"), F.coalesce(refused, F.lit(True)).alias("_refused"), F.when(~refused, parts).alias("_spans"))
+    return materialize(narrow, "found")
+
+
+def found_values(found: DataFrame) -> DataFrame:
+    """A row for each span of ``found_spans``: what ``build_vault`` takes."""
+    one = found.where("not _refused").select("session_id", "_order", F.explode("_spans").alias("s"))
+    return one.select("session_id", F.col("s.entity_type").alias("entity_type"), F.col("s.value_kind").alias("value_kind"), F.col("s.original").alias("original"), F.struct("_order", F.col("s.start").alias("start")).alias("at"))
+
+
+def tokenize_found(df: DataFrame, found: DataFrame, vault: DataFrame, key: str, text: str = "text", out: str = "tokenized") -> DataFrame:
+    """Adds ``out`` to ``df``. Rows that ``found`` doesn't name keep their text."""
+    one = found.where("not _refused").select("_key", "session_id", F.explode("_spans").alias("s")).select("_key", "session_id", "s.*")
+    filled = one.join(vault.select("session_id", "entity_type", "value_kind", "original", F.col("token").alias("put")), ["session_id", "entity_type", "value_kind", "original"])
+    puts = filled.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "put"))).alias("_put"))
+    named = materialize(found.select("_key", "_refused").join(puts, "_key", "left"), "puts")
+    joined = df.join(fitted(named.withColumnRenamed("_key", key), named.count()), key, "left")
+    value = F.when(F.col("_refused").isNull(), F.col(text)).when(~F.col("_refused"), replace_spans(F.col(text), F.col("_put")))
+    return joined.withColumn(out, value).drop("_put", "_refused")
+
+
+def tokenize(df: DataFrame, vault: DataFrame, session: str, key: str, text: str = "text", spans: str = "spans", out: str = "tokenized", kind: str = "text", limit: int = MAX_OUTPUT_CHARS) -> DataFrame:
+    """Adds ``out`` to analysed rows, with the tokens of a vault that has all their values."""
+    return tokenize_found(df, found_spans(df, session, key, [key], text, spans, kind, limit), vault, key, text, out)
 
 
 def token_ranges(df: DataFrame, session: str, key: str, text: str = "text") -> DataFrame:
@@ -147,26 +167,27 @@ def allowed_vault(vault: DataFrame, allowed: DataFrame | Sequence[str] | None =
 def detokenize(df: DataFrame, vault: DataFrame, session: str, key: str, text: str = "text", out: str = "restored", allowed: DataFrame | Sequence[str] | None = None) -> DataFrame:
     """Adds ``out``: tokens of the row's own session and scope become their originals; others stay."""
     hits = token_ranges(df, session, key, text).join(allowed_vault(vault, allowed).select("session_id", "token", F.col("original").alias("put")), ["session_id", "token"])
-    some = F.coalesce(F.contains(F.col(text), F.lit("[[PII_")), F.lit(False))
-    rest = df.where(~some).withColumn(out, F.col(text))
-    return rest.unionByName(put_replacements(df.where(some), [key], text, out, hits))
+    return apply_puts(df, hits, key, text, out)
 
 
 def exclude_known_tokens(df: DataFrame, vault: DataFrame, session: str, key: str, text: str = "text", spans: str = "spans") -> DataFrame:
     """T4, T5: spans without the ranges of the session's own tokens; what is left of a span stays protected."""
     known = token_ranges(df, session, key, text).join(vault.select("session_id", "token"), ["session_id", "token"], "left_semi")
-    arrays = known.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_known"))
-    joined = df.join(arrays, key, "left")
+    arrays = materialize(known.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_known")), "known")
+    joined = df.join(fitted(arrays, arrays.count()), key, "left")
     left = subtract_ranges(plain_spans(F.col(spans)), F.coalesce("_known", F.array().cast("array<struct<start:int,end:int>>")))
     return joined.withColumn(spans, F.when(F.col(spans).isNotNull(), left)).drop("_known")
 
 
-def analyze_and_tokenize(analyzed: DataFrame, session: str, key: str, order: Sequence[str], text: str = "text", out: str = "tokenized", secret: str | None = None, vault: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows with ``out``, vault) from one analysis; a given vault's tokens are known and kept."""
-    rows = exclude_known_tokens(analyzed, vault, session, key, text) if vault is not None else analyzed.withColumn("spans", plain_spans(F.col("spans")))
-    new = occurrences(rows, session, order, text)
-    made = build_vault(new, secret) if vault is None else extend_vault(vault, new, secret)
-    return tokenize(rows, made, session, key, text, out=out), made
+def analyze_and_tokenize(df: DataFrame, detectors: Sequence[Detector], session: str, key: str, order: Sequence[str], text: str = "text", out: str = "tokenized", secret: str | None = None, vault: DataFrame | None = None, **settings) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``out``, vault) from exactly one analysis; a given vault's tokens are known and kept."""
+    analyzed = analyze(df, detectors, text, **settings)
+    if vault is not None:
+        analyzed = exclude_known_tokens(analyzed, vault, session, key, text)
+    found = found_spans(analyzed, session, key, order, text)
+    values = found_values(found)
+    made = materialize(build_vault(values, secret) if vault is None else extend_vault(vault, values, secret), "vault")
+    return tokenize_found(df, found, made, key, text, out), made
 
 
 def extend_vault(vault: DataFrame, found: DataFrame, secret: str | None = None) -> DataFrame:

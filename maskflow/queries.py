@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.storage import spread
 from .operators import evaluate, jsonval, policy, resolve, rewrite
 from .plans import sql
 from .plans.model import Disclosures, InspectionLimits, Options, OutputPolicy, Policy, Registry, typo_limit
@@ -37,7 +38,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
 
 
 def analyzed(spark: SparkSession, sf_dir: str, *detectors, **settings) -> DataFrame:
@@ -226,7 +227,7 @@ def protected_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tokenized(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return rewrite.analyze_and_tokenize(analyzed(spark, sf_dir), "source", "doc_id", ["doc_id"])
+    return rewrite.analyze_and_tokenize(documents(spark, sf_dir), [RULES], "source", "doc_id", ["doc_id"])
 
 
 @query(f"{WITH_TOKENS} SELECT doc_id, out AS tokenized FROM tok")
@@ -262,7 +263,7 @@ SELECT doc_id, tool_name, out AS disclosed, EXISTS (SELECT 1 FROM seen WHERE see
 def detokenize_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each tool sees the types it is allowed."""
     rows, made = _tokenized(spark, sf_dir)
-    calls = rows.where("size(spans) > 0").withColumn("tool_name", F.explode(F.array(*(F.lit(t) for (t,) in TOOLS)))).withColumn("call_id", F.concat_ws(":", F.col("doc_id").cast("string"), "tool_name"))
+    calls = rows.where("tokenized <> text").withColumn("tool_name", F.explode(F.array(*(F.lit(t) for (t,) in TOOLS)))).withColumn("call_id", F.concat_ws(":", F.col("doc_id").cast("string"), "tool_name"))
     return policy.disclose(calls.select("doc_id", "source", "tool_name", "call_id", "tokenized"), made, Disclosures(DISCLOSED), "source", "call_id").select("doc_id", "tool_name", "disclosed", "changed")
 
 
@@ -285,7 +286,7 @@ SELECT e.doc_id, a AS "start", coalesce(b, wide."end") AS "end" FROM e JOIN wide
 def exclude_known_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T4, T5: a span over a whole text keeps what isn't one of the session's tokens."""
     rows, made = _tokenized(spark, sf_dir)
-    mixed = rows.where("size(spans) > 0").select("doc_id", "source", F.when(F.col("doc_id") % 2 == 0, F.concat("tokenized", F.lit(" bob@x.org"))).otherwise(F.col("tokenized")).alias("text"))
+    mixed = rows.where("tokenized <> text").select("doc_id", "source", F.when(F.col("doc_id") % 2 == 0, F.concat("tokenized", F.lit(" bob@x.org"))).otherwise(F.col("tokenized")).alias("text"))
     wide = mixed.withColumn("spans", F.array(F.struct(F.lit(0).alias("start"), F.length("text").alias("end"), F.lit("PERSON").alias("entity_type"))))
     left = rewrite.exclude_known_tokens(wide, made, "source", "doc_id")
     return left.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.start", "s.end")
@@ -343,7 +344,7 @@ SELECT action, (action = 'BLOCK' AND hit) AS blocked, hit AND action <> 'BLOCK'
 def output_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P1, P2."""
     rows = analyzed(spark, sf_dir)
-    made = rewrite.build_vault(rewrite.occurrences(rows, "source", ["doc_id"]))
+    made = rewrite.build_vault(rewrite.found_values(rewrite.found_spans(rows, "source", "doc_id", ["doc_id"])))
     parts = [policy.apply_output_policy(rows, OutputPolicy(True, a), "source", "doc_id", made).select(F.lit(a).alias("action"), "blocked", (~F.col("output").eqNullSafe(F.col("text")) & ~F.col("blocked")).alias("changed")) for a in ("TOKENIZE", "REDACT", "BLOCK")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("action", "blocked", "changed").agg(F.count("*").alias("n"))
 
@@ -518,9 +519,7 @@ def evaluate_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT count(*) AS leaks FROM red JOIN o USING (doc_id) WHERE contains(out, original)""")
 def leak_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V3."""
-    rows = rewrite.redact(analyzed(spark, sf_dir))
-    found = rewrite.occurrences(rows, "source", ["doc_id"]).select(F.col("at._o0").alias("doc_id"), "original")
-    return evaluate.leaks(rows.select("doc_id", F.col("redacted").alias("text")), found).agg(F.count("*").alias("leaks"))
+    return evaluate.row_leaks(rewrite.redact(analyzed(spark, sf_dir)), "redacted").agg(F.count("*").alias("leaks"))
 
 
 @query(f"{WITH_VAULT} SELECT doc_id, entity_type, count(DISTINCT token) AS n_tokens FROM occ JOIN vault USING (session_id, entity_type, value_kind, original) GROUP BY ALL")

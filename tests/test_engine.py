@@ -202,7 +202,7 @@ def sessions(spark, *rows):
 
 def test_tokens_round_trip_and_isolation(spark):
     df = sessions(spark, ("s1", "Alice called Alice"), ("s1", "Bob and Alice"), ("s2", "Alice"), ("s1", None), ("s1", ""), ("s1", "nobody"))
-    rows, vault = rewrite.analyze_and_tokenize(resolve.analyze(df, [PEOPLE]), "session", "doc_id", ["doc_id"])
+    rows, vault = rewrite.analyze_and_tokenize(df, [PEOPLE], "session", "doc_id", ["doc_id"])
     by = {r.doc_id: r.tokenized for r in rows.collect()}
     known = {(r.session_id, r.original): (r.token_index, r.token) for r in vault.collect()}
     assert {k: v[0] for k, v in known.items()} == {("s1", "Alice"): 1, ("s1", "Bob"): 2, ("s2", "Alice"): 1}
@@ -221,13 +221,13 @@ def test_tokens_round_trip_and_isolation(spark):
 
 
 def test_second_pass_keeps_known_tokens(spark):
-    rows, vault = rewrite.analyze_and_tokenize(resolve.analyze(sessions(spark, ("s", "Alice")), [PEOPLE]), "session", "doc_id", ["doc_id"])
+    rows, vault = rewrite.analyze_and_tokenize(sessions(spark, ("s", "Alice")), [PEOPLE], "session", "doc_id", ["doc_id"])
     token = rows.first().tokenized
     wide = RegexDetector([RegexRule("PERSON", ".+", 0.9)])
     again = resolve.analyze(sessions(spark, ("s", f"{token} Bob")), [wide])
     left = rewrite.exclude_known_tokens(again, vault, "session", "doc_id")
     assert rewrite.redact(left).first().redacted == f"{token}[REDACTED_PERSON]"
-    second, grown = rewrite.analyze_and_tokenize(again, "session", "doc_id", ["doc_id"], vault=vault)
+    second, grown = rewrite.analyze_and_tokenize(sessions(spark, ("s", f"{token} Bob")), [wide], "session", "doc_id", ["doc_id"], vault=vault)
     assert second.first().tokenized.startswith(token) and grown.count() == 2
     assert rewrite.detokenize(second, grown, "session", "doc_id", "tokenized").first().restored == "Alice Bob"
 
@@ -299,7 +299,7 @@ def test_output_policies(spark):
 
 def test_disclosure_and_tool_calls(spark):
     df = sessions(spark, ("s", "Alice alice@example.com"))
-    rows, vault = rewrite.analyze_and_tokenize(resolve.analyze(df, [PEOPLE]), "session", "doc_id", ["doc_id"])
+    rows, vault = rewrite.analyze_and_tokenize(df, [PEOPLE], "session", "doc_id", ["doc_id"])
     asked = rows.withColumn("tool_name", F.explode(F.array(F.lit("lookup"), F.lit("Lookup")))).withColumn("k", F.concat("tool_name", F.col("doc_id").cast("string")))
     got = {r.tool_name: (r.disclosed, r.changed) for r in policy.disclose(asked, vault, Disclosures({"lookup": frozenset({"EMAIL_ADDRESS"})}), "session", "k").collect()}
     assert got["lookup"][0].endswith("alice@example.com") and "Alice" not in got["lookup"][0] and got["lookup"][1]
@@ -328,7 +328,7 @@ def test_messages_metadata_guards_and_tools(spark):
     assert {r.tool_name: r.rejected for r in policy.guard_controls(tools, [PEOPLE], ["tool_name", "description"], "tool_name").collect()} == {"a": ["description"], "b": []}
     assert [r.missing for r in policy.incomplete_tools(tools).collect()] == [["schema"]]
     assert policy.strip_internal(tools.withColumn("session_id", F.lit(1)).withColumn("_x", F.lit(1))).columns == tools.columns
-    direct, vault = rewrite.analyze_and_tokenize(resolve.analyze(sessions(spark, ("s", "Alice")), [PEOPLE]), "session", "doc_id", ["doc_id"])
+    direct, vault = rewrite.analyze_and_tokenize(sessions(spark, ("s", "Alice")), [PEOPLE], "session", "doc_id", ["doc_id"])
     back = direct.select("doc_id", "session", F.col("tokenized").alias("text"), F.lit(True).alias("direct"))
     assert policy.protect_return_direct(back, vault, "session", "doc_id", "direct", [PEOPLE], OutputPolicy(True, "REDACT")).first().output == "[REDACTED_PERSON]"
 
