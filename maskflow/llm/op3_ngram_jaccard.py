@@ -42,7 +42,7 @@ from .components import components
 CHUNK = 4096
 #: Nodes that every chunk of a large family holds besides its own.
 PIVOTS = 32
-#: A segment of fewer elements is weak: its signature alone would also bring unlike sets together.
+#: A segment of fewer elements is weak: its signature alone could also bring unlike sets together.
 WEAK = 2
 #: The text scan for candidate families gets their ids broadcast up to so many rows, else joins by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -77,6 +77,19 @@ class Threshold:
             firsts.append(max(100 * firsts[-1] // self.percent + 1, int(1.3 * firsts[-1])))
         return np.array(firsts, np.int64)
 
+    def spare(self, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Extra segments, so that weak ones can be passed over, and the size below which a segment is weak: WEAK where
+        segments are large enough for few to be so, else 1. ``least``: the smallest size of the group."""
+        out = []
+        for size in (WEAK, 1):
+            mean = least / (most + 1)
+            chance = np.exp(-mean) * (1 + mean * (size > 1))
+            few = (most + 1) * chance
+            far = np.where(most > 200, 5, 3)  # a long set with too many weak segments would cost the most
+            out.append(np.where(most >= 12, np.ceil(few + far * np.sqrt(few) + 1), 0).astype(np.int64))
+        large = out[0] <= (most + 1) // 8
+        return np.where(large, out[0], out[1]), np.where(large, WEAK, 1)
+
     def differ(self, size: int | np.ndarray):
         """Most elements that are in just one of two linked sets, the smaller one of this size."""
         return (100 - self.percent) * size // self.percent
@@ -151,7 +164,7 @@ def signatures(flat: np.ndarray, off: np.ndarray, rule: Threshold) -> tuple[np.n
         if not len(rows):
             continue
         most = rule.differ(firsts[space[rows] + 1] - 1)
-        spare = np.where(most >= 12, 3, 0)
+        spare, weakest = rule.spare(firsts[space[rows]], most)
         parts = most + 1 + spare
         begin = np.concatenate([[0], np.cumsum(parts)])
         elements = np.repeat(rows, size[rows])
@@ -161,7 +174,7 @@ def signatures(flat: np.ndarray, off: np.ndarray, rule: Threshold) -> tuple[np.n
         of = np.repeat(np.arange(len(rows)), parts)
         label = mix((space[rows][of].astype(np.uint64) << np.uint64(32)) + (np.arange(begin[-1]) - begin[of]).astype(np.uint64))
         sign = mix(content + label)
-        weak = sizes < WEAK
+        weak = sizes < weakest[of]
         out.append((sign[~weak], rows[of[~weak]]))
         # at least spare + 1 segments agree; only where so many are weak can all that agree be weak
         n_weak = np.bincount(of[weak], minlength=len(rows))
