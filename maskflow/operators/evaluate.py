@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,10 @@ from ..functions.text import match_spans, slice_text
 from .rewrite import token_pattern
 
 
+#: Queries of a retrieval that are broadcast at once.
+QUERY_BLOCK = 10_000
+
+
 def score_detection(expected: DataFrame, actual: DataFrame, columns: Sequence[str] = ("doc_id", "entity_type", "original")) -> DataFrame:
     """V1: tp, fp, fn of two multisets of findings; both are counted before they meet, so repeats don't multiply."""
     want = expected.groupBy(*columns).agg(F.count("*").alias("want"))
@@ -55,14 +60,17 @@ def snapshot(rows: DataFrame, columns: Sequence[str] = ("session_id", "tool_name
 
 
 def nearest_protected(queries: DataFrame, vectors: DataFrame, k: int = 1, least: float = 0.9, query_id: str = "query_id", vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """V8: the ``k`` most similar rows of each query, by cosine, at ``least`` so similar. ``queries`` is a bounded set
-    (checked: at most 10,000 rows), so it is broadcast against all vectors; ranks are cut per task before the shuffle."""
-    if queries.limit(10_001).count() > 10_000:
-        raise ValueError("retrieval takes at most 10,000 queries")
+    """V8: the ``k`` most similar rows of each query, by cosine, at ``least`` so similar. Queries meet all vectors in blocks
+    of about QUERY_BLOCK, each of which is broadcast; a task keeps its ``k`` best of each query before the shuffle."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     q, v = F.col("_q"), F.col(vector)
-    scored = vectors.join(F.broadcast(queries.select(query_id, F.col(vector).alias("_q")))).where(F.size(q) == F.size(v))
     score = dot(q, v) / F.sqrt(dot(q, q) * dot(v, v))
-    scored = scored.select(query_id, vec_id, score.alias("score")).where(F.col("score") >= least)
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    found = []
+    for block in range(blocks):
+        some = queries.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == block).select(query_id, F.col(vector).alias("_q"))
+        met = vectors.join(F.broadcast(some), F.size(q) == F.size(v))
+        found.append(met.select(query_id, vec_id, score.alias("score")).where(F.col("score") >= least))
+    scored = reduce(DataFrame.unionByName, found)
     rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), vec_id))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -211,7 +211,7 @@ class RemoteConfig:
 class OutputPolicy:
     enabled: bool = False
     action: str = "TOKENIZE"
-    block_message: str = "Response blocked by privacy guardrail."
+    block_message: str = "Response blocked by policy."
 
     def __post_init__(self) -> None:
         _must(self.action in OUTPUT_ACTIONS, "unknown output action")

@@ -112,8 +112,8 @@ def test_corpus_reader(spark, tmp_path):
 # --- resolution ------------------------------------------------------------------------------------------------
 
 CASES = [
-    ("Alice", [("OPENNLP", "PER", 0, 5, 0.84), ("PRESIDIO", "PERSON", 0, 5, 0.91)], [("PERSON", 0, 5, "EXACT_MATCH")]),
-    ("Spring", [("A", "PERSON", 0, 6, 0.9), ("B", "ORGANIZATION", 0, 6, 0.9)], [("PII", 0, 6, "TYPE_CONFLICT")]),
+    ("Alice", [("NAMES", "PER", 0, 5, 0.84), ("REMOTE", "PERSON", 0, 5, 0.91)], [("PERSON", 0, 5, "EXACT_MATCH")]),
+    ("August", [("A", "PERSON", 0, 6, 0.9), ("B", "ORGANIZATION", 0, 6, 0.9)], [("PII", 0, 6, "TYPE_CONFLICT")]),
     ("john@example.com", [("A", "PERSON", 0, 4, 0.99), ("B", "EMAIL_ADDRESS", 0, 16, 0.9)], [("EMAIL_ADDRESS", 0, 16, "COVERING_EVIDENCE")]),
     ("Alice Smith", [("A", "PERSON", 0, 5, 0.9), ("B", "ORGANIZATION", 3, 11, 0.9)], [("PII", 0, 11, "TYPE_CONFLICT")]),
     ("Alice Smith", [("A", "PERSON", 0, 5, 0.9), ("B", "PERSON", 3, 11, 0.9)], [("PERSON", 0, 11, "OVERLAP_UNION")]),
@@ -147,14 +147,14 @@ def test_resolution_properties(spark):
 
 
 def test_floors_modes_and_failures(spark):
-    ev = [("OPENNLP", "PERSON", 0, 5, 0.8), ("PRESIDIO", "PERSON", 6, 9, 0.7)]
+    ev = [("NAMES", "PERSON", 0, 5, 0.8), ("REMOTE", "PERSON", 6, 9, 0.7)]
     df = supplied(spark, [("Alice Bob", ev)])
-    floors = Policy(floors={"opennlp": 0.85, "presidio": 0.6})
+    floors = Policy(floors={"names": 0.85, "remote": 0.6})
     got = df.withColumn("spans", resolve.resolve(resolve.accept(F.col("ev"), Options(), floors, Registry())))
     assert spans_of(got)[0] == [("PERSON", 6, 9, "SINGLE_EVIDENCE")]
-    fallback = Policy("PRIMARY_WITH_FALLBACK", "PRESIDIO", failures="ALLOW_PARTIAL")
-    primary = Policy("PRIMARY", "PRESIDIO", failures="ALLOW_PARTIAL")
-    for mode, good, want in ((fallback, ["OPENNLP", "PRESIDIO"], [6]), (fallback, ["OPENNLP"], [0]), (primary, ["OPENNLP"], [])):
+    fallback = Policy("PRIMARY_WITH_FALLBACK", "REMOTE", failures="ALLOW_PARTIAL")
+    primary = Policy("PRIMARY", "REMOTE", failures="ALLOW_PARTIAL")
+    for mode, good, want in ((fallback, ["NAMES", "REMOTE"], [6]), (fallback, ["NAMES"], [0]), (primary, ["NAMES"], [])):
         chosen = resolve.select_providers(F.col("ev"), F.array(*map(F.lit, good)), mode)
         assert [s.start for s in df.select(resolve.resolve(chosen).alias("s")).first().s] == want
 
