@@ -40,7 +40,7 @@ PER_CLASS = (1500, 1000)
 MAX_TERMS, K, BLOCK = 400, 15, 64
 #: Least log-likelihood ratio and least number of toxic examples of a term.
 LEAST_RATIO, LEAST_DOCS = 12.0, 3
-#: Characters of an example's text that are kept as evidence.
+#: Everything that separates words.
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 

@@ -41,7 +41,7 @@ def test_language_stage(spark, docs):
 
 def test_near_copies_stage(spark, docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    assert sorted(r.doc_id for r in cp.near_copies(spark, docs, SF).collect()) == sorted(i for i, _, c in brute(rows) if i == c)
+    assert sorted(r.doc_id for r in cp.near_copies(spark, docs, SF).collect()) == sorted(i for i, _, c in brute(rows, cp.COPY_PERCENT) if i == c)
 
 
 def test_whole_pipeline(spark, docs):
