@@ -12,16 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` where the cluster names one, else (tests, one machine) a folder of our own that goes
     when the process ends."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="maskflow-")
-        atexit.register(shutil.rmtree, where, True)
-        where = f"file://{where}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
+    if where:
+        return where
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="maskflow-")
+        atexit.register(shutil.rmtree, _OWN[app], True)
+    return f"file://{_OWN[app]}"
 
 
 def work_path(spark: SparkSession, tag: str) -> str:

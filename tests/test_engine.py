@@ -419,3 +419,14 @@ def test_korean_rules_on_hand_made_cases(spark):
     rules = RegexDetector([RegexRule("PHONE_NUMBER", edge.format("01[016789]-[0-9]{3,4}-[0-9]{4}"), 0.95), RegexRule("EMPLOYEE_ID", edge.format("EMP-[0-9]{4}"), 0.9)])
     got = spans_of(resolve.analyze(texts(spark, "휴대폰은 010-1234-5678입니다.", "Owner EMP-1234 approved it.", "XEMP-1234 EMP-12345"), [rules]))
     assert got == {0: [("PHONE_NUMBER", 5, 18, "SINGLE_EVIDENCE")], 1: [("EMPLOYEE_ID", 6, 14, "SINGLE_EVIDENCE")], 2: []}
+
+
+def test_own_folder_where_the_cluster_names_none():
+    from types import SimpleNamespace
+
+    from maskflow.functions.storage import shared_dir, work_path
+
+    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=SimpleNamespace(applicationId="app"))
+    assert shared_dir(bare) == shared_dir(bare) and shared_dir(bare).startswith("file://") and work_path(bare, "t") != work_path(bare, "t")
+    named = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: "s3://x"))
+    assert work_path(named, "t").startswith("s3://x/t-")
