@@ -310,7 +310,7 @@ def output_limit_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT event_id, CASE WHEN regexp_matches(json_extract_string(props, '$.k'), '6[0-9]') THEN regexp_replace(props, '[0-9]+', '"[REDACTED_NATIONAL_ID]"') ELSE props END AS props FROM events""")
 def json_props_protect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers inside JSON; what isn't personal stays byte for byte."""
-    rows = table(spark, sf_dir, "events").select("event_id", "props")
+    rows = spread(table(spark, sf_dir, "events").select("event_id", "props"))
     done, _ = jsonval.protect_json(rows, "event_id", [RegexDetector(NUMBERS)], "REDACT", "props", out="protected")
     return done.select("event_id", F.col("protected").alias("props"))
 
@@ -329,7 +329,7 @@ def json_duplicate_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, true AS equal, regexp_matches(json_extract_string(props, '$.k'), '6[0-9]') AS changed FROM events")
 def json_tokens_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers become tokens and then the same numbers again."""
-    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "props")
+    rows = spread(table(spark, sf_dir, "events").select("event_id", "user_id", "props"))
     done, made = jsonval.protect_json(rows, "event_id", [RegexDetector(NUMBERS)], "TOKENIZE", "props", "user_id", ["event_id"], out="protected")
     back = jsonval.restore_json(done.drop("failure_code", "mode"), made, "event_id", "user_id", "protected")
     return back.select("event_id", F.col("restored").eqNullSafe(F.col("props")).alias("equal"), (~F.col("protected").eqNullSafe(F.col("props"))).alias("changed"))
@@ -354,7 +354,7 @@ placed AS (SELECT k, "start", "end", token FROM occ JOIN vault USING (session_id
 
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").withColumn("k", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    rows = spread(table(spark, sf_dir, "conversations")).withColumn("k", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
     return policy.transform_messages(rows, "k", "conv_id", ["turn"], [RegexDetector(NAMES)])[0]
 
 
