@@ -9,9 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.storage import materialize, shared_dir, work_path
+from ..functions.storage import materialize, shared_dir, spread, work_path
 
-__all__ = ["SLICE_BYTES", "SPACES", "arrow_list", "give_back", "hash_words", "lower_ascii", "materialize", "mix", "read_table", "shared_dir", "text_buffer", "text_slices", "word_bounds", "work_path"]
+__all__ = ["SLICE_BYTES", "SPACES", "arrow_list", "give_back", "hash_words", "lower_ascii", "materialize", "mix", "read_table", "shared_dir", "spread", "text_buffer", "text_slices", "word_bounds", "work_path"]
 
 #: White space of every word contract: space and \t \n \v \f \r.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"

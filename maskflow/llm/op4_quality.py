@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, spread
 
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -106,7 +106,7 @@ def judge(docs: DataFrame, base: tuple[Rule, ...] = BASE, rules: tuple[Rule, ...
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(read_table(spark, sf_dir, "documents")).withColumn("failed_rules", F.concat_ws(",", "failed_rules"))
+    return judge(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))).withColumn("failed_rules", F.concat_ws(",", "failed_rules"))
 
 
 def _oracle() -> str:
