@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, text_slices
+from .common import read_table, spread, text_slices
 from .sampling import by_class, fold
 
 #: Examples wanted of the classes 0 and 1.
@@ -253,7 +253,7 @@ def score(docs: DataFrame, model: Model | None, keep: bool = False, prefix: str
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     model = fit(docs, labels.where(fold("doc_id", 5) != 0))
-    return score(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "evidence")
+    return score(spread(docs.select("doc_id", "text")), model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "evidence")
 
 
 QUERIES = {"op7_toxicity": op7_toxicity}
