@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import arrow_list, read_table, text_slices
+from .common import arrow_list, read_table, spread, text_slices
 
 SPACE_SYMBOL = "▁".encode()
 
@@ -267,7 +267,7 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return round_trip(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 QUERIES = {"op6_sentencepiece": op6_sentencepiece}
