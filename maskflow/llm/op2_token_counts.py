@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read_table, text_buffer, text_slices, word_bounds
+from .common import read_table, spread, text_buffer, text_slices, word_bounds
 
 #: Words up to so many bytes step together; longer ones (few) walk alone.
 TOGETHER = 256
@@ -125,7 +125,7 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return token_counts(spread(read_table(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 QUERIES = {"op2_token_counts": op2_token_counts}
