@@ -16,8 +16,9 @@ from maskflow.llm.sampling import fold
 
 #: Percent of the tokens that reach the mixing stage which it hands on.
 MIX = op8_mixing.Mix(percent=80, epochs=1)
-#: Two documents are near copies when they share so much of their three-word shingles. Texts that differ in single words
-#: and share 0.8 of their five-word shingles share 0.875 of these.
+#: Two documents are near copies when they share 80 % of their five-word shingles.
+COPY_RULE = {"n": 5, "percent": 80}
+#: What COPY_RULE comes to in three-word shingles where texts differ in scattered single words only; the stage doesn't use it.
 COPY_PERCENT = 87
 
 
@@ -36,7 +37,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by n-gram overlap, directly or through others, the one with the smallest id stays."""
-    return op3_ngram_jaccard.one_of_each(docs, op3_ngram_jaccard.ngram_jaccard(docs, n=3, percent=COPY_PERCENT))
+    return op3_ngram_jaccard.one_of_each(docs, op3_ngram_jaccard.ngram_jaccard(docs, **COPY_RULE))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,6 +44,17 @@ def test_near_copies_stage(spark, docs):
     assert sorted(r.doc_id for r in cp.near_copies(spark, docs, SF).collect()) == sorted(i for i, _, c in brute(rows, cp.COPY_PERCENT) if i == c)
 
 
+def test_near_copies_are_those_of_five_words_and_80_percent(spark):
+    words = [f"w{k}" for k in range(500)]
+    appended = [*words, *(f"p{k}" for k in range(110))]  # 496 of 606 five-word shingles in common, 498 of 608 three-word ones
+    other = [f"v{k}" for k in range(400)]
+    scattered = [f"e{k}" if k % 40 == 20 and k < 360 else w for k, w in enumerate(other)]  # 351 of 441, 371 of 425
+    rows = [(k + 1, " ".join(x)) for k, x in enumerate((words, appended, other, scattered))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r.doc_id for r in cp.near_copies(spark, docs, SF).collect())
+    assert kept == sorted(i for i, _, c in brute(rows, 80, 5) if i == c) == [1, 3, 4]
+
+
 def test_whole_pipeline(spark, docs):
     ids = [r.doc_id for r in cp.run(spark, SF).collect()]
     assert len(ids) == len(set(ids)) and 0 < len(ids) < docs.count()
