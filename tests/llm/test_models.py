@@ -137,6 +137,22 @@ def test_noise_is_rejected(tables):
     assert op10.predict(noise, model).first().rejected
 
 
+def test_rejection_is_no_matter_of_one_outlier(spark, tables):
+    docs = tables["documents"].select("doc_id", "text", "lang")
+    junk = [(10**6 + k, " ".join(chr(0x4E00 + 97 * k + j) for j in range(60)), "en") for k in range(3)]
+    model = op10.fit(docs.union(spark.createDataFrame(junk, docs.schema)))
+    foreign = [
+        "De regering heeft vandaag besloten dat de nieuwe wet volgend jaar in werking zal treden voor alle burgers",
+        "Regeringen beslutade idag att den nya lagen ska börja gälla från och med nästa år för alla medborgare",
+        "Hükümet bugün yeni yasanın gelecek yıl bütün vatandaşlar için yürürlüğe gireceğine karar verdi",
+        "A kormány ma úgy döntött hogy az új törvény jövőre lép hatályba minden polgár számára",
+        "漢字仮名交文章短文例",  # fewer than 40 letters
+    ]
+    asked = spark.createDataFrame(list(enumerate(foreign)), "doc_id long, text string")
+    assert all(r.rejected for r in op10.predict(asked, model).collect())
+    assert op10.predict(docs, model).where("rejected").count() <= 0.01 * docs.count()
+
+
 # --- nearest neighbours ----------------------------------------------------------------------------------------
 
 
