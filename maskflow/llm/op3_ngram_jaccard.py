@@ -17,8 +17,8 @@ Nothing is capped: every pair that reaches the threshold lies in one family, and
 compared unless they are known to be connected.
 
 Defined cases: null text, or text without words, has the empty set: n_shingles 0, linked with nothing, its own
-component. Fewer than ``n`` words: the whole sequence is the one element. A row without doc_id is linked with rows
-of an equal set only and never gives a component its id. Repeated rows count as copies. Extra columns are ignored.
+component. Fewer than ``n`` words: the whole sequence is the one element. A row without doc_id is linked
+like any other and never gives a component its id. Repeated rows count as copies. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -371,7 +371,21 @@ def _sets_of(wanted: DataFrame, docs: DataFrame, n: int, rows: int) -> DataFrame
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), raw], names=[*columns, "elements"]).filter(same)
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema if f.name != "doc_id")
-    return docs.select(F.col("doc_id").cast("long"), "text").join(small, "doc_id").mapInArrow(run, f"{kinds}, elements binary")
+    found = docs.select(F.col("doc_id").cast("long"), "text").join(small, "doc_id").mapInArrow(run, f"{kinds}, elements binary")
+    if wanted.where("doc_id is null").isEmpty():
+        return found
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch):
+                flat, off = shingle_sets(part.column("text"), n)
+                raw = pa.array([flat[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(set_keys(flat, off)), raw], names=["node", "elements"])
+
+    # nodes that only rows without an id have are known by the hash of the set
+    rest = docs.where("doc_id is null").select("text").mapInArrow(sets, "node long, elements binary")
+    rest = rest.join(small.where("doc_id is null").drop("doc_id"), "node").dropDuplicates(["node"])
+    return found.unionByName(rest.select(found.columns))
 
 
 def ngram_jaccard(docs: DataFrame, n: int = 3, percent: int = 90, chunk: int = CHUNK) -> DataFrame:

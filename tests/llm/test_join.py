@@ -108,6 +108,16 @@ def test_repeated_rows_keep_one(spark):
     assert sorted(r.text for r in kept.collect()) == ["a b c d e", "other text of the same id"]
 
 
+def test_rows_without_id_carry_links(spark):
+    words = [f"w{k}" for k in range(100)]
+    texts = [" ".join([*words[a:], *(f"e{k}" for k in range(a))]) for a in (0, 4, 8)]  # the ends are linked by the middle only
+    docs = spark.createDataFrame([(1, texts[0]), (None, texts[1]), (None, texts[1]), (3, texts[2])], "doc_id long, text string")
+    assert len({c for _, _, c in brute([(1, texts[0]), (3, texts[2])])}) == 2
+    got = op3.ngram_jaccard(docs)
+    assert sorted((r.doc_id, r.component_id) for r in got.collect() if r.doc_id) == [(1, 1), (3, 1)]
+    assert [r.component_id for r in got.where("doc_id is null").collect()] == [1, 1]
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert op3.ngram_jaccard(docs).collect() == []
