@@ -197,7 +197,7 @@ def signatures(flat: np.ndarray, off: np.ndarray, rule: Threshold) -> tuple[np.n
 
 
 def _scan(n: int, rule: Threshold):
-    """doc_id, node, n_shingles; sigs of nodes and links to nodes met before in the slice with the same signature."""
+    """doc_id, text_key, node, n_shingles; sigs of nodes and links to nodes met before in the slice with the same signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,7 +220,7 @@ def _scan(n: int, rule: Threshold):
                 sign, of = sign[new], of[new]
                 order = np.argsort(of, kind="stable")
                 lists = [arrow_list(x, np.concatenate([[0], np.cumsum(np.bincount(o, minlength=len(size)))]), pa.int64()) for x, o in ((sign[order], of), (node[links[1]], links[0]))]
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array(node, pa.int64(), mask=size == 0), pa.array(size, pa.int64()), *lists], names=["doc_id", "node", "n_shingles", "sigs", "links"])
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), rows.column("text_key"), pa.array(node, pa.int64(), mask=size == 0), pa.array(size, pa.int64()), *lists], names=["doc_id", "text_key", "node", "n_shingles", "sigs", "links"])
 
     return run
 
@@ -389,10 +389,11 @@ def _sets_of(wanted: DataFrame, docs: DataFrame, n: int, rows: int) -> DataFrame
 
 
 def ngram_jaccard(docs: DataFrame, n: int = 3, percent: int = 90, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, n_shingles, component_id and class_id (equal sets; null for the empty set) of each row of ``docs``."""
+    """doc_id, n_shingles, component_id and class_id (equal sets; null for the empty set) of each row of ``docs``; besides
+    text_key (64-bit hash of the text) and group, which names the component whatever the ids (null for the empty set)."""
     rule = Threshold(percent)
-    scanned = materialize(docs.select("doc_id", "text").mapInArrow(_scan(n, rule), "doc_id long, node long, n_shingles long, sigs array<long>, links array<long>"), "op3-scan")
-    rows = scanned.select("doc_id", "node", "n_shingles")
+    scanned = materialize(docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(_scan(n, rule), "doc_id long, text_key long, node long, n_shingles long, sigs array<long>, links array<long>"), "op3-scan")
+    rows = scanned.select("doc_id", "text_key", "node", "n_shingles")
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
     # one exchange, read by the aggregate and by the join
@@ -427,9 +428,9 @@ def ngram_jaccard(docs: DataFrame, n: int = 3, percent: int = 90, chunk: int = C
     if large:
         edges = edges.union(_across(sets, sized, edges, rule))
     joined = components(edges, "op3-components")
-    joined = materialize(joined.join(nodes, "node").groupBy("label").agg(F.min("doc_id").alias("least")).join(joined, "label").select("node", "least"), "op3-least")
-    least = nodes.join(joined, "node", "left").select("node", F.coalesce("least", "doc_id").alias("component_id"))
-    return rows.join(least, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("node").alias("class_id"))
+    joined = materialize(joined.join(nodes, "node").groupBy("label").agg(F.min("doc_id").alias("least")).join(joined, "label").select("node", "least", "label"), "op3-least")
+    least = nodes.join(joined, "node", "left").select("node", F.coalesce("least", "doc_id").alias("component_id"), F.coalesce("label", "node").alias("group"))
+    return rows.join(least, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("node").alias("class_id"), "text_key", "group")
 
 
 def _pivots(sets: DataFrame, sized: DataFrame) -> DataFrame:
@@ -464,21 +465,26 @@ def _across(sets: DataFrame, sized: DataFrame, edges: DataFrame, rule: Threshold
 
 
 def one_of_each(docs: DataFrame, joined: DataFrame) -> DataFrame:
-    """The rows of ``docs`` but those whose component has a smaller doc_id; of rows equal in doc_id and text, one."""
-    joined = joined.select("doc_id", "component_id").where("doc_id is not null")
-    others = materialize(joined.where("doc_id <> component_id").select("doc_id").distinct(), "op3-others")
-    again = materialize(joined.groupBy("doc_id").count().where("count > 1").select("doc_id"), "op3-again")
+    """One row of ``docs`` for each component, that of the smallest doc_id (rows without one come last, ties go by a hash
+    of the text). Rows without words belong to no component: of those equal in doc_id and text one stays, without doc_id all."""
+    row = ["_op3_no_id", "_op3_id", "_op3_text"]
+    named = lambda df, text: df.withColumns(dict(zip(row, (F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), text), strict=True)))
+    rows = named(joined, F.col("text_key")).where("group is not null or doc_id is not null").select("group", *row)
+    counts = materialize(rows.groupBy("group", *row).count(), "op3-rows")
+    first = counts.where("group is not null").groupBy("group").agg(F.min(F.struct(*row)).alias("first"))
+    others = materialize(counts.join(first, "group").where(F.struct(*row) != F.col("first")).select(row), "op3-others")
+    again = materialize(counts.where("count > 1").join(others, row, "left_anti").select(row), "op3-again")
     sized = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    left = docs.join(sized(others), "doc_id", "left_anti")
+    left = named(docs, F.xxhash64("text")).join(sized(others), row, "left_anti")
     if again.isEmpty():
         return left.select(docs.columns)
     again = sized(again)
-    once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
+    once = left.join(again, row, "left_semi").dropDuplicates(row)
+    return left.join(again, row, "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard(read_table(spark, sf_dir, "documents"))
+    return ngram_jaccard(read_table(spark, sf_dir, "documents")).drop("text_key", "group")
 
 
 QUERIES = {"op3_ngram_jaccard": op3_ngram_jaccard}

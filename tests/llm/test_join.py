@@ -108,6 +108,15 @@ def test_repeated_rows_keep_one(spark):
     assert sorted(r.text for r in kept.collect()) == ["a b c d e", "other text of the same id"]
 
 
+def test_one_row_of_each_component_stays_whatever_the_ids(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    near = b + " end"
+    rows = [(5, a), (9, a), (5, b), (3, b), (7, c), (7, c), (None, c), (None, "no id at all"), (None, "no id at all"), (2, b + " end of it"), (2, near), (None, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted(((r.doc_id, r.text[:2]) for r in op3.one_of_each(docs, op3.ngram_jaccard(docs)).collect()), key=str)
+    assert kept == sorted([(5, "a0"), (2, "b0"), (7, "c0"), (None, "no"), (None, " ")], key=str)
+
+
 def test_rows_without_id_carry_links(spark):
     words = [f"w{k}" for k in range(100)]
     texts = [" ".join([*words[a:], *(f"e{k}" for k in range(a))]) for a in (0, 4, 8)]  # the ends are linked by the middle only
