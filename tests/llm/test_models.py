@@ -129,6 +129,13 @@ def test_language_cases(spark):
     assert op10.predict(docs.limit(0), model).collect() == []
 
 
+def test_no_language_is_left_out_silently(spark):
+    docs = spark.createDataFrame([(k, f"text of language {k}", f"l{k}") for k in range(4)], "doc_id long, text string, lang string")
+    assert set(op10.fit(docs, max_languages=4).languages) == {"l0", "l1", "l2", "l3"}
+    with pytest.raises(ValueError, match="max_languages"):
+        op10.fit(docs, max_languages=3)
+
+
 def test_noise_is_rejected(tables):
     model = op10.fit(tables["documents"], per_language=100)
     spark = tables["documents"].sparkSession
