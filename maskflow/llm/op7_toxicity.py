@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Vocabulary: word beginnings (4 to 10 characters) and whole words that occur in toxic examples more often than chance
-allows (log-likelihood ratio), at most MAX_TERMS; all other words together are one more term. A text is the vector
+allows (log-likelihood ratio); all other words together are one more term. A text is the vector
 of its term shares times the terms' weights, so the cosine also sees how dense the toxic terms are. The K nearest
 examples vote, weighted by their distance; a logistic curve, fitted on the examples' own left-one-out votes, turns
 votes into probabilities. Neighbours are returned as evidence.
@@ -37,7 +37,7 @@ from .sampling import by_class, fold
 
 #: Examples wanted of the classes 0 and 1.
 PER_CLASS = (1500, 1000)
-MAX_TERMS, K, BLOCK = 400, 15, 64
+K, BLOCK = 15, 64
 #: Least log-likelihood ratio and least number of toxic examples of a term.
 LEAST_RATIO, LEAST_DOCS = 12.0, 3
 #: Everything that separates words.
@@ -73,7 +73,7 @@ def choose_terms(texts: list[str], toxic: np.ndarray) -> list[str]:
         ratio = 2 * sum(k * np.log(q / p) for k, q in ((a, p1), (b, p0)) if k) + 2 * sum(k * np.log((1 - q) / (1 - p)) for k, q in ((n1 - a, p1), (n0 - b, p0)) if k)
         if ratio >= LEAST_RATIO:
             found.append((-ratio, term))
-    return [t for _, t in sorted(found)[:MAX_TERMS]]
+    return [t for _, t in sorted(found)]
 
 
 class Counting:
@@ -225,7 +225,7 @@ def score(docs: DataFrame, model: Model | None, keep: bool = False, prefix: str
     besides, if ``keep``; ``prefix`` goes before the new names, where a column has one of them already."""
     columns = docs.columns if keep else ["doc_id"]
     new = [prefix + c for c in ("score", "predicted", "evidence")]
-    held = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # bounded by PER_CLASS and MAX_TERMS
+    held = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # bounded by PER_CLASS and the words of so many texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model | None = pickle.loads(held.value)

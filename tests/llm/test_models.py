@@ -71,6 +71,13 @@ def test_toxicity_on_held_out_labels(spark, tables):
     assert ((got.score >= 0.5) == (got.predicted == 1)).all() and got.score.between(0, 1).all()
 
 
+def test_no_term_that_passes_is_left_out():
+    words = ["".join(chr(97 + k // 26**j % 26) for j in range(3)) for k in range(500)]
+    toxic = [f" {w} " for w in words for _ in range(6)]
+    terms = op7.choose_terms([*toxic, *[" fine "] * 9000], np.array([1] * len(toxic) + [0] * 9000))
+    assert set(terms) == {f" {w} " for w in words}
+
+
 def test_scores_use_the_text_only(tables):
     docs, labels = tables["documents"], tables["labels"]
     model = op7.fit(docs, labels)
