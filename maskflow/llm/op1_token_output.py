@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from .common import arrow_list, hash_words, read_table, text_buffer, text_slices, work_path
 
 END_ID = 2
-#: Distinct units of text whose ids a worker keeps (about 40 bytes each); the ids of further ones last for one slice.
+#: Distinct units of text whose ids and bytes a worker keeps (about 60 bytes each); the ids of further ones last for one slice.
 MEMO = 2_000_000
+#: Bytes of text in one range of doc_ids, which one task sorts, encodes and writes.
+RANGE_BYTES = 128 << 20
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, token_ids array<int>"
 
 
@@ -66,9 +68,26 @@ def unit_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, np.append(starts[1:], len(data))
 
 
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all ranges, one after the other."""
+    total = np.cumsum(sizes)
+    return np.repeat(starts - (total - sizes), sizes) + np.arange(total[-1] if len(total) else 0)
+
+
+def same_bytes(a: np.ndarray, a_at: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_at: np.ndarray, b_size: np.ndarray) -> np.ndarray:
+    """Whether ranges of ``a`` and ``b`` are equal, pair by pair."""
+    same = a_size == b_size
+    rows = np.flatnonzero(same)
+    if len(rows):
+        size = a_size[rows]
+        differ = a[ranges(a_at[rows], size)] != b[ranges(b_at[rows], size)]
+        same[rows[np.repeat(np.arange(len(rows)), size)[differ]]] = False
+    return same
+
+
 class UnitEncoder:
-    """Encodes through the tokenizers library, each frequent distinct unit of text once (units are told apart by a
-    64-bit hash)."""
+    """Encodes through the tokenizers library, each frequent distinct unit of text once. Units are found by a 64-bit
+    hash and compared byte by byte; one whose hash belongs to another unit is encoded anew each time."""
 
     def __init__(self, path: str):
         tokenizer = _tokenizer(path)
@@ -76,6 +95,7 @@ class UnitEncoder:
         self.added = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
         self.known = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes, number of the unit
         self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.bytes, self.upto = np.zeros(0, np.uint8), np.zeros(1, np.int64)  # of each unit
 
     def _with_added(self, data: np.ndarray, off: np.ndarray) -> set[int]:
         """Texts that hold the string of an added token."""
@@ -101,20 +121,33 @@ class UnitEncoder:
             starts = starts[~inner]
             ends = np.append(starts[1:], len(data))
         hashes, at, inverse = np.unique(hash_words(data, starts, ends), return_index=True, return_inverse=True)
+        size = ends - starts
         seen, number = self.known
         place = np.searchsorted(seen, hashes)
-        old = np.zeros(len(hashes), bool)
+        met = np.zeros(len(hashes), bool)
         if len(seen):
-            old = seen[np.minimum(place, len(seen) - 1)] == hashes
+            met = seen[np.minimum(place, len(seen) - 1)] == hashes
+        old = met.copy()
+        old[met] = same_bytes(data, starts[at[met]], size[at[met]], self.bytes, self.upto[number[place[met]]], np.diff(self.upto)[number[place[met]]])
+        odd = np.flatnonzero(~same_bytes(data, starts, size, data, starts[at][inverse], size[at][inverse]))
+        anew = np.concatenate([at[~met], at[met & ~old], odd])
+        ids, sizes = self._fresh(data, starts[anew], ends[anew])
+        first = len(self.ends) - 1
         unit = np.empty(len(hashes), np.int64)
         unit[old] = number[place[old]]
-        unit[~old] = len(self.ends) - 1 + np.arange(np.count_nonzero(~old))
-        ids, sizes = self._fresh(data, starts[at[~old]], ends[at[~old]])
-        ids, upto = np.concatenate([self.ids, ids]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
-        if len(seen) < MEMO:  # else the new units last for this call only
-            self.known = np.insert(seen, place[~old], hashes[~old]), np.insert(number, place[~old], unit[~old])
-            self.ids, self.ends = ids, upto
+        n_new = np.count_nonzero(~met)
+        unit[~met] = first + np.arange(n_new)
+        unit[met & ~old] = first + n_new + np.arange(np.count_nonzero(met & ~old))
         which = unit[inverse]
+        which[odd] = first + len(anew) - len(odd) + np.arange(len(odd))
+        upto = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        ids = np.concatenate([self.ids, ids])
+        if len(seen) < MEMO:  # else the new units last for this call only
+            new = at[~met]
+            self.known = np.insert(seen, place[~met], hashes[~met]), np.insert(number, place[~met], unit[~met])
+            self.ids, self.ends = ids[: upto[first + n_new]], upto[: first + n_new + 1]
+            self.bytes = np.concatenate([self.bytes, data[ranges(starts[new], size[new])]])
+            self.upto = np.concatenate([self.upto, self.upto[-1] + np.cumsum(size[new])])
         length = (upto[1:] - upto[:-1])[which]
         total = np.concatenate([[0], np.cumsum(length)])
         flat = ids[np.repeat(upto[which] - total[:-1], length) + np.arange(total[-1])]
@@ -144,10 +177,15 @@ def _encoder(path: str, end_id: int):
     return run
 
 
+def ranges_wanted(docs: DataFrame) -> int:
+    """As many ranges as there are RANGE_BYTES of text, but at least the session's shuffle partitions."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, partitions: int | None = None) -> str:
     """Encodes ``docs`` (doc_id, text) and writes the ORC files under ``path`` in ascending doc_id order."""
-    spark = docs.sparkSession
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = partitions or ranges_wanted(docs)
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(partitions, *order).sortWithinPartitions(*order)
     (

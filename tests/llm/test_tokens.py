@@ -85,6 +85,24 @@ def greedy(word, vocabulary):
     return n
 
 
+def test_units_with_one_hash_are_told_apart(monkeypatch):
+    """Whatever the hash does, even if all units get the same, ids are the library's."""
+    a, b = "ab", "ba"
+    for _ in range(10):
+        a, b = a + b, b + a
+    texts = [f"first {a} word", f"then {b} word", f"{a} {b} {a}", "plain words again", "", "first word"]
+    want = brute_tokens(list(enumerate(texts)))
+    for weak in (None, lambda data, starts, ends: np.zeros(len(starts), np.uint64), lambda data, starts, ends: ((ends - starts) % 3).astype(np.uint64)):
+        if weak:
+            monkeypatch.setattr(op1, "hash_words", weak)
+        encoder = op1.UnitEncoder(BPE)
+        for part in (texts, texts, list(reversed(texts))):
+            ids, ends = encoder(*text_buffer(pa.array(part)))
+            got = {t: ids[x:y].tolist() for t, x, y in zip(part, ends[:-1], ends[1:], strict=True)}
+            for (_, _, n, crc), t in zip(want, texts, strict=True):
+                assert len(got[t]) + 1 == n and zlib.crc32(np.array([*got[t], 2], "<u4").tobytes()) == crc
+
+
 def test_automaton_equals_greedy_matching():
     rng = random.Random(2)
     for vocabulary in ([b"ab", b"abcab", b"bc", b"cabca"], [b"a", b"aa", b"aaaa", b"b"], [b" a", b" abc", b"bcd", b"cd"]):
