@@ -1,8 +1,9 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Vocabulary: word beginnings (4 to 10 characters) and whole words that occur in toxic examples more often than chance
-allows (log-likelihood ratio); all other words together are one more term. A text is the vector
-of its term shares times the terms' weights, so the cosine also sees how dense the toxic terms are. The K nearest
+allows (log-likelihood ratio); all other words together are one more term. A text is the vector of its term shares
+times the terms' weights, ln((1 + N) / (1 + df)) with N and df counted over all documents (the last term weighs as much
+as the terms of a middling toxic example), so the cosine also sees how dense the toxic terms are. The K nearest
 examples vote, weighted by their distance; a logistic curve, fitted on the examples' own left-one-out votes, turns
 votes into probabilities. Neighbours are returned as evidence.
 
@@ -10,12 +11,13 @@ The index keeps, for each term, its examples' weights by blocks of BLOCK example
 A query bounds every block by the largest weights, visits blocks from the highest bound on, and stops when no bound
 reaches its K-th neighbour: the result is exact.
 
-Fitting uses at most ``2 * (PER_CLASS[0] + PER_CLASS[1])`` labelled rows (documented bound); every text is scored,
-whole.
+Fitting uses at most ``2 * (PER_CLASS[0] + PER_CLASS[1])`` labelled rows of at most ``sampling.SAMPLE_BYTES`` bytes
+(documented bounds); every text is counted and scored, whole.
 
-Defined cases: null or empty text, or no training row of both classes: score of a text without any term (0 without
-examples). Repeated rows are scored each; null doc_id: held_out null, never trained on; ties between examples go to
-the smaller example number; a document with several labels counts each; extra columns are ignored.
+Defined cases: a text without a word (null, empty, no letter) is no vector: its score is the share of toxic rows among
+all training labels, without evidence. No training row of both classes: score 0. Repeated rows are scored each, repeated labels and documents with the same id and text count once in fitting;
+null doc_id: held_out null, never trained on; ties between examples go to the smaller example number; a document with
+several labels counts each; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table, spread, text_slices
-from .sampling import by_class, fold
+from .sampling import bounded, by_class, fold
 
 #: Examples wanted of the classes 0 and 1.
 PER_CLASS = (1500, 1000)
@@ -126,9 +128,11 @@ class BlockMaxIndex:
         return index
 
     def nearest(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
-        """(cosine, example) of the ``k`` nearest examples, ties to the smaller number."""
+        """(cosine, example) of the ``k`` nearest examples, ties to the smaller number; none for an empty query."""
+        if not query or not self.n:
+            return []
         terms, values = list(query), np.array(list(query.values()))
-        bounds = values @ self.largest[terms] if terms else np.zeros(self.largest.shape[1])
+        bounds = values @ self.largest[terms]
         best: list[tuple[float, int]] = []
         for block in np.argsort(-bounds, kind="stable").tolist():
             if len(best) >= k and bounds[block] < best[-1][0] - 1e-12:  # of equal ones the smaller number counts
@@ -154,6 +158,7 @@ class Model:
     toxic: np.ndarray
     doc_ids: list[int]
     curve: tuple[float, float]
+    base: float = 0.0  # score of a text that is no vector
     k: int = K
 
     def vector(self, shares: dict[int, float]) -> dict[int, float]:
@@ -163,12 +168,12 @@ class Model:
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Mean label of the neighbours, the nearer the heavier."""
-        if not near:
-            return 0.0
         w = np.array([1 / (0.02 + max(0.0, 1 - s)) for s, _ in near])
         return float((w * self.toxic[[i for _, i in near]]).sum() / w.sum())
 
     def score(self, near: list[tuple[float, int]]) -> float:
+        if not near:
+            return self.base
         a, b = self.curve
         return float(1 / (1 + np.exp(-(a * self.vote(near) + b))))
 
@@ -186,28 +191,57 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(0.0, float(a)), float(b)
 
 
+def document_counts(docs: DataFrame, terms: list[str]) -> tuple[int, np.ndarray]:
+    """Number of all documents, and of those that hold each term (the last: any word at all); a row of sums for each
+    task and term is shuffled."""
+    held = docs.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counting, seen, df = Counting(held.value), 0, np.zeros(len(held.value) + 1, np.int64)
+        for batch in batches:
+            for rows in text_slices(batch):
+                seen += rows.num_rows
+                for t in rows.column("text").to_pylist():
+                    df[list(counting(plain(t)))] += 1
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(df[some], seen))], names=["term", "n"])
+
+    counts = np.zeros(len(terms) + 1)
+    total = 0
+    for r in spread(docs.select("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # a row for each term
+        if r["term"] < 0:
+            total = r["n"]
+        else:
+            counts[r["term"]] = r["n"]
+    return total, counts
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Fits on a bounded sample of ``labels`` (doc_id, toxic) and their texts; None unless both classes occur."""
-    labels = labels.select("doc_id", "toxic")
+    labels = labels.select("doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)")
+    share = labels.agg(F.avg("toxic")).first()[0]
     sample = by_class(labels.where("toxic = 0"), "toxic", PER_CLASS[0], 1).union(by_class(labels.where("toxic = 1"), "toxic", PER_CLASS[1], 1))
     # the sample is bounded, so it can be broadcast whatever the size of either table
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text")
-    got = sorted((r["doc_id"], r["toxic"], plain(r["text"])) for r in rows.collect())
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text", F.xxhash64("doc_id", "toxic", "text").alias("_at"))
+    got = sorted((r["doc_id"], r["toxic"], plain(r["text"])) for r in bounded(rows, "_at", 2 * sum(PER_CLASS), "text").collect())
+    got = [g for g in got if g[2].strip()]
     toxic = np.array([y for _, y, _ in got], np.int64)
     if not len(toxic) or not 0 < toxic.sum() < len(toxic):
         return None
     texts = [t for *_, t in got]
     terms = choose_terms(texts, toxic)
     shares = [Counting(terms)(t) for t in texts]
-    df = np.ones(len(terms) + 1)
-    for s in shares:
-        df[list(s)] += 1
-    weight = np.log((2 + len(texts)) / df)
+    total, df = document_counts(docs, terms)
+    return build(got, toxic, terms, shares, np.log((1 + total) / (1 + df)), float(share))
+
+
+def build(got: list[tuple], toxic: np.ndarray, terms: list[str], shares: list[dict[int, float]], weight: np.ndarray, base: float) -> Model:
+    """The model of examples (doc_id, toxic, plain text) with their term shares and the terms' idf."""
     # the rest weighs as much as the terms of a middling toxic example, so that cosine tells dense from thin
     mass = [m for s, y in zip(shares, toxic, strict=True) if y and (m := sum((v * weight[t]) ** 2 for t, v in s.items() if t < len(terms)) ** 0.5)]
     weight[-1] = 0.5 * float(np.median(mass)) if mass else 1.0
     # like examples share blocks: order by class, strongest term and density
-    model = Model(terms, weight, BlockMaxIndex(0, 0), toxic, [], (0.0, 0.0))
+    model = Model(terms, weight, BlockMaxIndex(0, 0), toxic, [], (0.0, 0.0), base)
     vectors = [model.vector(s) for s in shares]
     order = sorted(range(len(vectors)), key=lambda k: (max(vectors[k], key=vectors[k].get, default=-1), toxic[k], k))
     dense = np.zeros((len(vectors), len(terms) + 1))
@@ -215,7 +249,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
         for t, v in vectors[k].items():
             dense[place, t] = v
     model.index, model.toxic, model.doc_ids = BlockMaxIndex.of(dense), toxic[order], [got[k][0] for k in order]
-    votes = np.array([model.vote(model.index.nearest(vectors[k], K, without=place)) for place, k in enumerate(order)])
+    votes = np.array([model.vote(near) if (near := model.index.nearest(vectors[k], K, without=place)) else base for place, k in enumerate(order)])
     model.curve = _logistic(votes, model.toxic)
     return model
 
