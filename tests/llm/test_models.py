@@ -1,6 +1,7 @@
 """Toxicity, language identification, nearest neighbours, sampling."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from maskflow.llm import op7_toxicity as op7
 from maskflow.llm import op9_ann as op9
 from maskflow.llm import op10_language as op10
-from maskflow.llm.sampling import by_class, fold
+from maskflow.llm.sampling import bounded, by_class, fold
 
 SF = "/root/testdata/sf0.01"
 LARGER = "/root/testdata/sf0.1"
@@ -93,13 +94,65 @@ def test_toxicity_cases(spark):
     got = op7.score(docs, model, keep=True, prefix="_t_")
     assert got.columns == [*docs.columns, "_t_score", "_t_predicted", "_t_evidence"] and got.count() == docs.count()
     by = {r.doc_id: r._t_score for r in got.collect()}
-    assert by[4] == by[5] == by[6]
+    share = 13 / 41  # of toxic rows among the labels with an id
+    assert by[4] == by[5] == by[6] == by[12] == pytest.approx(share)
+    assert all(r._t_evidence == [] and r._t_predicted == 0 for r in got.where("doc_id in (4, 5, 6, 12)").collect())
     for nothing in (labels.limit(0), labels.where("toxic = 1")):
         assert op7.fit(docs, nothing) is None
     assert {r.score for r in op7.score(docs, None).collect()} == {0.0}
     assert op7.score(docs.limit(0), model).collect() == []
 
 
+def test_empty_texts_score_the_base_rate(spark, tables):
+    docs, labels = tables["documents"], tables["labels"]
+    model = op7.fit(docs, labels)
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, " \n"), (4, "12 34 !!")], "doc_id long, text string")
+    got = op7.score(odd, model).collect()
+    base = labels.where("toxic in (0, 1)").agg(F.avg("toxic")).first()[0]
+    assert 0 < base < 0.5 and {(round(r.score, 9), r.predicted, tuple(r.evidence)) for r in got} == {(round(base, 9), 0, ())}
+
+
+def test_scores_equal_brute_force(tables):
+    """Counts, idf, cosine, votes and curve in plain loops over the same terms."""
+    docs, labels = tables["documents"], tables["labels"]
+    model = op7.fit(docs, labels)
+    texts = {r.doc_id: op7.plain(r.text) for r in docs.collect()}
+    label = {r.doc_id: r.toxic for r in labels.collect()}
+    holds = [sum(t in text for text in texts.values()) for t in model.terms]
+    assert np.allclose(model.weight[:-1], np.log((1 + len(texts)) / (1 + np.array(holds))))
+
+    def vector(text):
+        words = text.split()
+        x = [sum(f" {w} ".startswith(t) for w in words) / len(words) * k for t, k in zip(model.terms, model.weight, strict=False)]
+        x = np.array([*x, model.weight[-1]])
+        return x / np.linalg.norm(x)
+
+    examples = np.array([vector(texts[i]) for i in model.doc_ids])
+    got = {r.doc_id: (r.score, r.evidence) for r in op7.score(docs, model).collect()}
+    for i in sorted(texts)[:60]:
+        if not texts[i].strip():
+            continue
+        cosine = (examples @ vector(texts[i])).round(12)
+        near = np.argsort(-cosine, kind="stable")[: op7.K]
+        w = 1 / (0.02 + np.maximum(0, 1 - cosine[near]))
+        vote = (w * [label[model.doc_ids[j]] for j in near]).sum() / w.sum()
+        score = 1 / (1 + np.exp(-(model.curve[0] * vote + model.curve[1])))
+        assert got[i][0] == pytest.approx(score, abs=1e-6), i
+
+
+def test_samples_are_bounded_whatever_repeats(spark):
+    rows = spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("a").alias("lang"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    others = spark.range(3_000).select(F.col("id").alias("doc_id"), F.lit("b").alias("lang"), F.lit("other").alias("text"))
+    both = rows.union(others)
+    got = by_class(both.select("doc_id", "lang"), "lang", 100, 4)
+    assert got.where("lang = 'a'").count() == 1 and 50 <= got.where("lang = 'b'").count() <= 200
+    assert by_class(both, "lang", 100, 4, "text").count() <= 400
+    narrow = bounded(both.withColumn("_at", F.xxhash64("doc_id", "text")), "_at", 10_000, "text", 1_000)
+    assert 50 <= narrow.count() <= 200 and narrow.agg(F.sum(F.octet_length("text"))).first()[0] <= 1_000
+    model = op7.fit(both.select("doc_id", "text"), both.select("doc_id", F.when(F.col("lang") == "a", 1).otherwise(0).alias("toxic")))
+    assert model is None or len(model.doc_ids) <= 2 * sum(op7.PER_CLASS)
+
+
 # --- languages -------------------------------------------------------------------------------------------------
 
 
@@ -122,6 +175,51 @@ def test_language_features_equal_plain_loops():
     assert (again[0] == counts[0]).all()
 
 
+def test_verdict_and_rejection_equal_brute_force(tables):
+    docs = tables["documents"]
+    model = op10.fit(docs, per_language=60)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    some = {i: c for i, t in texts.items() if len(c := set(grams(t)))}
+    places = {g: int(np.flatnonzero(place_of(g))[0]) for g in ("e", "th", "the", " th")}
+    df = {g: sum(any(places[g] == p for p in map(hashed, c)) for c in some.values()) for g in ("the",)}
+    assert model.idf[places["the"]] == pytest.approx(np.log((1 + len(some)) / (1 + df["the"])) + 0.1)
+    for r in op10.predict(docs.limit(80), model).collect():
+        counts = np.zeros(op10.DIM)
+        for g in grams(texts[r.doc_id]):
+            counts[hashed(g)] += 1
+        x = np.log1p(counts) * model.idf
+        if not counts.any():
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0, True)
+            continue
+        cosine = [float(x @ c / np.linalg.norm(x) / np.linalg.norm(c)) for c in model.centroids]
+        letters = sum(map(str.isalpha, texts[r.doc_id].lower()))
+        at = [np.log(k) for k, _ in model.bounds]
+        bound = np.interp(np.log(letters), at, [b for _, b in model.bounds])
+        assert r.score == pytest.approx(max(cosine), abs=1e-4)
+        assert r.lang_pred == model.languages[int(np.argmax(cosine))] or sorted(cosine)[-1] - sorted(cosine)[-2] < 1e-5
+        assert r.rejected == (r.score < bound)
+
+
+def grams(text):
+    """Runs of other characters are one space; n-grams of one to three characters, single spaces left out."""
+    line = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+    line = re.sub(" +", " ", line)
+    return [line[k : k + n] for n in (1, 2, 3) for k in range(len(line) - n + 1) if line[k : k + n] != " "] if line.strip() else []
+
+
+def hashed(gram):
+    h = 0
+    for n, c in enumerate(gram):
+        h = (h * 0x100000001B3 + ord(c) + n + 1) % 2**64 if n else ord(c) + 1
+    return (h * 0x9E3779B97F4A7C15) % 2**64 >> 52
+
+
+def place_of(gram):
+    x = np.zeros(op10.DIM)
+    x[hashed(gram)] = 1
+    return x
+
+
 def test_language_cases(spark):
     docs = documents(spark)
     model = op10.fit(docs)
@@ -200,7 +298,7 @@ def test_recall_and_scores(tables):
 
 def test_small_tables_are_exact_and_ties_go_to_small_ids(spark, monkeypatch):
     monkeypatch.setattr(op9, "SHARD", 30)
-    monkeypatch.setattr(op9, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(op9, "TOGETHER", 5)
     rng = np.random.default_rng(2)
     rows = [(k, rng.normal(size=8).astype(np.float32).tolist()) for k in range(60)]
     rows += [(k, rows[7][1]) for k in range(100, 200)]
@@ -210,6 +308,38 @@ def test_small_tables_are_exact_and_ties_go_to_small_ids(spark, monkeypatch):
     assert got == {q: [(i, round(s, 9)) for i, s in v] for q, v in brute(rows, lambda i: i % 20 == 0, 5).items()}
 
 
+def test_cells_grow_and_recall_holds(spark):
+    """Two sizes of clustered vectors: more cells, a smaller share of them visited, the same recall."""
+    rng = np.random.default_rng(3)
+    shares = []
+    for n in (2_000, 16_000):
+        centers = rng.normal(size=(n // 100, 16))
+        x = centers[rng.integers(0, len(centers), n)] + 0.2 * rng.normal(size=(n, 16))
+        rows = list(enumerate(x.astype(np.float32).tolist()))
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+        seen = []
+        real = op9._trials
+        op9._trials = lambda *a: seen.append((real(*a), len(a[-1].coarse))) or seen[0][0]
+        try:
+            got = {}
+            for r in op9.nearest(df, "vec_id % 200 = 0").collect():
+                got.setdefault(r.query_id, set()).add(r.vec_id)
+        finally:
+            op9._trials = real
+        want = brute(rows, lambda i: i % 200 == 0, 20)
+        assert sum(len(got[q] & {i for i, _ in v}) for q, v in want.items()) >= 0.9 * 20 * len(want)
+        shares.append(seen[0])
+    assert shares[1][1] > 2 * shares[0][1] and shares[1][0] / shares[1][1] < shares[0][0] / shares[0][1]
+
+
+def test_hot_cells_are_split_and_rows_move_once():
+    counts = np.array([10, 0, 500, 30, 30, 30])
+    first, parts, n = op9._shards(counts)
+    assert n >= 20 and parts[2] > 10 and parts[0] == 1
+    spans = sorted((f, f + p) for f, p, c in zip(first.tolist(), parts.tolist(), counts.tolist(), strict=True) if c)
+    assert all(b <= c or (a, b) == (c, d) for (a, b), (c, d) in zip(spans, spans[1:], strict=False)) and spans[-1][1] <= n
+
+
 def test_vectors_that_take_no_part(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.5, 0.5]), (1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [None, 1.0]), (None, [1.0, 1.0]), (6, [1.0, 2.0, 3.0]), (7, [0.1, 0.9]), (7, [0.1, 0.9]), (40, [0.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("old"))
