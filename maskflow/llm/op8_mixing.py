@@ -14,12 +14,14 @@ digest, and rows are kept by comparing with it: texts are never shuffled.
 
 Defined cases: null domain, lang or source is a value ``(none)`` of its own; null text has no tokens; documents
 without tokens are taken where the prefix passes them; rows equal in doc_id and text share a place and are taken
-together; empty table: no rows; budgets are rounded down at each node (less than one token a child is lost).
+together; a weight of 0 leaves a node out (its share goes to its siblings), a negative one is an error; empty table: no rows; budgets are rounded down at each node (less than one token a child is lost).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,11 +44,19 @@ class Mix:
     #: SQL expression of a document's domain.
     domain: str = "concat('d', cast(nullif(regexp_extract(source, '[0-9]+', 0), '') as int) % 4)"
 
+    def __post_init__(self) -> None:
+        if any(w < 0 for names in self.weights.values() for w in names.values()) or self.percent < 0 or self.epochs < 0:
+            raise ValueError("weights, percent and epochs can't be negative")
+
+    def closed(self, level: str) -> list[str]:
+        """Names of weight 0 at a level: what lies under them is left out, and its share goes to the siblings."""
+        return sorted(k for k, w in self.weights.get(level, {}).items() if w == 0)
+
 
 def _named(column: Column, names: dict[str, int]) -> Column:
     out = F.lit(1)
     for name, weight in names.items():
-        out = F.when(column == name, F.lit(weight)).otherwise(out)
+        out = F.when(column == name, F.lit(max(weight, 1))).otherwise(out)  # a node of weight 0 has no supply
     return out.cast("long")
 
 
@@ -87,11 +97,14 @@ def _share(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
 def budgets(supply: DataFrame, mix: Mix) -> DataFrame:
     """(_domain, _lang, _source, tokens of one pass) of each leaf -> budget, passes (whole ones) and rest (of the next)."""
     columns = [f"_{level}" for level in LEVELS]
-    level = supply.groupBy(columns[0]).agg(F.sum("tokens").alias("supply")).withColumn("above", F.expr(f"sum(supply) over () * {mix.percent} div 100"))  # a row for each domain
+    out = reduce(or_, (F.col(c).isin(mix.closed(name)) if mix.closed(name) else F.lit(False) for c, name in zip(columns, LEVELS, strict=True)))
+    supply = supply.withColumn("open", F.when(out, F.lit(0)).otherwise(F.col("tokens")).cast("long"))
+    level = supply.groupBy(columns[0]).agg(F.sum("open").alias("supply"), F.sum("tokens").alias("tokens"))  # a row for each domain
+    level = level.withColumn("above", F.expr(f"sum(tokens) over () * {mix.percent} div 100")).drop("tokens")
     for k, column in enumerate(columns):
         if k:
             down = level.select(*columns[:k], F.col("budget").alias("above"))
-            level = supply.groupBy(*columns[: k + 1]).agg(F.sum("tokens").alias("supply")).join(down, columns[:k])
+            level = supply.groupBy(*columns[: k + 1]).agg(F.sum("open").alias("supply")).join(down, columns[:k])
         level = level.withColumns({"supply": F.col("supply") * mix.epochs, "weight": _named(F.col(column), mix.weights.get(LEVELS[k], {}))})
         level = _share(level, columns[:k], column)
     return level.join(supply, columns).select(*columns, "tokens", "budget", F.expr("cast(case when tokens > 0 then budget div tokens else 0 end as int)").alias("passes"), F.expr("case when tokens > 0 then budget % tokens else 0 end").alias("rest"))
@@ -131,9 +144,9 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def level_sql(columns: list[str], name: str, above: str, mix: Mix) -> str:
     """SQL of one level: a row for each node with its budget. ``above``: the table with the parents' budgets."""
     parent, node = columns[:-1], columns[-1]
-    weight = " ".join(["CASE", *(f"WHEN {node} = '{k}' THEN {v}" for k, v in mix.weights.get(node, {}).items()), "ELSE 1 END"]) if mix.weights.get(node) else "1"
+    weight = " ".join(["CASE", *(f"WHEN {node} = '{k}' THEN {max(v, 1)}" for k, v in mix.weights.get(node, {}).items()), "ELSE 1 END"]) if mix.weights.get(node) else "1"
     by = f"PARTITION BY {', '.join(parent)}" if parent else ""
-    source = f"(SELECT {', '.join(columns)}, sum(tokens)::BIGINT * {mix.epochs} AS supply, {weight} AS weight FROM supply GROUP BY {', '.join(columns)}) {'JOIN' if parent else 'CROSS JOIN'} {above}{' USING (' + ', '.join(parent) + ')' if parent else ''}"
+    source = f"(SELECT {', '.join(columns)}, sum(open)::BIGINT * {mix.epochs} AS supply, {weight} AS weight FROM supply GROUP BY {', '.join(columns)}) {'JOIN' if parent else 'CROSS JOIN'} {above}{' USING (' + ', '.join(parent) + ')' if parent else ''}"
     line = f"OVER ({by} ORDER BY supply::DOUBLE / weight, {node})"
     return f"""
 {name}1 AS (SELECT *, row_number() {line} AS k, (sum(supply) {line})::HUGEINT - supply AS filled, (sum(weight) OVER ({by}))::HUGEINT - (sum(weight) {line})::HUGEINT + weight AS open FROM {source}),
@@ -145,11 +158,13 @@ def level_sql(columns: list[str], name: str, above: str, mix: Mix) -> str:
 def mixing_sql(mix: Mix, documents: str, domain: str) -> str:
     """SQL whose table ``taken`` has a row for each taken document and pass."""
     leaf = "domain, lang, source"
+    closed = [f"{name} = '{k}'" for name in LEVELS for k in mix.closed(name)]
+    out = " OR ".join(closed) or "false"
     return f"""
 small AS (SELECT *, coalesce({domain}, '(none)') AS domain, coalesce(doc_lang, '(none)') AS lang, coalesce(doc_source, '(none)') AS source,
   len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens, md5(coalesce(text, '')) AS digest
   FROM (SELECT * RENAME (lang AS doc_lang, source AS doc_source) FROM {documents})),
-supply AS (SELECT {leaf}, sum(n_tokens)::BIGINT AS tokens FROM small GROUP BY ALL),
+supply AS (SELECT {leaf}, sum(n_tokens)::BIGINT AS tokens, CASE WHEN {out} THEN 0 ELSE tokens END AS open FROM small GROUP BY {leaf}),
 root AS (SELECT coalesce(sum(tokens), 0)::BIGINT * {mix.percent} // 100 AS above FROM supply),
 {level_sql(["domain"], "la", "root", mix)}, {level_sql(["domain", "lang"], "lb", "la", mix)}, {level_sql(["domain", "lang", "source"], "lc", "lb", mix)},
 leaves AS (SELECT {leaf}, tokens, CASE WHEN tokens > 0 THEN above // tokens ELSE 0 END AS passes, CASE WHEN tokens > 0 THEN above % tokens ELSE 0 END AS rest FROM lc JOIN supply USING ({leaf})),
