@@ -5,8 +5,8 @@ measures (length, symbols, stop words, lines, repeated word windows) are array a
 alone: no shuffle, no user function.
 
 Defined cases: null text has no words and no lines (all counts 0, base_failed, not kept); an empty table gives no
-rows; repeated rows are judged each; extra columns are ignored by ``measure`` (``judge`` passes them on where their
-names don't clash with its own).
+rows; repeated rows are judged each; extra columns are ignored, but for those named in ``keep``: these are passed on,
+and one that has the name of a measure or verdict is an error.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import read_table, spread
 
-#: Frequent function words of English, German, French and Spanish.
+#: Frequent function words of English, German, French and Spanish; they count with a capital, too.
 STOP_WORDS = (
     "the of and to in that is it for with as was by on are be at or from this "
     "der die und das zu den von mit nicht ist des im für auf ein eine dem sich auch "
@@ -48,26 +48,31 @@ RULES = (
     Rule("words_not_too_short", "word_chars", 200, "n_words", at_least=True),
     Rule("words_not_too_long", "word_chars", 1600, "n_words"),
     Rule("few_symbols", "n_symbols", 25, "n_words"),
-    Rule("stop_words", "n_stop_words", 200, "1", at_least=True),
+    Rule("stop_words", "n_stop_words", 5, "n_words", at_least=True),
     Rule("few_repeated_lines", "n_dup_lines", 50, "n_lines"),
 )
 
 
+#: The columns that ``judge`` makes.
+OWN = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_lines", "base_failed", "kept", "failed_rules")
+
+
 def measure(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (doc_id) and the measures of each text."""
     keep = keep or ["doc_id"]
+    if clash := sorted({c.lower() for c in keep} & set(OWN)):
+        raise ValueError(f"columns that this operator makes itself can't be kept: {clash}")
     text = "coalesce(text, '')"
     words = docs.select(*keep, F.expr(text).alias("_text"), F.expr(f"array_remove(split({text}, '{_SPACE}+'), '')").alias("_words"))
     # windows of three words as 64-bit hashes; most texts repeat none, and only the others look for where
     grams = words.withColumn("_grams", _grams())
-    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
     lines = "filter(split(_text, '\\\\n'), x -> x rlike '[^\\\\x20\\\\x09-\\\\x0D]')"
     measured = grams.select(
         *keep,
         F.expr("cast(size(_words) as bigint)").alias("n_words"),
         F.expr("cast(length(concat_ws('', _words)) as bigint)").alias("word_chars"),
         F.expr(f"cast(length(_text) - length(translate(_text, '{SYMBOLS}', '')) as bigint)").alias("n_symbols"),
-        F.expr(f"cast(size(array_intersect(_words, array({stop}))) as bigint)").alias("n_stop_words"),
+        F.expr(f"cast(size(filter(_words, w -> w in ({_stop_list()}))) as bigint)").alias("n_stop_words"),
         F.expr(lines).alias("_lines"),
         F.when(F.expr("size(_grams) > size(array_distinct(_grams))"), F.sort_array(F.arrays_zip(F.col("_grams").alias("gram"), F.expr("sequence(0, size(_grams) - 1)").alias("at")))).alias("_sorted"),
     )
@@ -86,6 +91,10 @@ def measure(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     )
 
 
+def _stop_list() -> str:
+    return ", ".join(f"'{w}'" for w in sorted({*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)}))
+
+
 def _grams() -> Column:
     w = F.col("_words")
     n = F.size(w)
@@ -111,7 +120,6 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     words = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
-    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
     names = ", ".join(f"CASE WHEN NOT ({r.sql()}) THEN '{r.name}' END" for r in (*BASE, *RULES))
     both, all_rules = (" AND ".join(f"({r.sql()})" for r in x) for x in (BASE, (*BASE, *RULES)))
     return f"""
@@ -123,7 +131,7 @@ m AS (
   SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
     (length(text) - length(translate(text, '{SYMBOLS}', '')))::BIGINT AS n_symbols,
     (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
-    len(list_intersect(list_distinct(ws), [{stop}]))::BIGINT AS n_stop_words, len(ls)::BIGINT AS n_lines
+    len(list_filter(ws, lambda w: w IN ({_stop_list()})))::BIGINT AS n_stop_words, len(ls)::BIGINT AS n_lines
   FROM (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM w) LEFT JOIN c USING (rid))
 SELECT *, NOT ({both}) AS base_failed, {all_rules} AS kept, concat_ws(',', {names}) AS failed_rules FROM m"""
 

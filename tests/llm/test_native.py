@@ -1,6 +1,7 @@
 """Quality rules, chat formatting, mixing: built-in functions only."""
 
 import json
+import random
 import re
 from collections import Counter
 
@@ -33,9 +34,10 @@ def brute_quality(text):
     n = len(words)
     chars, symbols = sum(map(len, words)), sum(c in "#*$%&|<>" for c in text)
     repeated = len(lines) - len(set(lines))
-    stop = len(set(words) & set(op4.STOP_WORDS))
+    names = set(op4.STOP_WORDS) | {w.capitalize() for w in op4.STOP_WORDS}
+    stop = sum(w in names for w in words)
     base_failed = n < 50 or 100 * len(covered) > 50 * n
-    good = 200 * n <= 100 * chars <= 1600 * n and 100 * symbols <= 25 * n and stop >= 2 and 100 * repeated <= 50 * len(lines)
+    good = 200 * n <= 100 * chars <= 1600 * n and 100 * symbols <= 25 * n and 100 * stop >= 5 * n and 100 * repeated <= 50 * len(lines)
     return n, chars, symbols, repeated, len(covered), base_failed, not base_failed and good
 
 
@@ -60,6 +62,35 @@ def test_other_thresholds(spark):
     assert op4.judge(docs, (op4.Rule("three", "n_words", 300, "1", True),), (op4.Rule("short", "word_chars", 100, "n_words"),)).first().kept
 
 
+def test_junk_with_some_stop_words_is_not_kept(spark):
+    junk = " ".join(f"xq{k}zt" for k in range(400)) + " the of and"
+    prose = " ".join(f"xq{k}zt The" if k % 15 == 0 else f"xq{k}zt" for k in range(400))
+    docs = spark.createDataFrame([(1, junk), (2, prose)], "doc_id long, text string")
+    assert {r.doc_id: (r.kept, r.failed_rules) for r in op4.judge(docs).collect()} == {1: (False, ["stop_words"]), 2: (True, [])}
+
+
+def test_kept_columns_never_clash(spark):
+    docs = documents(spark)
+    assert op4.judge(docs, keep=["doc_id", "lang", "part"]).columns[:3] == ["doc_id", "lang", "part"]
+    with pytest.raises(ValueError, match="n_words"):
+        op4.judge(docs, keep=["doc_id", "n_words"])
+
+
+@pytest.mark.parametrize("module", [op4, op5, op8])
+def test_sql_gives_the_same(spark, module):
+    duckdb = pytest.importorskip("duckdb")
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    for name, sql in module.ORACLE.items():
+        got = module.QUERIES[name](spark, sf)
+        want = con.execute(sql)
+        columns = [d[0] for d in want.description]
+        assert sorted(got.columns) == sorted(columns)
+        assert sorted((tuple(r) for r in got.select(columns).collect()), key=repr) == sorted(want.fetchall(), key=repr)
+
+
 # --- chat ------------------------------------------------------------------------------------------------------
 
 
@@ -83,23 +114,37 @@ def test_chat_links_orders_and_serialises(spark):
     assert op5.format_turns(df.limit(0)).collect() == []
 
 
-def test_depths_of_chains_trees_and_cycles(spark):
+def test_depths_of_chains_graphs_and_cycles(spark):
+    rng = random.Random(6)
     rows = [(f"c{k}", f"c{k - 1}" if k else None) for k in range(100)]
     rows += [(f"t{k}", f"t{(k - 1) // 3}" if k else None) for k in range(40)]
-    rows += [("x", "y"), ("y", "x"), ("z", "x"), ("self", "self"), ("stray", "nobody")]
-    got = {r.call_id: r.depth for r in op5.depths(spark.createDataFrame(rows, "call_id string, parent_id string")).collect()}
-    parents = dict(rows)
-
-    def depth(c):
-        seen, n = set(), 0
-        while parents.get(c) in parents:
-            if c in seen:
-                return None
-            seen.add(c)
-            c, n = parents[c], n + 1
-        return n
-
-    assert got == {c: depth(c) for c in parents}
+    rows += [("x", "y"), ("y", "x"), ("z", "x"), ("self", "self"), ("stray", "nobody"), ("known", "nobody"), ("known", "c4")]
+    rows += [(f"g{k}", f"g{j}") for k in range(1, 60) for j in sorted(rng.sample(range(k), min(k, rng.randint(1, 3))))] + [("g0", None)]
+    rows += [("late", "c99"), ("late", "t39"), ("after", "late"), ("after", "late"), ("both", "x"), ("both", "c1")]
+    parents = {}
+    for c, p in rows:
+        parents.setdefault(c, set()).add(p)
+    for c in parents:
+        parents[c] = {p for p in parents[c] if p in parents}
+    depth, moved = {}, True
+    while moved:
+        more = {c: max((depth[p] + 1 for p in ps), default=0) for c, ps in parents.items() if c not in depth and ps <= depth.keys()}
+        moved = bool(more)
+        depth |= more
+    calls = spark.createDataFrame([(c,) for c in parents], "call_id string")
+    edges = spark.createDataFrame(rows, "call_id string, parent_id string")
+    got = op5.depths(calls, edges)
+    assert native(got) and dict(got.dtypes)["depth"] == "bigint"
+    assert {r.call_id: r.depth for r in got.collect()} == {c: depth.get(c) for c in parents}
+    linked = {r.call_id: r for r in op5.link(edges, calls.limit(0)).collect()}
+    assert linked["after"].n_calls == 2 and linked["late"].n_calls == 1 and linked["late"].depth == 100
+
+
+def test_long_texts_are_formatted_whole(spark):
+    text = "long \"text\" " * 40_000
+    out = op5.format_turns(spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")).orderBy("turn").collect()
+    assert [r.status for r in out] == ["linked", "linked"]
+    assert json.loads(out[0].message)["arguments"]["prompt"] == text and json.loads(out[1].message)["content"] == text
 
 
 def test_arguments_are_checked(spark):
@@ -160,6 +205,26 @@ def test_budgets_flow_to_siblings_first(spark, percent, epochs):
     assert got == brute_budgets(supply, mix)
 
 
+def test_weight_zero_leaves_a_node_out(spark):
+    supply = {("d0", "en", "a"): 100, ("d0", "de", "c"): 300, ("d1", "de", "d"): 1000, ("d1", "fr", "e"): 50}
+    mix = op8.Mix(weights={"domain": {"d0": 5}, "lang": {"de": 0}}, percent=8, epochs=1)
+    df = spark.createDataFrame([(*k, v) for k, v in supply.items()], "_domain string, _lang string, _source string, tokens long")
+    assert {(r._domain, r._lang, r._source): r.budget for r in op8.budgets(df, mix).collect()} == {("d0", "en", "a"): 96, ("d0", "de", "c"): 0, ("d1", "de", "d"): 0, ("d1", "fr", "e"): 19}
+    docs = documents(spark)
+    taken = op8.mix_documents(docs, op8.Mix(weights={"lang": {"de": 0, "en": 2}}, percent=100, epochs=2))
+    assert taken.where("_lang = 'de'").isEmpty() and not taken.where("_lang = 'en'").isEmpty()
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.register("docs", docs.select("doc_id", "text", "lang", "source").toArrow())
+    query = f"WITH {op8.mixing_sql(op8.Mix(weights={'lang': {'de': 0, 'en': 2}}, percent=100, epochs=2), 'docs', '$$all$$')} SELECT doc_id, lang, source, epoch FROM taken WHERE doc_id IS NOT NULL"
+    same = op8.mix_documents(docs, op8.Mix(weights={"lang": {"de": 0, "en": 2}}, percent=100, epochs=2, domain="'all'"))
+    have = [(r.doc_id, r._lang, r._source, r._epoch) for r in same.select("_row.doc_id", "_lang", "_source", "_epoch").where("doc_id is not null").collect()]
+    assert sorted(con.execute(query).fetchall(), key=str) == sorted(have, key=str)
+    for bad in ({"weights": {"lang": {"de": -1}}}, {"percent": -1}, {"epochs": -1}):
+        with pytest.raises(ValueError, match="negative"):
+            op8.Mix(**bad)
+
+
 @pytest.mark.parametrize("mix", [op8.Mix(), op8.Mix(percent=80, epochs=1), op8.Mix(percent=170, epochs=3, seed=1)])
 def test_prefix_of_each_leaf(spark, mix):
     docs = documents(spark)
