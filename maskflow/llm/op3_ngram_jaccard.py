@@ -1,14 +1,17 @@
 """Exact Jaccard join of word n-gram sets by T-occurrence search, and its connected components.
 
 1. Each text becomes the set of its distinct n-grams (64-bit hashes). Equal sets are one *node* from here on (64-bit
-   hash of the set), so copies cost nothing further and no pair of copies is ever formed.
+   hash of the set), so copies cost nothing further and no pair of copies is ever formed. A node has a *sketch*: for
+   about as many buckets as elements, whether the bucket holds an odd number of them.
 2. Routing. Sets of sizes a <= c that are similar enough differ in at most H(a) elements. Hash ranges cut a set into
-   more than H segments, so such sets agree on a whole segment: nodes that share a segment's signature belong to one
-   candidate family (a star to the least node of the signature; components of the stars). Signatures are combined
-   within each batch before the shuffle, so a signature that a third of all nodes share is shuffled once a batch.
-3. Search. A family's sets go to one task (in chunks beyond CHUNK nodes), which keeps inverted lists and answers each
-   set's T-occurrence query by DivideSkip: the L longest lists are set aside, the short ones are merged in a heap
-   that skips to what can still reach T - L, and survivors are probed in the long lists by binary search. Links
+   more than H segments, so such sets agree on a whole segment: only nodes that share a segment's signature are
+   compared, by their sketches. Sketches differ in no more buckets than sets differ in elements, so a pair whose
+   sketches differ in more can't be linked; the others connect their nodes to candidate families. Signatures of more
+   than GROUP nodes connect all of them without comparing. Very frequent signatures, found in a sample of the texts,
+   are never shuffled: each is combined to its least node in every task, and its nodes are connected to that.
+3. Search. A family's sets go to one task (in chunks beyond CHUNK nodes or CHUNK_BYTES), which keeps inverted lists and
+   answers each set's T-occurrence query by DivideSkip: the L longest lists are set aside, the short ones are merged in
+   a heap that skips to what can still reach T - L, and survivors are probed in the long lists by binary search. Links
    inside a component that is known already add nothing to components and aren't searched again.
 4. Families of many chunks: each chunk is searched along with the same few pivots; if the family is not yet one
    component, the nodes outside its largest one are searched against all its chunks, in blocks of pairs of chunks.
@@ -35,14 +38,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_list, hash_words, lower_ascii, materialize, mix, read_table, text_buffer, text_slices, word_bounds
+from .common import hash_words, lower_ascii, materialize, mix, read_table, text_buffer, text_slices, word_bounds
 from .components import components
 
-#: Nodes of a family that one task searches at once.
-CHUNK = 4096
+#: Nodes of a family, and bytes of their sets, that one task searches at once (more only if a set alone is larger).
+CHUNK, CHUNK_BYTES = 4096, 64 << 20
+#: Nodes of one signature that are compared by sketches.
+GROUP = 4096
+#: One text in SAMPLED is looked at for signatures that occur HOT times among them; so many of these are kept apart.
+SAMPLED, HOT, MOST_HOT = 64, 512, 10_000
+#: Pairs of nodes, and words of their sketches, that are compared in one step.
+PAIRS, PAIR_WORDS = 1 << 20, 1 << 21
 #: Nodes that every chunk of a large family holds besides its own.
 PIVOTS = 32
-#: A segment of fewer elements is weak: its signature alone could also bring unlike sets together.
+#: A segment of fewer elements is weak: its signature alone brings many unlike sets together, to be compared.
 WEAK = 2
 #: The text scan for candidate families gets their ids broadcast up to so many rows, else joins by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -90,6 +99,10 @@ class Threshold:
         large = out[0] <= (most + 1) // 8
         return np.where(large, out[0], out[1]), np.where(large, WEAK, 1)
 
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Most elements that are in just one of two linked sets of these sizes."""
+        return (a + b) * (100 - self.percent) // (100 + self.percent)
+
     def differ(self, size: int | np.ndarray):
         """Most elements that are in just one of two linked sets, the smaller one of this size."""
         return (100 - self.percent) * size // self.percent
@@ -196,8 +209,98 @@ def signatures(flat: np.ndarray, off: np.ndarray, rule: Threshold) -> tuple[np.n
     return np.concatenate([s for s, _ in out]).view(np.int64), np.concatenate([r for _, r in out])
 
 
-def _scan(n: int, rule: Threshold):
-    """doc_id, text_key, node, n_shingles; sigs of nodes and links to nodes met before in the slice with the same signature."""
+def sketches(flat: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, offsets): each set's parities of 2^k buckets, the least such number of at least its size and 64."""
+    size = np.diff(off)
+    buckets = (1 << np.ceil(np.log2(np.maximum(size, 64))).astype(np.int64)).astype(np.int64)
+    begin = np.concatenate([[0], np.cumsum(buckets)])
+    owner = np.repeat(np.arange(len(size)), size)
+    at = begin[owner] + (mix(flat ^ np.uint64(0xA5A5A5A5A5A5A5A5)) & (buckets[owner] - 1).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(at, minlength=begin[-1]) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<u8"), begin // 64
+
+
+def alike(size: np.ndarray, words: np.ndarray, begin: np.ndarray, a: np.ndarray, b: np.ndarray, rule: Threshold) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows (a, b) that sizes and sketches allow to be linked."""
+    can = 100 * np.minimum(size[a], size[b]) >= rule.percent * np.maximum(size[a], size[b])
+    a, b = a[can], b[can]
+    width = np.diff(begin)
+
+    def folded(rows: np.ndarray, w: int) -> np.ndarray:
+        """A sketch of more buckets, folded to w words, is that of so many buckets."""
+        place = begin[rows][:, None] + np.arange(w)
+        x = words[place]
+        for k in range(1, int(width[rows].max(initial=w)) // w):
+            more = width[rows] // w > k
+            x[more] ^= words[place[more] + k * w]
+        return x
+
+    most, least_width = rule.apart(size[a], size[b]), np.minimum(width[a], width[b])
+    near = np.zeros(len(a), bool)
+    for w in np.unique(least_width).tolist():
+        same = np.flatnonzero(least_width == w)
+        step = max(1, PAIR_WORDS // w)
+        for at in range(0, len(same), step):
+            some = same[at : at + step]
+            near[some] = np.bitwise_count(folded(a[some], w) ^ folded(b[some], w)).sum(1, dtype=np.int64) <= most[some]
+    return a[near], b[near]
+
+
+def _compare(rule: Threshold):
+    """Edges that connect the nodes of each signature which are alike; rows (sig, node, n_shingles, sketch), in order of sig."""
+
+    def edges_of(rows: pa.Table) -> pa.RecordBatch:
+        sig, node, size = (rows.column(c).to_numpy() for c in ("sig", "node", "n_shingles"))
+        raw = rows.column("sketch").to_pylist()
+        words, begin = np.frombuffer(b"".join(raw), "<u8"), np.concatenate([[0], np.cumsum([len(x) // 8 for x in raw])]).astype(np.int64)
+        last = np.searchsorted(sig, sig, side="right")
+        partners = last - np.arange(len(sig)) - 1
+        upto = np.cumsum(partners)
+        label = np.arange(len(sig))
+        at = 0
+        while at < len(sig):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, side="right")))
+            n = partners[at:to]
+            a = np.repeat(np.arange(at, to), n)
+            b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + a + 1
+            a, b = alike(size, words, begin, a, b, rule)
+            while len(a):  # the least label of each pair spreads, until no pair has two
+                la, lb = label[a], label[b]
+                differ = la != lb
+                if not differ.any():
+                    break
+                a, b, la, lb = a[differ], b[differ], la[differ], lb[differ]
+                np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+                while True:
+                    further = label[label]
+                    if (further == label).all():
+                        break
+                    label = further
+            at = to
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[label[moved]])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig = batch.column("sig").to_numpy()
+            cut = int(np.searchsorted(sig, sig[-1]))  # the last signature may go on
+            if cut or (held and held[-1].column("sig")[-1].as_py() != sig[0]):
+                if cut:
+                    held.append(batch.slice(0, cut))
+                yield edges_of(pa.Table.from_batches(held).combine_chunks())
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield edges_of(pa.Table.from_batches(held).combine_chunks())
+
+    return run
+
+
+def _scan(n: int):
+    """doc_id, text_key, node, n_shingles and, at a node's first row in a slice, its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,25 +309,43 @@ def _scan(n: int, rule: Threshold):
                 size, node = np.diff(off), set_keys(flat, off)
                 _, once = np.unique(node, return_index=True)
                 once = np.sort(once[size[once] > 0])
-                one_off = np.concatenate([[0], np.cumsum(size[once])])
-                take = np.arange(one_off[-1]) + np.repeat(off[once] - one_off[:-1], size[once])
-                sign, of = signatures(flat[take], one_off, rule)
-                of = once[of]
-                order = np.lexsort((node[of], sign))
-                sign, of = sign[order], of[order]
-                new = np.ones(len(sign), bool)
-                new[1:] = sign[1:] != sign[:-1]
-                heads = of[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(sign) else of
-                join = np.flatnonzero(~new & (node[heads] != node[of]))
-                links = np.unique(np.stack([of[join], heads[join]]), axis=1)
-                sign, of = sign[new], of[new]
-                order = np.argsort(of, kind="stable")
-                lists = [arrow_list(x, np.concatenate([[0], np.cumsum(np.bincount(o, minlength=len(size)))]), pa.int64()) for x, o in ((sign[order], of), (node[links[1]], links[0]))]
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), rows.column("text_key"), pa.array(node, pa.int64(), mask=size == 0), pa.array(size, pa.int64()), *lists], names=["doc_id", "text_key", "node", "n_shingles", "sigs", "links"])
+                words, begin = sketches(*_some(flat, off, once))
+                held = np.zeros(len(size), np.int64)
+                held[once] = np.diff(begin) * 8
+                places = pa.array(np.concatenate([[0], np.cumsum(held)]).astype(np.int32))
+                sketch = pa.Array.from_buffers(pa.binary(), len(size), [None, places.buffers()[1], pa.py_buffer(words.tobytes())])
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), rows.column("text_key"), pa.array(node, pa.int64(), mask=size == 0), pa.array(size, pa.int64()), sketch], names=["doc_id", "text_key", "node", "n_shingles", "sketch"])
 
     return run
 
 
+def _some(flat: np.ndarray, off: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of some rows."""
+    size = np.diff(off)[rows]
+    at = np.concatenate([[0], np.cumsum(size)])
+    return flat[np.arange(at[-1]) + np.repeat(off[rows] - at[:-1], size)], at
+
+
+def _signed(texts: DataFrame, n: int, rule: Threshold, hot: np.ndarray, wanted: bool = False) -> DataFrame:
+    """(node, sig) of the signatures that are not among ``hot``, or only those (``wanted``); a node's own once a slice."""
+    held = texts.sparkSession.sparkContext.broadcast(hot)  # at most MOST_HOT numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in text_slices(batch):
+                flat, off = shingle_sets(rows.column("text"), n)
+                node = set_keys(flat, off)
+                _, once = np.unique(node, return_index=True)
+                once = np.sort(once[np.diff(off)[once] > 0])
+                sign, of = signatures(*_some(flat, off, once), rule)
+                if len(held.value):
+                    keep = np.isin(sign, held.value) == wanted
+                    sign, of = sign[keep], of[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(node[once][of]), pa.array(sign)], names=["node", "sig"])
+
+    return texts.select("text").mapInArrow(run, "node long, sig long")
+
+
 # --- T-occurrence search -------------------------------------------------------------------------------------
 
 
@@ -388,27 +509,52 @@ def _sets_of(wanted: DataFrame, docs: DataFrame, n: int, rows: int) -> DataFrame
     return found.unionByName(rest.select(found.columns))
 
 
-def ngram_jaccard(docs: DataFrame, n: int = 3, percent: int = 90, chunk: int = CHUNK) -> DataFrame:
+def _hot_signatures(texts: DataFrame, n: int, rule: Threshold, one_in: int, least: int) -> np.ndarray:
+    """Signatures that occur very often in a sample. What is found decides how rows move, never what is linked."""
+    some = texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(one_in)) == 0)
+    counts = _signed(some, n, rule, np.zeros(0, np.int64)).groupBy("sig").count().where(F.col("count") >= least)
+    return np.array([r["sig"] for r in counts.orderBy(F.desc("count"), "sig").limit(MOST_HOT).collect()], np.int64)
+
+
+def _candidates(texts: DataFrame, nodes: DataFrame, n: int, rule: Threshold, group: int, hot_rule: tuple[int, int]) -> DataFrame:
+    """Edges (a, b) that connect every two nodes which could be linked, directly or through others."""
+    hot = _hot_signatures(texts, n, rule, *hot_rule)
+    # one exchange, read by the aggregate and by the join
+    signed = _signed(texts, n, rule, hot).repartition("sig")
+    heads = signed.groupBy("sig").agg(F.min("node").alias("head"), F.max("node").alias("tail"), F.count("*").alias("n")).where("head < tail").drop("tail")
+    shared = materialize(signed.join(heads, "sig").distinct(), "op3-shared")
+    edges = shared.where((F.col("n") > group) & (F.col("node") != F.col("head"))).select(F.col("node").alias("a"), F.col("head").alias("b"))
+    small = shared.where(F.col("n") <= group).select("sig", "node")
+    # signatures of the same nodes tell the same: one of them is enough
+    same = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.count("*").alias("n")]
+    first = small.groupBy("sig").agg(*same).groupBy("x", "y", "n").agg(F.min("sig").alias("sig"))
+    members = small.join(first, "sig", "left_semi").join(nodes.select("node", "n_shingles", "sketch"), "node")
+    alike_ = members.select("sig", "node", "n_shingles", "sketch").repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_compare(rule), _EDGES)
+    edges = edges.unionByName(alike_)
+    if len(hot):
+        often = _signed(texts, n, rule, hot, wanted=True)
+        least = materialize(often.groupBy("sig").agg(F.min("node").alias("b")), "op3-hot")  # at most MOST_HOT rows
+        edges = edges.unionByName(often.join(F.broadcast(least), "sig").where("node <> b").select(F.col("node").alias("a"), "b"))
+    return edges
+
+
+def ngram_jaccard(docs: DataFrame, n: int = 3, percent: int = 90, chunk: int = CHUNK, group: int = GROUP, hot: tuple[int, int] = (SAMPLED, HOT)) -> DataFrame:
     """doc_id, n_shingles, component_id and class_id (equal sets; null for the empty set) of each row of ``docs``; besides
     text_key (64-bit hash of the text) and group, which names the component whatever the ids (null for the empty set)."""
     rule = Threshold(percent)
-    scanned = materialize(docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(_scan(n, rule), "doc_id long, text_key long, node long, n_shingles long, sigs array<long>, links array<long>"), "op3-scan")
-    rows = scanned.select("doc_id", "text_key", "node", "n_shingles")
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-
-    # one exchange, read by the aggregate and by the join
-    signed = scanned.where("size(sigs) > 0").select("node", F.explode("sigs").alias("sig")).repartition("sig")
-    heads = signed.groupBy("sig").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head < tail").select("sig", "head")
-    stars = signed.join(heads, "sig").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    met = scanned.where("size(links) > 0").select(F.col("node").alias("a"), F.explode("links").alias("b"))
-    families = components(stars.union(met), "op3-families")
-    families = materialize(families.join(nodes, "node").select("doc_id", "node", F.col("label").alias("family")), "op3-families")
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    rows = materialize(texts.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(_scan(n), "doc_id long, text_key long, node long, n_shingles long, sketch binary"), "op3-rows")
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch"))
+    nodes = materialize(nodes, "op3-nodes")
+    rows = rows.drop("sketch")
+    families = components(_candidates(texts, nodes, n, rule, group, hot), "op3-families")
+    families = materialize(families.join(nodes.select("doc_id", "node", "n_shingles"), "node").select("doc_id", "node", "n_shingles", F.col("label").alias("family")), "op3-families")
     total = families.count()
 
-    sized = families.groupBy("family").count().where(F.col("count") > chunk).select("family", F.ceil(F.col("count") / chunk).cast("int").alias("chunks"))
-    sized = materialize(sized, "op3-large")
+    chunks = F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum("n_shingles") * 8 / CHUNK_BYTES)).cast("int")
+    sized = materialize(families.groupBy("family").agg(chunks.alias("chunks")).where("chunks > 1"), "op3-large")
     large = not sized.isEmpty()
-    cut = families
+    families = families.drop("n_shingles")
     if large:
         cut = families.join(sized, "family", "left").withColumn("chunk", F.when(F.col("chunks").isNotNull(), F.pmod(F.xxhash64("node"), F.col("chunks"))).otherwise(0).cast("int")).drop("chunks")
     else:
@@ -428,8 +574,11 @@ def ngram_jaccard(docs: DataFrame, n: int = 3, percent: int = 90, chunk: int = C
     if large:
         edges = edges.union(_across(sets, sized, edges, rule))
     joined = components(edges, "op3-components")
-    joined = materialize(joined.join(nodes, "node").groupBy("label").agg(F.min("doc_id").alias("least")).join(joined, "label").select("node", "least", "label"), "op3-least")
+    # aggregates are written before their joins: only joins of plain exchanges are split where a key is hot
+    least = materialize(joined.join(nodes, "node").groupBy("label").agg(F.min("doc_id").alias("least")), "op3-label")
+    joined = joined.join(least, "label").select("node", "least", "label")
     least = nodes.join(joined, "node", "left").select("node", F.coalesce("least", "doc_id").alias("component_id"), F.coalesce("label", "node").alias("group"))
+    least = materialize(least, "op3-least")
     return rows.join(least, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("node").alias("class_id"), "text_key", "group")
 
 
@@ -471,7 +620,7 @@ def one_of_each(docs: DataFrame, joined: DataFrame) -> DataFrame:
     named = lambda df, text: df.withColumns(dict(zip(row, (F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), text), strict=True)))
     rows = named(joined, F.col("text_key")).where("group is not null or doc_id is not null").select("group", *row)
     counts = materialize(rows.groupBy("group", *row).count(), "op3-rows")
-    first = counts.where("group is not null").groupBy("group").agg(F.min(F.struct(*row)).alias("first"))
+    first = materialize(counts.where("group is not null").groupBy("group").agg(F.min(F.struct(*row)).alias("first")), "op3-first")
     others = materialize(counts.join(first, "group").where(F.struct(*row) != F.col("first")).select(row), "op3-others")
     again = materialize(counts.where("count > 1").join(others, row, "left_anti").select(row), "op3-again")
     sized = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids

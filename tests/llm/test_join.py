@@ -8,8 +8,11 @@ import numpy as np
 import pytest
 from cases import documents
 
+from pyspark.sql import functions as F
+
 from maskflow.llm import op3_ngram_jaccard as op3
-from maskflow.llm.components import components
+from maskflow.llm.common import hash_words, materialize
+from maskflow.llm.components import components, with_least
 
 LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
 
@@ -160,6 +163,107 @@ def test_t_occurrence_search_equals_scan():
         assert set(index.search(s, rule, lambda i: False)) == want, k
 
 
+def thue_morse(a, b, k=11):
+    """Two different words that a polynomial modulo a power of two can't tell apart."""
+    for _ in range(k):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_polynomials_confuse(spark):
+    a, b = thue_morse("a", "b")
+    data = np.frombuffer((a + b + a).encode(), np.uint8)
+    at = np.arange(4) * len(a)
+    h = hash_words(data, at[:-1], at[1:])
+    assert h[0] == h[2] != h[1]
+    short = [thue_morse("a", "b", k) for k in (1, 2, 3, 4, 5, 6)]
+    words = [w for pair in short for w in pair] + ["a", "a\0", "a\0\0", "\0", ""]
+    ends = np.cumsum([len(w) for w in words])
+    assert len(set(hash_words(np.frombuffer("".join(words).encode(), np.uint8), ends - [len(w) for w in words], ends).tolist())) == len(words)
+    docs = spark.createDataFrame([(1, f"one {a} two"), (2, f"one {b} two"), (3, f"one {a} two")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in op3.ngram_jaccard(docs).collect()) == [(1, 1), (2, 2), (3, 1)]
+
+
+def test_sketches_never_part_linked_sets():
+    rng = np.random.default_rng(1)
+    for percent in (90, 80, 50):
+        rule, sets = op3.Threshold(percent), []
+        for _ in range(40):
+            a = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 700)), dtype=np.uint64))
+            sets.append(a)
+            for _ in range(3):
+                sets.append(np.unique(np.concatenate([a[rng.random(len(a)) > 0.1], rng.integers(0, 2**63, int(rng.integers(0, 1 + len(a) // 9)), dtype=np.uint64)])))
+        sets = [x for x in sets if len(x)]
+        off = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+        words, begin = op3.sketches(np.concatenate(sets), off)
+        a, b = np.triu_indices(len(sets), 1)
+        near = set(zip(*(x.tolist() for x in op3.alike(np.diff(off), words, begin, a, b, rule)), strict=True))
+        linked = {(i, j) for i, j in zip(a.tolist(), b.tolist(), strict=True) if rule.linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))}
+        assert linked and linked <= near
+        assert len(near) < len(a) / 2 or percent == 50
+
+
+@pytest.mark.parametrize(("group", "hot"), [(2, (64, 512)), (4096, (1, 3))])
+def test_large_groups_and_hot_signatures_lose_no_link(spark, group, hot):
+    rows = families(5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in op3.ngram_jaccard(docs, group=group, hot=hot).collect()]
+    assert sorted(got, key=str) == brute(rows)
+
+
+def test_hot_signatures_are_found_and_kept_out_of_the_exchange(spark):
+    """Half of all rows share most of their signatures: none of these is dealt by its key."""
+    words = [f"w{k}" for k in range(120)]
+    rows = [(k, " ".join([*words, f"end{k}"])) for k in range(200)] + [(1000 + k, " ".join(f"r{k}x{j}" for j in range(60))) for k in range(200)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    rule = op3.Threshold(90)
+    hot = op3._hot_signatures(texts, 3, rule, 1, 100)
+    assert len(hot)
+    cold = op3._signed(texts, 3, rule, hot).groupBy("sig").count().agg({"count": "max"}).first()[0]
+    assert cold < 100
+    assert op3._signed(texts, 3, rule, hot, wanted=True).select("sig").distinct().count() == len(hot)
+
+
+def test_edges_of_one_node_are_dealt_to_many_tasks(spark):
+    edges = spark.range(20_000).select(F.lit(-1).cast("long").alias("u"), F.col("id").alias("v"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        least = edges.groupBy("u").agg(F.min("v").alias("low"))
+        sizes = [r["count"] for r in with_least(edges, least).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"):
+            spark.conf.unset(c)
+    assert sum(sizes) == 20_000 and len(sizes) >= 8 and max(sizes) < 8_000
+
+
+def test_rows_of_one_node_are_split(spark):
+    """The shape of the join that gives each row its component: an aggregate that is written, and plain exchanges."""
+    rows = spark.range(60_000).select(F.lit(5).cast("long").alias("node"), F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("more"))
+    least = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("component_id")), "test-least")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1000", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50000", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "0"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        some = materialize(rows.repartition(8), "test-rows")
+        joined = materialize(some.join(least, "node", "left").select("doc_id", "component_id", "more", F.spark_partition_id().alias("p")), "test-joined")
+        sizes = [r["count"] for r in joined.groupBy("p").count().collect()]
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert sum(sizes) == 60_000 and len(sizes) >= 4
+
+
+def test_chunks_are_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(op3, "CHUNK_BYTES", 20_000)
+    rows = families(2)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in op3.ngram_jaccard(docs).collect()]
+    assert sorted(got, key=str) == brute(rows)
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(k, k + 1) for k in range(1000, 1060)] + [(2000, k) for k in range(2001, 2100)] + [(7, 7)]
