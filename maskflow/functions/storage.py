@@ -13,14 +13,19 @@ from pyspark.sql import functions as F
 
 
 _OWN: dict[str, str] = {}
+#: Paths of the work tables of this process, so that ``release`` finds them.
+_WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` where the cluster names one, else (tests, one machine) a folder of our own that goes
-    when the process ends."""
+    """``spark.checkpoint.dir`` where the cluster names one, else (one machine only) a folder of our own that goes when
+    the process ends. Off a local master an unset folder is an error: executors would write to their own disks."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where
+    master = spark.conf.get("spark.master", "local")
+    if not master.startswith("local"):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that driver and executors of {master} share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="maskflow-")
@@ -29,8 +34,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, tag: str) -> str:
-    """A new, unused path in the shared folder. The caller may delete it once its result is consumed."""
-    return os.path.join(shared_dir(spark), f"{tag}-{uuid.uuid4().hex}")
+    """A new, unused path in the shared folder; ``release`` deletes it."""
+    path = os.path.join(shared_dir(spark), f"{tag}-{uuid.uuid4().hex}")
+    _WRITTEN.append(path)
+    return path
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -40,6 +47,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Deletes all work tables that this process has written so far, and says how many. For callers whose results are
+    consumed or written elsewhere: frames that are still lazy lose what they would read."""
+    paths = _WRITTEN[:]
+    del _WRITTEN[:]
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    return len(paths)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df``, dealt over all cores if its scan has fewer partitions than those: a few small files, or one row group.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,33 +39,82 @@ def slice_text(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, start + 1, end - start)
 
 
+#: Elements that one step of a scan folds; appending to an array copies it, so a fold over all would be quadratic.
+_FOLD = 128
+#: Spans of a text from which on it is cut into characters once, instead of being searched from its start for each.
+MANY = 64
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def scan_before(values: Column, zero: int, op: Callable[[Column, Column], Column]) -> Column:
+    """For each element of an array of integers, ``op`` over those before it, in n * _FOLD steps and not n * n."""
+
+    def fold(xs: Column, begin: Column) -> Column:
+        start = F.struct(begin.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda acc, x: F.struct(op(acc["at"], x).cast("int").alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(xs, start, step, lambda acc: acc["out"])
+
+    def parts(xs: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / _FOLD).cast("int")), lambda c: F.slice(xs, c * _FOLD + 1, F.lit(_FOLD)))
+        return let(cut, lambda pieces: F.flatten(F.zip_with(pieces, fold(F.transform(pieces, lambda p: F.aggregate(p, F.lit(zero), lambda a, x: op(a, x).cast("int"))), F.lit(zero)), fold)))
+
+    return let(values, lambda xs: F.when(F.size(xs) == 0, F.array().cast("array<int>")).when(F.size(xs) <= _FOLD, fold(xs, F.lit(zero))).otherwise(parts(xs)))
+
+
 def match_spans(text: Column, pattern: str) -> Column:
     """array<struct<start,end,value>> of the matches of ``pattern``, none empty.
 
-    The pieces between matches and the matches take turns, so one fold over their lengths gives every offset.
+    The pieces between matches and the matches take turns, so sums of their lengths give every offset.
     """
-    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("before"), found.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    found = F.struct(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["before"])
-        end = begin + F.length(x["value"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
+    def spans(p: Column) -> Column:
+        both = F.arrays_zip(F.slice(p["between"], 1, F.size(p["found"])).alias("before"), p["found"].alias("value"))
+        upto = scan_before(F.transform(both, lambda x: F.length(x["before"]) + F.length(x["value"])), 0, lambda a, b: a + b)
 
-    # most texts have no match: one cheap scan spares them the split
-    return F.when(text.rlike(pattern), F.aggregate(both, start, step, lambda acc: acc["out"])).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+        def one(x: Column, at: Column) -> Column:
+            begin = at + F.length(x["before"])
+            return F.struct(begin.alias("start"), (begin + F.length(x["value"])).alias("end"), x["value"].alias("value"))
+
+        return F.zip_with(both, upto, one)
+
+    # most texts have no match: one cheap search spares them the split
+    return F.when(text.rlike(pattern), let(found, spans)).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+
+
+def _characters(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+
+
+def cut_spans(text: Column, spans: Column) -> Column:
+    """The text of each span."""
+    whole = let(_characters(text), lambda chars: F.transform(spans, lambda x: F.array_join(F.slice(chars, x["start"] + 1, x["end"] - x["start"]), "")))
+    return F.when(F.size(spans) > MANY, whole).otherwise(F.transform(spans, lambda x: slice_text(text, x["start"], x["end"])))
 
 
 def replace_spans(text: Column, spans: Column, put: Column | None = None) -> Column:
     """``text`` with each span (ordered, disjoint) replaced by its field ``put``."""
 
-    def piece(x: Column, i: Column) -> Column:
-        before = F.when(i == 0, F.lit(0)).otherwise(F.element_at(spans, F.when(i == 0, F.lit(1)).otherwise(i))["end"])
-        return F.concat(slice_text(text, before, x["start"]), x["put"])
+    def before(xs: Column, i: Column) -> Column:
+        return F.when(i == 0, F.lit(0)).otherwise(F.element_at(xs, F.when(i == 0, F.lit(1)).otherwise(i))["end"])
+
+    def few(xs: Column) -> Column:
+        pieces = F.transform(xs, lambda x, i: F.concat(slice_text(text, before(xs, i), x["start"]), x["put"]))
+        return F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at(xs, -1)["end"] + 1, F.length(text)))
+
+    def many(xs: Column) -> Column:
+        def joined(chars: Column) -> Column:
+            pieces = F.transform(xs, lambda x, i: F.concat(F.array_join(F.slice(chars, before(xs, i) + 1, x["start"] - before(xs, i)), ""), x["put"]))
+            last = F.element_at(xs, -1)["end"]
+            return F.concat(F.array_join(pieces, ""), F.array_join(F.slice(chars, last + 1, F.greatest(F.size(chars) - last, F.lit(0))), ""))
+
+        return let(_characters(text), joined)
 
-    tail = F.substring(text, F.element_at(spans, -1)["end"] + 1, F.length(text))
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(F.transform(spans, piece), ""), tail))
+    return let(spans, lambda xs: F.when(F.size(xs) == 0, text).when(F.size(xs) > MANY, many(xs)).otherwise(few(xs)))
 
 
 def subtract_ranges(spans: Column, ranges: Column) -> Column:

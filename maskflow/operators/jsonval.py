@@ -1,28 +1,33 @@
 """Structured values: the scalars of a JSON text are analysed like texts, and only what changes is written anew.
 
-Two Arrow-batched functions do what no built-in can, as untouched number lexemes must survive byte for byte: one
-checks a payload and lists its scalars, the other puts replacements in place. Detection, resolution and tokens in
-between are the same operators as for plain text, on a row for each distinct scalar of a payload.
+Arrow-batched functions do what no built-in can, as untouched number lexemes must survive byte for byte: one checks a
+payload and lists its scalars, one deals spans to scalars, one puts replacements in place. Detection and resolution in
+between are the same operators as for plain text, on the distinct scalars of a payload joined to one text by SEPARATOR.
+So a payload is analysed once, in its row: redaction and the search for personal data shuffle nothing and need no key.
+Tokens are numbered from a narrow table and come back by ``row_id``, as for text; what has no answer is null.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from decimal import Decimal, InvalidOperation
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import replace_spans, slice_text
+from ..functions.storage import fitted, materialize
+from ..functions.text import match_spans, once
 from ..plans.model import FALLBACK_TYPE, MAX_DEPTH, MAX_EXPANDED_NUMBER_CHARS, MAX_INPUT_CHARS, MAX_NODES, MAX_NUMBER_CHARS, MAX_OUTPUT_CHARS, MAX_STRING_CHARS
 from ..sources.detect import Detector, depth_of
 from .resolve import analyze
-from .rewrite import build_vault, marker, plain_spans, token_ranges
+from .rewrite import TOKEN, allowed_vault, build_vault, marker, plain_spans, row_id
 
 _SCALAR = re.compile(r'"(?:\\.|[^"\\])*"|-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?')
+#: What stands between two scalars in the text that is analysed; a span that crosses it is a conflict.
+SEPARATOR = "\n\0\n"
 _IS_NAME = re.compile(r"[ \t\r\n]*:")
 
 
@@ -100,108 +105,167 @@ def rewrite(text: str, put: dict[tuple[str, str], tuple[str, str]]) -> str:
     return out
 
 
-def list_scalars(text: Column) -> Column:
-    """Struct of mode, code and scalars; mode: json, text or refused (with its code); distinct scalars in order, names counted as strings."""
+def distinct_scalars(text: str) -> list[tuple[str, str]] | None:
+    """(kind, analysis text) of the distinct scalars, names counted as strings, in order; None if ``text`` is no JSON value."""
+    found = scalars(text)
+    return None if found is None else list(dict.fromkeys(("number" if k == "number" else "string", v) for *_, k, v in found))
+
+
+def _read(text: str | None) -> tuple[str | None, str | None, list[tuple[str, str]]]:
+    """Mode (json, text or refused), failure code, and scalars: those of the JSON value, or the text as the only one."""
+    if text is None:
+        return None, None, []
+    try:
+        found = distinct_scalars(text)
+    except Refused as e:
+        return "refused", str(e), []
+    return ("text", None, [("string", text)]) if found is None else ("json", None, found)
+
+
+def list_scalars(text: Column | str) -> Column:
+    """Struct of mode, code and distinct scalars of a payload."""
     return F.pandas_udf(_list_scalars, "struct<mode:string,code:string,scalars:array<struct<kind:string,value:string>>>")(text)
 
 
 def _list_scalars(texts: pd.Series) -> pd.DataFrame:
-    def one(t):
-        if t is None:
-            return None, None, []
-        try:
-            found = scalars(t)
-        except Refused as e:
-            return "refused", str(e), []
-        if found is None:
-            return "text", None, [{"kind": "string", "value": t}]
-        seen = dict.fromkeys(("number" if k == "number" else "string", v) for _, _, k, v in found)
-        return "json", None, [{"kind": k, "value": v} for k, v in seen]
+    rows = [_read(t) for t in texts]
+    return pd.DataFrame({"mode": [m for m, _, _ in rows], "code": [c for _, c, _ in rows], "scalars": [[{"kind": k, "value": v} for k, v in s] for *_, s in rows]})
+
+
+def deal(found: list[tuple[str, str]], spans: list[dict], fallback: str = FALLBACK_TYPE) -> list[dict] | None:
+    """Spans of the joined text as spans of its scalars; None if one crosses a separator. Any span protects a
+    whole number; several types become the fallback type."""
+    out, at, k = [], 0, 0
+    numbers: dict[int, set[str]] = {}
+    for x in spans:
+        while k < len(found) and x["start"] >= at + len(found[k][1]) + len(SEPARATOR):
+            at += len(found[k][1]) + len(SEPARATOR)
+            k += 1
+        start, end = x["start"] - at, x["end"] - at
+        if k == len(found) or end > len(found[k][1]):
+            return None
+        if found[k][0] == "number":
+            numbers.setdefault(k, set()).add(x["entity_type"])
+        else:
+            out.append({"scalar": k, "start": start, "end": end, "entity_type": x["entity_type"], "value_kind": "text", "original": found[k][1][start:end]})
+    for k, kinds in numbers.items():
+        out.append({"scalar": k, "start": 0, "end": len(found[k][1]), "entity_type": kinds.pop() if len(kinds) == 1 else fallback, "value_kind": "number", "original": found[k][1]})
+    return sorted(out, key=lambda x: (x["scalar"], x["start"]))
 
-    rows = [one(t) for t in texts]
-    return pd.DataFrame({"mode": [m for m, _, _ in rows], "code": [c for _, c, _ in rows], "scalars": [s for *_, s in rows]})
 
+_PLACED = "array<struct<scalar:int,start:int,end:int,entity_type:string,value_kind:string,original:string>>"
 
-def put_scalars(text: Column, mode: Column, puts: Column) -> Column:
-    """Struct of the rewritten payload and the failure code."""
-    return F.pandas_udf(_put_scalars, "struct<payload:string,code:string>")(text, mode, puts)
 
+def place_spans(listed: Column, spans: Column) -> Column:
+    """Struct of the spans in their scalars and the failure code."""
+    return F.pandas_udf(_place_spans, f"struct<placed:{_PLACED},code:string>")(listed, spans)
 
-def _put_scalars(texts: pd.Series, modes: pd.Series, puts: pd.Series) -> pd.DataFrame:
-    def one(t, mode, put):
-        if t is None or mode not in ("json", "text"):
-            return None, None
-        by = {(p["kind"], p["value"]): (p["put_kind"], p["put"]) for p in (put if put is not None else [])}
-        if mode == "text":
-            return by.get(("string", t), ("string", t))[1], None
-        try:
-            return rewrite(t, by), None
-        except Refused as e:
-            return None, str(e)
 
-    rows = [one(*x) for x in zip(texts, modes, puts, strict=True)]
-    return pd.DataFrame({"payload": [p for p, _ in rows], "code": [c for _, c in rows]})
+def _place_spans(listed: pd.Series, spans: pd.Series) -> pd.DataFrame:
+    rows = [None if s is None else deal([(x["kind"], x["value"]) for x in f], list(s)) for f, s in zip(listed, spans, strict=True)]
+    missing = [r is None and s is not None for r, s in zip(rows, spans, strict=True)]
+    return pd.DataFrame({"placed": rows, "code": ["TRANSFORMATION_CONFLICT" if m else None for m in missing]})
 
 
-def whole_number(spans: Column, length: Column, fallback: str = FALLBACK_TYPE) -> Column:
-    """Any span protects the whole number; several types become the fallback type."""
-    kinds = F.array_distinct(F.transform(spans, lambda x: x["entity_type"]))
-    kind = F.when(F.size(kinds) == 1, kinds[0]).otherwise(F.lit(fallback))
-    one = F.array(F.struct(F.lit(0).alias("start"), length.alias("end"), kind.alias("entity_type")))
-    return F.when(F.size(spans) > 0, one).otherwise(spans)
+def put_scalars(text: Column | str, puts: Column | str) -> Column:
+    """Struct of the rewritten payload, mode and failure code; ``puts`` are replacements within scalars (null: none)."""
+    return F.pandas_udf(_put_scalars, "struct<payload:string,mode:string,code:string>")(text, puts)
 
 
-def explode_scalars(df: DataFrame, key: str, text: str, detectors: Sequence[Detector], **settings) -> tuple[DataFrame, DataFrame]:
-    """(rows with ``_json`` (mode, code, scalars), a row for each of their scalars with its spans)."""
-    marked = df.withColumn("_json", list_scalars(F.col(text)))
-    one = marked.select(key, F.posexplode("_json.scalars").alias("_at", "s")).select(key, "_at", F.col("s.kind").alias("kind"), F.col("s.value").alias("value"))
-    found = analyze(one, detectors, "value", **settings)
-    spans = F.when(F.col("kind") == "number", whole_number(plain_spans(F.col("spans")), F.length("value"))).otherwise(plain_spans(F.col("spans")))
-    return marked, found.withColumn("spans", F.when(F.col("failure").isNull(), spans))
+def _put_scalars(texts: pd.Series, puts: pd.Series) -> pd.DataFrame:
 
+    def one(t, put):
+        mode, code, found = _read(t)
+        if code or t is None:
+            return None, mode, code
+        by: dict[int, list] = {}
+        for p in put if put is not None else []:
+            by.setdefault(p["scalar"], []).append(p)
+        new = {}
+        for k, parts in by.items():
+            value, pieces, at = found[k][1], [], 0
+            for p in sorted(parts, key=lambda p: p["start"]):
+                pieces += [value[at : p["start"]], p["put"]]
+                at = p["end"]
+            whole = len(parts) == 1 and parts[0]["number"] and (parts[0]["start"], parts[0]["end"]) == (0, len(value))
+            new[found[k]] = "number" if whole else "string", "".join([*pieces, value[at:]])
+        try:
+            if mode == "text":
+                out = new.get(found[0], ("string", t))[1]
+                return (None, mode, "PAYLOAD_LIMIT_EXCEEDED") if len(out) > MAX_OUTPUT_CHARS else (out, mode, None)
+            return rewrite(t, new), mode, None
+        except Refused as e:
+            return None, mode, str(e)
 
-def protect_json(df: DataFrame, key: str, detectors: Sequence[Detector], action: str = "REDACT", text: str = "text", session: str | None = None, order: Sequence[str] = (), strict: bool = False, out: str = "payload", **settings) -> tuple[DataFrame, DataFrame | None]:
+    rows = [one(*x) for x in zip(texts, puts, strict=True)]
+    return pd.DataFrame({"payload": [p for p, _, _ in rows], "mode": [m for _, m, _ in rows], "code": [c for *_, c in rows]})
+
+
+def analyze_scalars(df: DataFrame, text: str, detectors: Sequence[Detector], also: Sequence[Column] = (), **settings) -> DataFrame:
+    """A row of ``df`` as struct ``_row``, ``also``, and of its payload: ``_text``, ``_mode``, ``_placed`` (spans in scalars)
+    and ``_code`` (why there is none)."""
+    held = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), F.col(text).alias("_text"), *also)
+    held = held.withColumn("_json", list_scalars("_text"))
+    held = once(held, _joined=F.array_join(F.transform("_json.scalars", lambda x: x["value"]), SEPARATOR))
+    done = analyze(held, detectors, "_joined", **settings)
+    some = F.when((F.size("spans") > 0) & F.col("_json.code").isNull(), plain_spans(F.col("spans")))
+    done = done.withColumn("_dealt", place_spans(F.when(some.isNotNull(), F.col("_json.scalars")), some))
+    code = F.when(F.col("_text").isNotNull(), F.coalesce("_json.code", "failure.code", "_dealt.code"))
+    return once(done, _mode=F.col("_json.mode"), _code=code, _placed=F.when(code.isNull(), F.coalesce("_dealt.placed", F.array().cast(_PLACED)))).drop("_json", "_joined", "_dealt", "spans", "succeeded", "failures", "failure")
+
+
+def protect_json(df: DataFrame, key: str, detectors: Sequence[Detector], action: str = "REDACT", text: str = "text", session: str | None = None, order: Sequence[str] = (), strict: bool = False, out: str = "payload", secret: str | None = None, nonce: Callable[[Column], Column] | None = None, **settings) -> tuple[DataFrame, DataFrame | None]:
     """Adds ``out``, ``mode`` and ``failure_code``; gives the vault too when tokens are made.
 
     ``strict``: a payload that isn't JSON is TRANSFORMATION_CONFLICT, not plain text. Null payload where a failure is set.
+    A null session can't have tokens: CONTEXT_REQUIRED. Null and repeated keys are like any other.
     """
-    marked, found = explode_scalars(df, key, text, detectors, **settings)
-    vault = None
+    own = [] if action != "TOKENIZE" else [F.col(session).cast("string").alias("_session"), row_id(key, session, text).alias("_rid"), F.struct(*(F.col(c).alias(f"o{k}") for k, c in enumerate(order))).alias("_order")]
+    done = analyze_scalars(df, text, detectors, own, **settings)
     if action == "CONTAINS_PII":
-        hit = found.groupBy(key).agg(F.max(F.coalesce(F.size("spans") > 0, F.lit(True))).alias(out))
-        return marked.join(hit, key, "left").withColumns({"mode": F.col("_json.mode"), "failure_code": F.col("_json.code"), out: F.coalesce(F.col(out), F.col("_json.code").isNotNull())}).drop("_json"), None
+        hit = F.when(F.col("_text").isNull(), False).when(F.col("_code").isNotNull(), True).otherwise(F.size("_placed") > 0)
+        return done.select("_row.*", hit.alias(out), F.col("_mode").alias("mode"), F.col("_code").alias("failure_code")), None
     if action == "REDACT":
-        put = F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), marker(x["entity_type"]).alias("put")))
-        changed = found.where(F.size("spans") > 0).select(key, F.struct("kind", "value", F.lit("string").alias("put_kind"), replace_spans(F.col("value"), put).alias("put")).alias("p"))
-    else:
-        where = df.select(key, F.col(session).cast("string").alias("session_id"), *(F.col(c).alias(f"_o{k}") for k, c in enumerate(order)))
-        spans = found.where(F.size("spans") > 0).join(where, key).select(key, "session_id", "kind", "value", "_at", *(f"_o{k}" for k in range(len(order))), F.explode("spans").alias("s"))
-        spans = spans.select(key, "session_id", "kind", "value", F.col("s.entity_type").alias("entity_type"), F.when(F.col("kind") == "number", "number").otherwise("text").alias("value_kind"), slice_text(F.col("value"), F.col("s.start"), F.col("s.end")).alias("original"), F.struct(*(f"_o{k}" for k in range(len(order))), "_at", F.col("s.start").alias("start")).alias("at"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
-        vault = build_vault(spans.select("session_id", "entity_type", "value_kind", "original", "at"), settings.get("secret"))
-        filled = spans.join(vault.select("session_id", "entity_type", "value_kind", "original", F.col("token").alias("put")), ["session_id", "entity_type", "value_kind", "original"])
-        parts = filled.groupBy(key, "kind", "value").agg(F.array_sort(F.collect_list(F.struct("start", "end", "put"))).alias("_put"))
-        changed = parts.select(key, F.struct("kind", "value", F.lit("string").alias("put_kind"), replace_spans(F.col("value"), F.col("_put")).alias("put")).alias("p"))
-    puts = changed.groupBy(key).agg(F.collect_list("p").alias("_puts"))
-    failed = found.where(F.col("failure").isNotNull()).groupBy(key).agg(F.min("failure.code").alias("_failed"))
-    return _write(marked.join(puts, key, "left").join(failed, key, "left"), text, out, strict), vault
-
-
-def _write(df: DataFrame, text: str, out: str, strict: bool) -> DataFrame:
-    df = df.withColumn("_new", put_scalars(F.col(text), F.col("_json.mode"), F.col("_puts")))
-    refused = F.when(F.lit(strict) & (F.col("_json.mode") == "text"), "TRANSFORMATION_CONFLICT")
-    code = F.coalesce(F.col("_json.code"), F.col("_failed"), refused, F.col("_new.code"))
-    return df.withColumns({"mode": F.col("_json.mode"), "failure_code": code, out: F.when(code.isNull(), F.col("_new.payload"))}).drop("_json", "_puts", "_new", "_failed")
+        puts = F.transform("_placed", lambda x: F.struct(x["scalar"].alias("scalar"), x["start"].alias("start"), x["end"].alias("end"), marker(x["entity_type"]).alias("put"), F.lit(False).alias("number")))
+        done = done.withColumn("_new", put_scalars(F.when(F.col("_code").isNull(), F.col("_text")), F.when(F.size("_placed") > 0, puts)))
+        return _written(done, "_mode", F.col("_code"), strict, out), None
+    some = done.where(F.col("_text").isNotNull() & (F.col("_code").isNotNull() | (F.size("_placed") > 0)))
+    code = F.coalesce("_code", F.when(F.col("_session").isNull(), "CONTEXT_REQUIRED"))
+    found = materialize(some.select("_rid", "_session", "_order", code.alias("_code"), F.when(code.isNull(), F.col("_placed")).alias("_placed")), "json-found")
+    spans = found.where("_code is null").select("_rid", F.col("_session").alias("session_id"), "_order", F.explode("_placed").alias("s")).select("_rid", "session_id", "_order", "s.*")
+    vault = materialize(build_vault(spans.select("session_id", "entity_type", "value_kind", "original", F.struct("_order", "scalar", "start").alias("at")), secret, nonce), "vault")
+    filled = spans.join(vault.select("session_id", "entity_type", "value_kind", "original", F.col("token").alias("put")), ["session_id", "entity_type", "value_kind", "original"])
+    # rows of one id have equal payloads; where their spans aren't, none of them has an answer
+    same = found.groupBy("_rid").agg(F.max("_code").alias("_failed"), F.count_distinct(F.hash("_placed"), F.xxhash64("_placed")).alias("_ways"), F.max(F.size("_placed")).alias("_wanted"))
+    named = same.join(_put_arrays(filled.withColumn("number", F.lit(False))), "_rid", "left")
+    whole = (F.col("_ways") == 1) & F.coalesce(F.size("_puts") == F.col("_wanted"), F.lit(False))
+    named = materialize(named.select("_rid", F.coalesce("_failed", F.when(~whole, "TRANSFORMATION_CONFLICT")).alias("_failed"), "_puts"), "json-puts")
+    return _put_back(df, named, key, session, text, strict, out), vault
+
+
+def _put_arrays(hits: DataFrame) -> DataFrame:
+    fields = ["scalar", "start", "end", "put", "number"]
+    return hits.select("_rid", *fields).distinct().groupBy("_rid").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_puts"))
+
+
+def _put_back(df: DataFrame, named: DataFrame, key: str, session: str, text: str, strict: bool, out: str) -> DataFrame:
+    """Rows of ``df`` with the replacements of ``named`` (_rid, _failed, _puts) in their payloads."""
+    held = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), F.col(text).alias("_text"), F.when(F.col(text).isNotNull(), row_id(key, session, text)).alias("_rid"))
+    held = held.join(fitted(named, named.count()), "_rid", "left").withColumn("_new", put_scalars("_text", "_puts"))
+    return _written(held, "_new.mode", F.col("_failed"), strict, out)
+
+
+def _written(df: DataFrame, mode: str, failed: Column, strict: bool, out: str) -> DataFrame:
+    refused = F.when(F.lit(strict) & (F.col(mode) == "text"), "TRANSFORMATION_CONFLICT")
+    code = F.coalesce(failed, refused, F.col("_new.code"))
+    return df.select("_row.*", F.when(code.isNull(), F.col("_new.payload")).alias(out), F.col(mode).alias("mode"), code.alias("failure_code"))
 
 
 def restore_json(df: DataFrame, vault: DataFrame, key: str, session: str, text: str = "text", out: str = "restored", allowed: Sequence[str] | None = None) -> DataFrame:
     """A string that is a whole token regains its typed value, tokens inside strings and names become text."""
-    marked = df.withColumn("_json", list_scalars(F.col(text)))
-    one = marked.where(F.contains(F.col(text), F.lit("[[PII_"))).select(key, session, F.explode("_json.scalars").alias("s")).select(key, session, F.col("s.kind").alias("kind"), F.col("s.value").alias("value")).withColumn("_row", F.struct(F.col(key), F.col("value")))
-    seen = vault if allowed is None else vault.where(F.col("entity_type").isin(list(allowed)) if allowed else F.lit(False))
-    hits = token_ranges(one.where("kind = 'string'"), session, "_row", "value").join(seen.select("session_id", "token", F.col("original").alias("put"), "value_kind"), ["session_id", "token"])
-    parts = hits.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "put", "value_kind"))).alias("_put"))
-    whole = (F.size("_put") == 1) & (F.col("_put")[0]["start"] == 0) & (F.col("_put")[0]["end"] == F.length("_row.value")) & (F.col("_put")[0]["value_kind"] == "number")
-    put = parts.select(F.col(f"_row.{key}").alias(key), F.struct(F.lit("string").alias("kind"), F.col("_row.value").alias("value"), F.when(whole, "number").otherwise("string").alias("put_kind"), replace_spans(F.col("_row.value"), F.col("_put")).alias("put")).alias("p"))
-    puts = put.groupBy(key).agg(F.collect_list("p").alias("_puts"))
-    return _write(marked.join(puts, key, "left").withColumn("_failed", F.lit(None).cast("string")), text, out, False)
-
+    some = df.where(F.contains(F.col(text), F.lit("[[PII_"))).select(row_id(key, session, text).alias("_rid"), F.col(session).cast("string").alias("session_id"), list_scalars(F.col(text)).alias("_json"))
+    one = some.select("_rid", "session_id", F.posexplode("_json.scalars").alias("scalar", "s")).where("s.kind = 'string' and contains(s.value, '[[PII_')")
+    at = one.select("_rid", "session_id", "scalar", F.explode(match_spans(F.col("s.value"), TOKEN)).alias("m")).select("_rid", "session_id", "scalar", F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.value").alias("token"))
+    hits = at.join(allowed_vault(vault, allowed).select("session_id", "token", F.col("original").alias("put"), (F.col("value_kind") == "number").alias("number")), ["session_id", "token"])
+    named = materialize(_put_arrays(hits).withColumn("_failed", F.lit(None).cast("string")), "json-puts")
+    return _put_back(df, named, key, session, text, False, out)

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import materialize
 from ..plans.model import BOUNDARIES, OUTCOMES, ConfigError, Disclosures, OutputPolicy
 from ..sources.detect import Detector
 from .jsonval import protect_json, restore_json
@@ -47,28 +48,29 @@ def disclose(df: DataFrame, vault: DataFrame, policy: Disclosures, session: str,
     spark = df.sparkSession
     allowed = spark.createDataFrame(rows, "_tool string, entity_type string")
     scoped = vault.join(F.broadcast(allowed), "entity_type")  # as many rows as the policy has pairs
-    some = df.where(F.contains(F.col(text), F.lit("[[PII_")))
-    at = token_ranges(some, session, key, text).join(some.select(key, F.col(tool).alias("_tool")), key)
+    named = df.withColumn("_who", F.concat_ws("|", F.length(F.col(key).cast("string")).cast("string"), F.col(key).cast("string"), F.col(tool)))
+    at = token_ranges(named.withColumn("_tool", F.col(tool)), session, "_who", text, ["_tool"])
     hits = at.join(scoped.select("session_id", "token", "_tool", F.col("original").alias("put")), ["session_id", "token", "_tool"])
-    return apply_puts(df, hits, key, text, out).withColumn("changed", ~F.col(out).eqNullSafe(F.col(text)))
+    return apply_puts(named, hits, "_who", session, text, out).drop("_who").withColumn("changed", ~F.col(out).eqNullSafe(F.col(text)))
 
 
-def call_tool(calls: DataFrame, vault: DataFrame, tool: Callable[[DataFrame], DataFrame], types: Sequence[str], detectors: Sequence[Detector], session: str, key: str, arguments: str = "arguments", order: Sequence[str] = ()) -> tuple[DataFrame, DataFrame | None]:
+def call_tool(calls: DataFrame, vault: DataFrame, tool: Callable[[DataFrame], DataFrame], types: Sequence[str], detectors: Sequence[Detector], session: str, key: str, arguments: str = "arguments", order: Sequence[str] = (), **settings) -> tuple[DataFrame, DataFrame | None]:
     """Arguments (strict JSON) with the allowed types disclosed go to ``tool`` (adds ``result``); its results are
     protected again. A null result is TOOL_EXECUTION_FAILED."""
     opened = restore_json(calls, vault, key, session, arguments, "input", list(types)).drop("mode")
     opened = opened.withColumn("failure_code", F.coalesce("failure_code", F.when(F.try_parse_json(F.col(arguments)).isNull(), "TRANSFORMATION_CONFLICT")))
     done = tool(opened.withColumn("input", F.when(F.col("failure_code").isNull(), F.col("input"))))
     done = done.withColumn("_input_failure", F.coalesce("failure_code", F.when(F.col("result").isNull(), "TOOL_EXECUTION_FAILED"))).drop("failure_code")
-    closed, made = protect_json(done, key, detectors, "TOKENIZE", "result", session, order or [key], out="protected")
+    done = materialize(done, "tool-results")  # a tool is asked once, whatever is read of its answers
+    closed, made = protect_json(done, key, detectors, "TOKENIZE", "result", session, order or [key], out="protected", **settings)
     return closed.withColumn("failure_code", F.coalesce("_input_failure", "failure_code")).drop("_input_failure"), made
 
 
-def transform_messages(messages: DataFrame, key: str, session: str, order: Sequence[str], detectors: Sequence[Detector]) -> tuple[DataFrame, DataFrame | None]:
+def transform_messages(messages: DataFrame, key: str, session: str, order: Sequence[str], detectors: Sequence[Detector], **settings) -> tuple[DataFrame, DataFrame | None]:
     """Text of each message, as JSON or plain text; an unknown role is a failure and loses its text."""
     known = messages.where(F.col("role").isin(*ROLES))
     other = messages.where(~F.coalesce(F.col("role").isin(*ROLES), F.lit(False)))
-    done, vault = protect_json(known, key, detectors, "TOKENIZE", "text", session, order, out="protected")
+    done, vault = protect_json(known, key, detectors, "TOKENIZE", "text", session, order, out="protected", **settings)
     refused = other.withColumns({"protected": F.lit(None).cast("string"), "mode": F.lit(None).cast("string"), "failure_code": F.lit("TRANSFORMATION_CONFLICT")})
     return done.unionByName(refused), vault
 
@@ -102,6 +104,25 @@ def duplicate_tools(*snapshots: DataFrame | None, name: str = "tool_name") -> Da
     return every.groupBy(name).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def foreign_tools(tools: DataFrame, service: str, name: str = "tool_name", owner: str = "service_id") -> DataFrame:
+    """P10: tools that no wrapper, or another service's, stands before; they must not be called. Adds ``reason``."""
+    reason = F.when(F.col(owner).isNull(), "UNWRAPPED").when(F.col(owner) != service, "OTHER_SERVICE")
+    return tools.withColumn("reason", reason).where("reason is not null").select(name, owner, "reason")
+
+
+def fingerprint(fields: Sequence[str]) -> Column:
+    """Digest of a tool's definition; null fields count as values."""
+    return F.sha2(F.to_json(F.array(*(F.struct(F.col(f).isNull().alias("none"), F.col(f).cast("string").alias("value")) for f in fields))), 256)
+
+
+def changed_tools(before: DataFrame, after: DataFrame, fields: Sequence[str] = ("description", "schema"), name: str = "tool_name") -> DataFrame:
+    """(name, change) of the tools whose definition isn't the same at both boundaries: ADDED, REMOVED or CHANGED."""
+    one = lambda df, as_: df.select(name, fingerprint(fields).alias(as_))
+    both = one(before, "_was").join(one(after, "_is"), name, "full_outer")
+    change = F.when(F.col("_was").isNull(), "ADDED").when(F.col("_is").isNull(), "REMOVED").when(F.col("_was") != F.col("_is"), "CHANGED")
+    return both.select(name, change.alias("change")).where("change is not null")
+
+
 def incomplete_tools(tools: DataFrame, fields: Sequence[str] = ("tool_name", "description", "schema")) -> DataFrame:
     """Definitions that lack a field."""
     missing = F.filter(F.array(*(F.when(F.col(f).isNull(), F.lit(f)) for f in fields)), lambda x: x.isNotNull())
@@ -114,7 +135,7 @@ def all_tool_calls(messages: DataFrame, key: str, in_message: str = "tool_calls"
     return one(in_message, "message").unionByName(one(in_metadata, "metadata"))
 
 
-def strip_internal(df: DataFrame, internal: Sequence[str] = ("session_id", "spans", "succeeded", "failures", "vault")) -> DataFrame:
+def strip_internal(df: DataFrame, internal: Sequence[str] = ("session_id", "spans", "succeeded", "failures", "failure", "vault")) -> DataFrame:
     """What an application or a tool gets to see."""
     return df.drop(*internal, *(c for c in df.columns if c.startswith("_")))
 

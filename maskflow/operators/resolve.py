@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import EVIDENCE, is_blank, once
+from ..functions.text import EVIDENCE, is_blank, let, once, scan_before
 from ..plans.model import DEFAULT_TYPES, FALLBACK_TYPE, MAX_SPANS, TYPE_GRAMMAR, Options, Policy, Registry
 from ..sources.detect import FAILURE, NO_EVIDENCE, Detector, failure_of
 
@@ -34,8 +34,9 @@ def canonical_type(label: Column, registry: Registry, own: Mapping[str, Sequence
 
 def broken_range(text: Column, evidence: Column) -> Column:
     """Whether a span is null or reaches outside the text, or its label or score is malformed."""
-    bad = lambda x: x.isNull() | F.coalesce((x["start"] < 0) | (x["end"] <= x["start"]) | (x["end"] > F.length(text)) | ~(x["score"] >= 0) | ~(x["score"] <= 1) | F.isnan(x["score"]) | ~x["entity_type"].rlike(rf"\A{TYPE_GRAMMAR}\z") | (F.length(x["entity_type"]) > 128), F.lit(True))
-    return evidence.isNull() | F.exists(evidence, bad)
+    bad = lambda x, n: x.isNull() | F.coalesce((x["start"] < 0) | (x["end"] <= x["start"]) | (x["end"] > n) | ~(x["score"] >= 0) | ~(x["score"] <= 1) | F.isnan(x["score"]) | ~x["entity_type"].rlike(rf"\A{TYPE_GRAMMAR}\z") | (F.length(x["entity_type"]) > 128), F.lit(True))
+    # most rows have no evidence; of the others the text is measured once, not once a span
+    return evidence.isNull() | ((F.size(evidence) > 0) & let(F.length(text), lambda n: F.exists(evidence, lambda x: bad(x, n))))
 
 
 def accept(evidence: Column, options: Options, policy: Policy, registry: Registry, own: Mapping[str, Sequence[str]] | None = None) -> Column:
@@ -62,14 +63,18 @@ def select_providers(evidence: Column, succeeded: Column, policy: Policy) -> Col
 def resolve(evidence: Column, fallback: str = FALLBACK_TYPE) -> Column:
     """Disjoint spans, in order. A span joins the cluster that it overlaps; touching ones stay apart."""
     order = F.array_sort(F.transform(evidence, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["provider"].alias("provider"), x["entity_type"].alias("entity_type"), x["score"].alias("score"))))
-    cluster = f"struct<start:int,end:int,evidence:array<{EVIDENCE}>>"
 
-    def sweep(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joins = (F.size(acc) > 0) & (x["start"] < F.try_element_at(acc, F.lit(-1))["end"])
-        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), F.concat(last["evidence"], F.array(x)).alias("evidence"))
-        new = F.struct(x["start"].alias("start"), x["end"].alias("end"), F.array(x).alias("evidence"))
-        return F.when(joins, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc, F.array(new)))
+    def clusters(xs: Column) -> Column:
+        """A cluster begins where a span starts at or after the end of all before it."""
+        ends = scan_before(F.transform(xs, lambda x: x["end"]), -1, F.greatest)
+        opens = F.zip_with(F.transform(xs, lambda x: x["start"]), ends, lambda start, end: start >= end)
+        firsts = F.filter(F.transform(opens, lambda o, i: F.when(o, i)), lambda i: i.isNotNull())
+
+        def one(f: Column, k: Column, all_: Column) -> Column:
+            upto = F.coalesce(F.try_element_at(all_, k + 2), F.size(xs))
+            return let(F.slice(xs, f + 1, upto - f), lambda found: decide(F.struct(found[0]["start"].alias("start"), F.array_max(F.transform(found, lambda x: x["end"])).alias("end"), found.alias("evidence"))))
+
+        return let(firsts, lambda all_: F.transform(all_, lambda f, k: one(f, k, all_)))
 
     def decide(c: Column) -> Column:
         found = c["evidence"]
@@ -87,8 +92,7 @@ def resolve(evidence: Column, fallback: str = FALLBACK_TYPE) -> Column:
         )
         return F.struct(kind.alias("entity_type"), c["start"].alias("start"), c["end"].alias("end"), reason.alias("reason"), found.alias("evidence"))
 
-    clusters = F.aggregate(order, F.array().cast(f"array<{cluster}>"), sweep)
-    return F.when(F.size(evidence) == 0, F.array().cast(f"array<{RESOLVED}>")).otherwise(F.transform(clusters, decide))
+    return F.when(F.size(evidence) == 0, F.array().cast(f"array<{RESOLVED}>")).otherwise(let(order, clusters))
 
 
 def outcome(failures: Column, succeeded: Column, policy: Policy) -> Column:
@@ -143,6 +147,12 @@ def analyze(df: DataFrame, detectors: Sequence[Detector], text: str = "text", op
     return df.drop("_evidence", "_accepted", "_blank", *(f"{n}{x}" for n in names.values() for x in ("", "_bad", "_failed")))
 
 
+def failure_events(df: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """What an observer of failures is told: keys, provider, code, phase, attempt_count of each failed provider; never
+    a text. Watching changes nothing about the rows."""
+    return df.select(*keys, F.explode("failures").alias("f")).select(*keys, "f.provider", "f.code", "f.phase", "f.attempt_count")
+
+
 def select_spans(df: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """A row for each resolved span: keys, entity_type, start, end, reason, evidence."""
     return df.select(*keys, F.explode("spans").alias("s")).select(*keys, "s.entity_type", "s.start", "s.end", "s.reason", "s.evidence")

@@ -23,19 +23,19 @@ def evidence(rules: Sequence[RegexRule], provider: str = "REGEX", table: str = "
     return " UNION ALL ".join(one)
 
 
-def resolved(source: str, key: str = "doc_id") -> str:
-    """R1-R6 as tables _o, _c, _b, _r and ``resolved`` over the evidence table ``source``."""
+def resolved(source: str, key: str = "doc_id", name: str = "resolved") -> str:
+    """R1-R6 as tables {name}_o, _c, _b, _r and ``name`` over the evidence table ``source``."""
     line = f'PARTITION BY {key} ORDER BY "start", "end", provider, entity_type, score'
     return f"""
-_o AS (SELECT *, max("end") OVER ({line} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM {source}),
-_c AS (SELECT *, sum(CASE WHEN pm IS NULL OR "start" >= pm THEN 1 ELSE 0 END) OVER ({line} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cid FROM _o),
-_b AS (SELECT *, min("start") OVER (PARTITION BY {key}, cid) AS cs, max("end") OVER (PARTITION BY {key}, cid) AS ce FROM _c),
-_r AS (SELECT {key}, cs AS "start", ce AS "end", count(*) AS n, count(DISTINCT provider) AS np, count(DISTINCT entity_type) AS nt, min(entity_type) AS t,
+{name}_o AS (SELECT *, max("end") OVER ({line} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM {source}),
+{name}_c AS (SELECT *, sum(CASE WHEN pm IS NULL OR "start" >= pm THEN 1 ELSE 0 END) OVER ({line} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cid FROM {name}_o),
+{name}_b AS (SELECT *, min("start") OVER (PARTITION BY {key}, cid) AS cs, max("end") OVER (PARTITION BY {key}, cid) AS ce FROM {name}_c),
+{name}_r AS (SELECT {key}, cs AS "start", ce AS "end", count(*) AS n, count(DISTINCT provider) AS np, count(DISTINCT entity_type) AS nt, min(entity_type) AS t,
   count(*) FILTER ("start" = cs AND "end" = ce) AS ne, count(DISTINCT entity_type) FILTER ("start" = cs AND "end" = ce) AS nc, min(entity_type) FILTER ("start" = cs AND "end" = ce) AS tc
-  FROM _b GROUP BY {key}, cid, cs, ce),
-resolved AS (SELECT {key}, "start", "end", n, np, CASE WHEN nc = 1 THEN tc WHEN nt = 1 THEN t ELSE 'PII' END AS entity_type,
+  FROM {name}_b GROUP BY {key}, cid, cs, ce),
+{name} AS (SELECT {key}, "start", "end", n, np, CASE WHEN nc = 1 THEN tc WHEN nt = 1 THEN t ELSE 'PII' END AS entity_type,
   CASE WHEN n = 1 THEN 'SINGLE_EVIDENCE' WHEN ne = n AND nt = 1 THEN 'EXACT_MATCH' WHEN ne = n THEN 'TYPE_CONFLICT' WHEN nc = 1 THEN 'COVERING_EVIDENCE' WHEN nt > 1 THEN 'TYPE_CONFLICT' ELSE 'OVERLAP_UNION' END AS reason
-  FROM _r)"""
+  FROM {name}_r)"""
 
 
 def rewritten(name: str, put: str, source: str, table: str = "documents", key: str = "doc_id", text: str = "text") -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -227,7 +228,7 @@ def protected_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tokenized(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return rewrite.analyze_and_tokenize(documents(spark, sf_dir), [RULES], "source", "doc_id", ["doc_id"])
+    return rewrite.analyze_and_tokenize(documents(spark, sf_dir), [RULES], "source", "doc_id", ["doc_id"], nonce=F.md5)  # so that SQL can tell the tokens
 
 
 @query(f"{WITH_TOKENS} SELECT doc_id, out AS tokenized FROM tok")
@@ -242,12 +243,13 @@ def vault(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tokenized(spark, sf_dir)[1].select("session_id", "entity_type", "token_index", "token", "original")
 
 
-@query(f"{WITH_EV} SELECT doc_id, true AS equal FROM documents")
+@query(f"""{WITH_TOKENS}, open AS (SELECT doc_id, unnest(regexp_extract_all(out, '{TOKEN_RE}')) AS token FROM tok)
+SELECT doc_id, text AS restored, count(vault.token) AS n_tokens FROM documents LEFT JOIN open USING (doc_id) LEFT JOIN vault ON vault.token = open.token AND vault.session_id = documents.source GROUP BY doc_id, text""")
 def detokenize_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T3."""
     rows, made = _tokenized(spark, sf_dir)
     back = rewrite.detokenize(rows, made, "source", "doc_id", "tokenized")
-    return back.select("doc_id", F.col("restored").eqNullSafe(F.col("text")).alias("equal"))
+    return back.select("doc_id", "restored", F.size(F.regexp_extract_all("tokenized", F.lit(rewrite.TOKEN), F.lit(0))).cast("long").alias("n_tokens"))
 
 
 DISCLOSED = {"mailer": frozenset({"EMAIL_ADDRESS"}), "dialer": frozenset({"PHONE_NUMBER", "IP_ADDRESS"})}
@@ -267,12 +269,12 @@ def detokenize_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.disclose(calls.select("doc_id", "source", "tool_name", "call_id", "tokenized"), made, Disclosures(DISCLOSED), "source", "call_id").select("doc_id", "tool_name", "disclosed", "changed")
 
 
-@query("SELECT doc_id, true AS unchanged FROM documents")
+@query(f"{WITH_TOKENS} SELECT doc_id, out AS restored FROM tok")
 def foreign_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Another session's tokens are just text."""
     rows, made = _tokenized(spark, sf_dir)
     back = rewrite.detokenize(rows.withColumn("other", F.concat("source", F.lit("-other"))), made, "other", "doc_id", "tokenized")
-    return back.select("doc_id", F.col("restored").eqNullSafe(F.col("tokenized")).alias("unchanged"))
+    return back.select("doc_id", "restored")
 
 
 _KNOWN_TEXT = "CASE WHEN doc_id % 2 = 0 THEN out || ' bob@x.org' ELSE out END"
@@ -326,13 +328,17 @@ def json_duplicate_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("id", "failure_code", "protected")
 
 
-@query("SELECT event_id, true AS equal, regexp_matches(json_extract_string(props, '$.k'), '6[0-9]') AS changed FROM events")
+_NUMBERS = """n AS (SELECT event_id, user_id, props, nullif(regexp_extract(props, '6[0-9]'), '') IS NOT NULL AS hit, regexp_extract(props, '-?[0-9]+') AS value FROM events),
+f AS (SELECT user_id, value, min(event_id) AS first FROM n WHERE hit GROUP BY ALL), v AS (SELECT *, '[[PII_NATIONAL_ID_' || md5(user_id::VARCHAR) || '_' || row_number() OVER (PARTITION BY user_id ORDER BY first) || ']]' AS token FROM f)"""
+
+
+@query(f"""WITH {_NUMBERS} SELECT event_id, CASE WHEN hit THEN '{{"k": "' || token || '"}}' ELSE props END AS protected, props AS restored FROM n LEFT JOIN v USING (user_id, value)""")
 def json_tokens_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers become tokens and then the same numbers again."""
     rows = spread(table(spark, sf_dir, "events").select("event_id", "user_id", "props"))
-    done, made = jsonval.protect_json(rows, "event_id", [RegexDetector(NUMBERS)], "TOKENIZE", "props", "user_id", ["event_id"], out="protected")
+    done, made = jsonval.protect_json(rows, "event_id", [RegexDetector(NUMBERS)], "TOKENIZE", "props", "user_id", ["event_id"], out="protected", nonce=F.md5)
     back = jsonval.restore_json(done.drop("failure_code", "mode"), made, "event_id", "user_id", "protected")
-    return back.select("event_id", F.col("restored").eqNullSafe(F.col("props")).alias("equal"), (~F.col("protected").eqNullSafe(F.col("props"))).alias("changed"))
+    return back.select("event_id", "protected", "restored")
 
 
 # --- policies --------------------------------------------------------------------------------------------------
@@ -343,7 +349,7 @@ SELECT action, (action = 'BLOCK' AND hit) AS blocked, hit AND action <> 'BLOCK'
 def output_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P1, P2."""
     rows = analyzed(spark, sf_dir)
-    made = rewrite.build_vault(rewrite.found_values(rewrite.found_spans(rows, "source", "doc_id", ["doc_id"])))
+    made = rewrite.build_vault(rewrite.found_values(rewrite.found_spans(rows, "source", "doc_id", ["doc_id"])), nonce=F.md5)
     parts = [policy.apply_output_policy(rows, OutputPolicy(True, a), "source", "doc_id", made).select(F.lit(a).alias("action"), "blocked", (~F.col("output").eqNullSafe(F.col("text")) & ~F.col("blocked")).alias("changed")) for a in ("TOKENIZE", "REDACT", "BLOCK")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("action", "blocked", "changed").agg(F.count("*").alias("n"))
 
@@ -355,7 +361,7 @@ placed AS (SELECT k, "start", "end", token FROM occ JOIN vault USING (session_id
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spread(table(spark, sf_dir, "conversations")).withColumn("k", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
-    return policy.transform_messages(rows, "k", "conv_id", ["turn"], [RegexDetector(NAMES)])[0]
+    return policy.transform_messages(rows, "k", "conv_id", ["turn"], [RegexDetector(NAMES)], nonce=F.md5)[0]
 
 
 @query(f"WITH {_MSG} SELECT conv_id, turn, role, out AS protected FROM tok JOIN msg USING (k)")
@@ -528,17 +534,361 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.token_counts(rows)
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0),
+@query(f"""{WITH_EV}, {sql.rewritten('red', "'[REDACTED_' || entity_type || ']'", 'resolved')}, q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0),
 s AS (SELECT query_id, vec_id, list_dot_product(e::DOUBLE[], embedding::DOUBLE[]) / sqrt(list_dot_product(e::DOUBLE[], e::DOUBLE[]) * list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS score FROM q, embeddings),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s WHERE score >= 0.2)
-SELECT query_id, vec_id, rank, round(score, 6) AS score FROM r WHERE rank <= 3""")
+SELECT query_id, vec_id, rank, round(score, 6) AS score, out AS protected FROM r LEFT JOIN red ON vec_id = doc_id WHERE rank <= 3""")
 def rag_topk_protect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V8."""
+    """V8: what retrieval finds (the document of a vector's number) is redacted before it is given out."""
     vectors = table(spark, sf_dir, "embeddings")
     asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return evaluate.nearest_protected(asked, vectors, 3, 0.2).select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+    found = evaluate.retrieve_protected(asked, vectors, documents(spark, sf_dir), [RULES], 3, 0.2)
+    return found.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"), "protected")
+
+
+# --- rows that share a key, or have none -----------------------------------------------------------------------
+
+_ODD_KEYS = "CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 5 = 1 THEN 7 ELSE doc_id END"
+
+
+@query(f"""{WITH_TOKENS} SELECT {_ODD_KEYS} AS k, out AS tokenized, count(*) AS n FROM tok JOIN documents USING (doc_id) GROUP BY ALL""")
+def tokenize_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fifth of the rows has no key and another fifth the same one; each is protected all the same."""
+    odd = documents(spark, sf_dir).withColumn("k", F.expr(_ODD_KEYS))
+    rows, _ = rewrite.analyze_and_tokenize(odd, [RULES], "source", "k", ["doc_id"], nonce=F.md5)
+    return rows.groupBy("k", "tokenized").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 7 END AS k, CASE WHEN regexp_matches(json_extract_string(props, '$.k'), '6[0-9]') THEN regexp_replace(props, '[0-9]+', '"[REDACTED_NATIONAL_ID]"') ELSE props END AS props, count(*) AS n FROM events GROUP BY ALL""")
+def json_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for payloads."""
+    rows = spread(table(spark, sf_dir, "events")).select(F.when(F.col("event_id") % 3 != 0, F.col("event_id") % 7).alias("k"), "props")
+    done, _ = jsonval.protect_json(rows, "k", [RegexDetector(NUMBERS)], "REDACT", "props", out="protected")
+    return done.groupBy("k", F.col("protected").alias("props")).agg(F.count("*").alias("n"))
+
+
+# --- detectors that run elsewhere ------------------------------------------------------------------------------
+
+
+def _answers():
+    """A remote service whose answers follow from the length of the text it is asked about."""
+    asked: dict[str, int] = {}
+
+    def send(url, body, headers, timeout):
+        import json
+
+        text = json.loads(body)["text"]
+        asked[text] = asked.get(text, 0) + 1
+        span = json.dumps([{"entity_type": "PERSON", "start": 0, "end": min(4, len(text)), "score": 0.9}]).encode()
+        kind = len(text) % 9
+        if kind == 0:
+            return 503, b""
+        if kind == 1:
+            return 401, b""
+        if kind == 2:
+            return (429, b"") if asked[text] % 2 else (200, span)
+        if kind == 3:
+            return 200, b"[{}]"
+        if kind == 4:
+            return 200, span + b" " * 1_000
+        if kind == 5:
+            raise TimeoutError
+        return 200, span
+
+    return send
+
+
+def _remote():
+    from .plans.model import RemoteConfig
+    from .sources.detect import remote_analyzer
+
+    return remote_analyzer(RemoteConfig(max_response_bytes=1_000), send=_answers(), sleep=lambda s: None)()
+
+
+_LIVE = "regexp_matches(coalesce(text, ''), '[^ \\t\\n\\x0b\\f\\r]')"
+
+
+@query(f"""WITH d AS (SELECT doc_id, CASE WHEN {_LIVE} THEN length(text) % 9 ELSE 8 END AS kind FROM documents)
+SELECT kind::INTEGER AS kind, CASE kind WHEN 0 THEN 'ANALYZER_UNAVAILABLE' WHEN 1 THEN 'ANALYZER_AUTHENTICATION_FAILED' WHEN 3 THEN 'ANALYZER_RESPONSE_INVALID' WHEN 4 THEN 'ANALYZER_RESPONSE_INVALID' WHEN 5 THEN 'ANALYZER_TIMEOUT' END AS code,
+CASE WHEN kind IN (0, 5) THEN 2 WHEN kind IN (1, 3, 4) THEN 1 END AS attempts, count(*) AS n FROM d GROUP BY ALL""")
+def remote_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retries, refusals, answers that are malformed or too long, timeouts."""
+    from .sources.detect import FunctionDetector
+
+    done = resolve.analyze(documents(spark, sf_dir), [FunctionDetector(_remote, "REMOTE")])
+    kind = F.when(F.coalesce(F.col("text"), F.lit("")).rlike("[^ \\t\\n\\x0b\\f\\r]"), F.length("text") % 9).otherwise(8)
+    return done.groupBy(kind.alias("kind"), F.col("failure.code").alias("code"), F.col("failure.attempt_count").alias("attempts")).agg(F.count("*").alias("n"))
+
+
+def _moody():
+    from .sources.detect import AnalyzerFailed
+
+    def analyze(text):
+        kind = len(text) % 6
+        if kind == 0:
+            raise RuntimeError(text)
+        if kind == 1:
+            raise AnalyzerFailed("ANALYZER_RATE_LIMITED", 3)
+        if kind == 2:
+            raise InterruptedError
+        return [("PERSON", 0, len(text) + (kind == 3), 0.5)]
+
+    return analyze
+
+
+@query(f"""WITH d AS (SELECT length(text) % 6 AS kind FROM documents WHERE {_LIVE})
+SELECT 'MOODY' AS provider, CASE kind WHEN 0 THEN 'ANALYZER_EXECUTION_FAILED' WHEN 1 THEN 'ANALYZER_RATE_LIMITED' WHEN 2 THEN 'ANALYSIS_INTERRUPTED' ELSE 'ANALYZER_CONTRACT_VIOLATION' END AS code, 'ANALYSIS' AS phase, CASE WHEN kind = 1 THEN 3 ELSE 1 END AS attempt_count, count(*) AS n FROM d WHERE kind < 4 GROUP BY ALL""")
+def failure_observer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an observer is told of a detector that fails in every way, beside one that works."""
+    from .sources.detect import FunctionDetector
+
+    done = resolve.analyze(documents(spark, sf_dir), [RULES, FunctionDetector(_moody, "MOODY")], policy=Policy(failures="ALLOW_PARTIAL"))
+    return resolve.failure_events(done).groupBy("provider", "code", "phase", "attempt_count").agg(F.count("*").alias("n"))
+
+
+def _names():
+    from .sources.detect import ner_analyzer
+
+    known = {"PERSON": lambda words: [(k, k + 1, 0.9) for k, w in enumerate(words) if w in WORDS], "LOCATION": lambda words: [(k, k + 2, 0.6) for k in range(len(words) - 1) if words[k] == "of" and words[k + 1] == "the"]}
+    return ner_analyzer(known, "en", "en", "[A-Za-z0-9_]+")()
+
+
+@query(f"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9_]+') AS ws FROM documents), o AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)
+SELECT doc_id, CASE WHEN ws[i] = 'of' THEN 'LOCATION' ELSE 'PERSON' END AS entity_type, count(*) AS n FROM o WHERE ws[i] IN ({', '.join(map(sql.text_literal, WORDS))}) OR (ws[i] = 'of' AND ws[i + 1] = 'the') GROUP BY ALL""")
+def named_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Name finders, one for each type, from word ranges to spans of the text."""
+    from .sources.detect import FunctionDetector
+
+    found = FunctionDetector(_names, "NER").detect(documents(spark, sf_dir), "text", "found")
+    return found.select("doc_id", F.explode("found.evidence").alias("e")).groupBy("doc_id", F.col("e.entity_type").alias("entity_type")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, (length(text) + len(regexp_extract_all(text, '[\\x{10000}-\\x{10FFFF}]')))::INTEGER AS n FROM documents")
+def utf16_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D12."""
+    from .functions.text import utf16_length
+
+    return documents(spark, sf_dir).select("doc_id", utf16_length(F.col("text")).alias("n"))
+
+
+# --- values in trees -------------------------------------------------------------------------------------------
+
+_TREE = """'{"a":{"t":"' || regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 .,]', '' GLOBAL) || '","n":[6, 64, 1.50e1, true, null]},"Theresa ' || turn || '":[' || turn || ']}'"""
+_RED_NAMES = """regexp_replace(regexp_replace({x}, 'Ther[a-z]+', '[REDACTED_PERSON]', 'g'), '[A-Z]nt[a-z]+', '[REDACTED_LOCATION]', 'g')"""
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, {_TREE.replace(" GLOBAL", ", 'g'")} AS tree FROM conversations)
+SELECT conv_id, turn, replace(CASE WHEN turn BETWEEN 60 AND 69 THEN regexp_replace(red, '\[[0-9]+\]', '["[REDACTED_NATIONAL_ID]"]') ELSE red END, ' 64,', ' "[REDACTED_NATIONAL_ID]",') AS tree, true AS had FROM (SELECT *, {_RED_NAMES.format(x='tree')} AS red FROM t)""")
+def json_tree_protect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names, strings and numbers of a nested value, analysed in one go."""
+    rows = spread(table(spark, sf_dir, "conversations")).select("conv_id", "turn", F.expr(_TREE.replace(" GLOBAL", "")).alias("tree"))
+    both = [RegexDetector(NAMES), RegexDetector(NUMBERS, "NUMBERS")]
+    red, _ = jsonval.protect_json(rows, "turn", both, "REDACT", "tree", out="red")
+    had, _ = jsonval.protect_json(red.drop("mode", "failure_code"), "turn", both, "CONTAINS_PII", "tree", out="had")
+    return had.select("conv_id", "turn", F.col("red").alias("tree"), "had")
+
+
+_LIMITED = "CASE doc_id % 4 WHEN 0 THEN repeat('[', (doc_id % 300)::INT) || '1' || repeat(']', (doc_id % 300)::INT) WHEN 1 THEN '{\"n\": 1e' || (doc_id * 13 % 9000) || '}' WHEN 2 THEN '{\"s\": \"' || repeat('x', (doc_id % 200 * 1500)::INT) || '\"}' ELSE '[' || repeat('1, ', (doc_id % 50 * 2500)::INT) || '2]' END"
+
+
+@query(f"""WITH d AS (SELECT doc_id, doc_id % 4 AS kind FROM documents)
+SELECT doc_id, CASE WHEN (kind = 0 AND doc_id % 300 > 128) OR (kind = 1 AND doc_id * 13 % 9000 + 3 > 4096) OR (kind = 2 AND doc_id % 200 * 1500 > 250000) OR (kind = 3 AND doc_id % 50 * 2500 + 1 > 100000) THEN 'PAYLOAD_LIMIT_EXCEEDED' END AS failure_code FROM d""")
+def json_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depth, expanded numbers, strings and nodes beyond their limits."""
+    rows = documents(spark, sf_dir).select("doc_id", F.expr(_LIMITED.replace("::INT", "")).alias("value"))
+    done, _ = jsonval.protect_json(rows, "doc_id", [RegexDetector(NAMES)], "REDACT", "value", out="protected")
+    return done.select("doc_id", "failure_code")
+
+
+@query("""WITH f AS (SELECT conv_id, substr(text, 1, 6) AS original, min(turn) AS first FROM conversations WHERE length(text) >= 6 GROUP BY ALL),
+v AS (SELECT *, '[[PII_PERSON_' || md5(conv_id::VARCHAR) || '_' || row_number() OVER (PARTITION BY conv_id ORDER BY first) || ']]' AS token FROM f)
+SELECT c.conv_id, turn, CASE WHEN length(text) >= 6 THEN token || substr(text, 7) ELSE text END AS tokenized FROM conversations c LEFT JOIN v ON v.conv_id = c.conv_id AND original = substr(text, 1, 6)""")
+def scalar_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scalars with spans that are known already."""
+    spans = F.when(F.length("text") >= 6, F.array(F.struct(F.lit(0).alias("start"), F.lit(6).alias("end"), F.lit("PERSON").alias("entity_type")))).otherwise(F.array().cast(rewrite.PLAIN))
+    rows = spread(table(spark, sf_dir, "conversations")).withColumn("spans", spans)
+    found = rewrite.found_spans(rows, "conv_id", "turn", ["turn"])
+    made = rewrite.build_vault(rewrite.found_values(found), nonce=F.md5)
+    return rewrite.tokenize_found(rows, found, made, "turn", "conv_id").select("conv_id", "turn", "tokenized")
+
+
+# --- tools and messages ----------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_NUMBERS} SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'TOOL_EXECUTION_FAILED' END AS failure_code, CASE WHEN event_id % 11 <> 0 THEN CASE WHEN hit THEN '{{"k": "' || token || '"}}' ELSE props END END AS protected
+FROM n LEFT JOIN (SELECT * REPLACE ('[[PII_NATIONAL_ID_' || md5(user_id::VARCHAR) || '_' || row_number() OVER (PARTITION BY user_id ORDER BY first) || ']]' AS token) FROM (SELECT user_id, value, min(event_id) AS first, '' AS token FROM n WHERE hit AND event_id % 11 <> 0 GROUP BY ALL)) USING (user_id, value)""")
+def tool_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tool gets the numbers that it may see, gives them back, and the answer is protected again."""
+    rows = spread(table(spark, sf_dir, "events").select("event_id", "user_id", "props"))
+    done, made = jsonval.protect_json(rows, "event_id", [RegexDetector(NUMBERS)], "TOKENIZE", "props", "user_id", ["event_id"], out="arguments", nonce=F.md5)
+    echo = lambda calls: calls.withColumn("result", F.when(F.col("event_id") % 11 != 0, F.col("input")))
+    back, _ = policy.call_tool(done.select("event_id", "user_id", "arguments"), made, echo, ["NATIONAL_ID"], [RegexDetector(NUMBERS)], "user_id", "event_id", nonce=F.md5)
+    return back.select("event_id", "failure_code", "protected")
+
+
+@query(f"""{WITH_TOKENS}, given AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE out END AS text FROM tok JOIN documents USING (doc_id)), gev AS ({sql.evidence(SAFE, table='given')}), {sql.resolved('gev', name='resolved2')}, {sql.rewritten('red', "'[REDACTED_' || entity_type || ']'", 'resolved2', 'given')}
+SELECT doc_id, out AS output, false AS blocked FROM red""")
+def return_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of answers that go straight to the user become originals before the policy is applied."""
+    rows, made = _tokenized(spark, sf_dir)
+    given = rows.select("doc_id", "source", F.col("tokenized").alias("text"), (F.col("doc_id") % 2 == 0).alias("direct"))
+    return policy.protect_return_direct(given, made, "source", "doc_id", "direct", [RULES], OutputPolicy(True, "REDACT")).select("doc_id", "output", "blocked")
+
+
+@query(f"""SELECT conv_id, turn, {_RED_NAMES.format(x='text')} AS reasoning, text AS other FROM conversations""")
+def reasoning_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the metadata that holds a provider's reasoning is rewritten."""
+    rows = table(spark, sf_dir, "conversations").withColumn("metadata", F.create_map(F.lit("thinking"), F.col("text"), F.lit("other"), F.col("text")))
+    change = lambda v: F.regexp_replace(F.regexp_replace(v, "Ther[a-z]+", "[REDACTED_PERSON]"), "[A-Z]nt[a-z]+", "[REDACTED_LOCATION]")
+    done = rows.withColumn("metadata", policy.transform_reasoning(F.col("metadata"), change))
+    return done.select("conv_id", "turn", F.col("metadata")["thinking"].alias("reasoning"), F.col("metadata")["other"].alias("other"))
+
+
+@query("SELECT doc_id, text, lang, source FROM documents")
+def stripped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of an analysed row, an application sees what it gave."""
+    return policy.strip_internal(analyzed(spark, sf_dir))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'TRANSFORMATION_CONFLICT' END AS failure_code, turn % 3 <> 0 AS given FROM conversations""")
+def unknown_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P20."""
+    rows = table(spark, sf_dir, "conversations").withColumn("role", F.when(F.col("turn") % 6 == 0, "narrator").when(F.col("turn") % 3 != 0, F.col("role")))
+    done, _ = policy.transform_messages(rows, "turn", "conv_id", ["turn"], [RegexDetector(NAMES)])
+    return done.select("conv_id", "turn", "failure_code", F.col("protected").isNotNull().alias("given"))
+
+
+_TOOLS = "p_partkey AS tool_name, CASE WHEN p_partkey % 13 <> 0 THEN p_name END AS description, CASE WHEN p_partkey % 7 <> 0 THEN p_type END AS schema"
+
+
+def _tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").selectExpr(*_TOOLS.split(", "))
+
+
+@query(f"""WITH t AS (SELECT {_TOOLS} FROM part) SELECT tool_name, concat_ws(',', CASE WHEN description IS NULL THEN 'description' END, CASE WHEN schema IS NULL THEN 'schema' END) AS missing FROM t WHERE description IS NULL OR schema IS NULL""")
+def tools_incomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P16."""
+    return policy.incomplete_tools(_tools(spark, sf_dir)).select("tool_name", F.array_join("missing", ",").alias("missing"))
+
+
+@query(f"""WITH t AS (SELECT {_TOOLS} FROM part), b AS (SELECT * FROM t WHERE tool_name % 17 <> 0), a AS (SELECT tool_name, CASE WHEN tool_name % 11 = 0 THEN description || '!' ELSE description END AS description, schema FROM t WHERE tool_name % 19 <> 0)
+SELECT tool_name, CASE WHEN tool_name % 17 = 0 THEN 'ADDED' WHEN tool_name % 19 = 0 THEN 'REMOVED' ELSE 'CHANGED' END AS change FROM t WHERE (tool_name % 17 = 0) <> (tool_name % 19 = 0) OR (tool_name % 17 <> 0 AND tool_name % 11 = 0 AND description IS NOT NULL AND tool_name % 19 <> 0)""")
+def tools_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definitions that differ between two boundaries."""
+    tools = _tools(spark, sf_dir)
+    later = tools.where("tool_name % 19 <> 0").withColumn("description", F.when(F.col("tool_name") % 11 == 0, F.concat("description", F.lit("!"))).otherwise(F.col("description")))
+    return policy.changed_tools(tools.where("tool_name % 17 <> 0"), later)
+
+
+@query("""SELECT s_name AS tool_name, CASE WHEN s_nationkey % 4 <> 0 THEN 'svc' || s_nationkey % 4 END AS service_id, CASE WHEN s_nationkey % 4 = 0 THEN 'UNWRAPPED' ELSE 'OTHER_SERVICE' END AS reason FROM supplier WHERE s_nationkey % 4 <> 1""")
+def tools_foreign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P10: tools without the wrapper of this service."""
+    owner = F.when(F.col("s_nationkey") % 4 != 0, F.concat(F.lit("svc"), (F.col("s_nationkey") % 4).cast("string")))
+    return policy.foreign_tools(table(spark, sf_dir, "supplier").select(F.col("s_name").alias("tool_name"), owner.alias("service_id")), "svc1")
+
+
+@query("""WITH c AS (SELECT conv_id, turn AS id, 'message' AS source FROM conversations UNION ALL SELECT conv_id, turn, 'metadata' FROM conversations WHERE turn % 2 = 1)
+SELECT conv_id, count(*) AS n, (SELECT count(*) FROM conversations x WHERE x.conv_id = c.conv_id AND turn % 2 = 1) AS doubled FROM c GROUP BY conv_id""")
+def tool_calls_of_both_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls in messages and in metadata, and those that stand in both."""
+    call = F.struct(F.col("turn").cast("string").alias("id"))
+    none = F.array().cast("array<struct<id:string>>")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.array(call).alias("tool_calls"), F.when(F.col("turn") % 2 == 1, F.array(call)).otherwise(none).alias("metadata_tool_calls"))
+    calls = policy.all_tool_calls(rows, "conv_id").select(F.col("conv_id").alias("response_id"), F.col("call.id").alias("id"), "source")
+    doubled = fr.doubled_calls(calls).groupBy("response_id").agg(F.count("*").alias("doubled"))
+    return calls.groupBy("response_id").agg(F.count("*").alias("n")).join(doubled, "response_id", "left").select(F.col("response_id").alias("conv_id"), "n", F.coalesce("doubled", F.lit(0)).alias("doubled"))
+
+
+# --- more streams ----------------------------------------------------------------------------------------------
+
+
+@query("""WITH p AS (SELECT doc_id, text, (length(text) / 2)::BIGINT AS half FROM documents), c AS (SELECT doc_id, unnest([0, 1]) AS choice, half, text FROM p)
+SELECT doc_id::VARCHAR AS response_id, choice::BIGINT AS choice, channel, CASE WHEN doc_id % 7 <> 3 THEN CASE WHEN channel = 'THOUGHT' THEN 'thinks ' || choice ELSE CASE WHEN choice = 0 THEN substr(text, 1, 100) ELSE translate(substr(text, 1, 100), 'aeiou', 'AEIOU') END END END AS text,
+CASE WHEN doc_id % 7 = 3 THEN 'TRANSFORMATION_CONFLICT' END AS failure_code FROM c, (VALUES ('DEFAULT'), ('THOUGHT')) AS k(channel) WHERE length(text) > 0""")
+def stream_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two choices told by index, in whatever position, and two channels; an index twice in a frame fails."""
+    docs = documents(spark, sf_dir).where("length(text) > 0").select("doc_id", F.col("doc_id").cast("string").alias("response_id"), "text")
+    parts = docs.withColumn("frame_seq", F.explode(F.sequence(F.lit(0), F.lit(4)).cast("array<bigint>"))).withColumn("choice_index", F.explode(F.array(F.lit(0), F.lit(1)).cast("array<bigint>")))
+    piece = F.substring(F.substring("text", 1, 100), F.col("frame_seq") * 20 + 1, F.lit(20))
+    said = parts.select("doc_id", "response_id", "frame_seq", "choice_index", F.lit("DEFAULT").alias("channel"), F.when(F.col("choice_index") == 0, piece).otherwise(F.translate(piece, "aeiou", "AEIOU")).alias("text"))
+    thought = parts.where("frame_seq = 2").select("doc_id", "response_id", "frame_seq", "choice_index", F.lit("THOUGHT").alias("channel"), F.concat(F.lit("thinks "), F.col("choice_index").cast("string")).alias("text"))
+    every = said.unionByName(thought).withColumn("position", ((F.col("choice_index") + F.col("frame_seq")) % 2).cast("int"))
+    again = said.where("doc_id % 7 = 3 and frame_seq = 1 and choice_index = 0").withColumn("position", F.lit(5))
+    return fr.join_text(fr.correlate(every.unionByName(again).drop("doc_id"))).select("response_id", "choice", "channel", "text", "failure_code")
+
+
+@query("""WITH f AS (SELECT conv_id, min_by(text, turn) AS t, max(turn) AS most, count(DISTINCT turn % 2) AS names FROM conversations GROUP BY conv_id)
+SELECT conv_id, CASE WHEN conv_id % 3 <> 0 THEN 'c' || conv_id END AS id, CASE WHEN conv_id % 5 = 0 AND names > 1 THEN 'TRANSFORMATION_CONFLICT' END AS failure_code, CASE WHEN NOT (conv_id % 5 = 0 AND names > 1) THEN substr(t, 1, (5 * (most + 1))::BIGINT) END AS arguments FROM f""")
+def stream_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls whose arguments arrive in growing pieces, by id or by position; a name that changes fails."""
+    rows = table(spark, sf_dir, "conversations")
+    first = rows.groupBy("conv_id").agg(F.min_by("text", "turn").alias("t"))
+    name = F.when(F.col("conv_id") % 5 == 0, F.concat(F.lit("tool"), (F.col("turn") % 2).cast("string"))).otherwise("tool")
+    calls = rows.join(first, "conv_id").select(F.col("conv_id").alias("response_id"), F.col("turn").alias("frame_seq"), F.lit(0).alias("position"), F.when(F.col("conv_id") % 3 != 0, F.concat(F.lit("c"), F.col("conv_id").cast("string"))).alias("id"), name.alias("name"), F.substring("t", F.lit(1), (5 * (F.col("turn") + 1)).cast("int")).alias("arguments"))
+    return fr.merge_tool_calls(calls).select(F.col("response_id").alias("conv_id"), "id", "failure_code", "arguments")
+
+
+@query("""WITH f AS (SELECT conv_id, string_agg(substr(text, 1, 4), '' ORDER BY turn) AS deltas, count(*) FILTER (turn % 2 = 1) AS odd, count(*) AS n FROM (SELECT DISTINCT ON (conv_id, turn) * FROM conversations) GROUP BY conv_id)
+SELECT conv_id, CASE WHEN conv_id % 4 = 0 AND odd > 0 AND odd < n THEN 'TRANSFORMATION_CONFLICT' END AS failure_code, n AS frames FROM f""")
+def stream_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reasoning metadata of all frames; strings mixed with other values fail."""
+    rows = table(spark, sf_dir, "conversations").dropDuplicates(["conv_id", "turn"])
+    parts = rows.select(F.col("conv_id").alias("response_id"), F.col("turn").alias("frame_seq"), F.lit("thinking").alias("name"), F.concat(F.col("turn").cast("string"), F.lit(";")).alias("value"), ((F.col("conv_id") % 4 != 0) | (F.col("turn") % 2 == 1)).alias("is_string"))
+    merged = fr.merge_metadata(parts, policy.REASONING_KEYS)
+    return merged.join(rows.groupBy(F.col("conv_id").alias("response_id")).agg(F.count("*").alias("frames")), "response_id").select(F.col("response_id").alias("conv_id"), "failure_code", "frames")
+
+
+@query("SELECT event_id, CASE WHEN event_type NOT IN ('click', 'view') THEN 'TOOL_POLICY_FAILED' END AS failure_code FROM events")
+def stream_valid_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames that aren't held back."""
+    return fr.pass_valid_calls(table(spark, sf_dir, "events"), ["click", "view"], "event_type").select("event_id", "failure_code")
+
+
+# --- sessions and probes ---------------------------------------------------------------------------------------
+
+
+@query("""SELECT event_id, CASE WHEN user_id % 5 = 0 THEN 'CONTEXT_REQUIRED' WHEN user_id % 3 <> 0 THEN 'CONTEXT_NOT_ACTIVE' END AS code, (SELECT count(DISTINCT user_id) FROM events WHERE user_id % 3 = 0) AS active FROM events""")
+def session_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without a session, or of one that is closed."""
+    events = table(spark, sf_dir, "events")
+    active = events.where("user_id % 3 = 0").select(F.col("user_id").alias("session_id")).distinct()
+    rows = events.withColumn("session", F.when(F.col("user_id") % 5 != 0, F.col("user_id")))
+    return rewrite.require_active(rows, active, "session").select("event_id", F.col("failure.code").alias("code"), F.lit(evaluate.active_sessions(active)).cast("long").alias("active"))
+
+
+@query(f"""{WITH_VAULT} SELECT session_id, count(*) AS n FROM vault WHERE session_id NOT IN ('src1', 'src2') GROUP BY session_id""")
+def closed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A closed session's mappings are gone."""
+    made = _tokenized(spark, sf_dir)[1]
+    left = rewrite.close_sessions(made, values(spark, [("src1",), ("src2",)], "session_id string"))
+    return left.groupBy("session_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'N' || n_nationkey AS id, CASE WHEN n_nationkey % 4 = 0 THEN 0 ELSE 2 END AS n_types, n_name AS text FROM nation")
+def corpus_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V2: a tab-separated corpus with comments and empty lists, written from a table and read back."""
+    from .functions.storage import work_path
+    from .sources.detect import read_corpus
+
+    kinds = F.when(F.col("n_nationkey") % 4 == 0, "-").otherwise("PERSON,LOCATION")
+    line = F.concat_ws("\t", F.concat(F.lit("N"), F.col("n_nationkey").cast("string")), kinds, kinds, "n_name")
+    path = work_path(spark, "corpus")
+    nation = table(spark, sf_dir, "nation")
+    nation.select(line.alias("value")).unionByName(nation.select(F.concat(F.lit("# "), "n_name").alias("value"))).write.text(path)
+    return read_corpus(spark, path).select("id", F.size("expected_types").alias("n_types"), "text")
+
+
+@query("SELECT user_id AS session_id, event_type AS tool_name, props AS input FROM events WHERE contains(props, '6')")
+def probe_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V5, V7: what tools were given, as far as it holds a value."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.col("event_type").alias("tool_name"), F.col("props").alias("input"), "value")
+    return evaluate.holding(evaluate.snapshot(rows), "input", "6")
+
+
+#: Where ``entry`` finds its tables, unless SF_DIR names another folder.
+ENTRY_DIR = "/root/testdata/sf0.001"
 
 
 def entry(spark: SparkSession) -> DataFrame:
-    return protected_by_language(spark, "/root/testdata/sf0.001")
+    return protected_by_language(spark, os.environ.get("SF_DIR", ENTRY_DIR))
 

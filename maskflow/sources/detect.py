@@ -6,6 +6,7 @@ import json
 import re
 import time
 from collections.abc import Callable, Iterable, Iterator, Mapping
+from functools import partial
 from typing import Protocol
 
 import pandas as pd
@@ -47,8 +48,9 @@ def failure_of(provider: str, code: str, attempts: int = 1) -> Column:
 class RegexDetector:
     """Rules in order, all matches of each; spans of different rules may overlap.
 
-    Whole matches are found by built-in expressions. A rule with a capture group runs in an Arrow-batched function,
-    since no built-in gives a group's offsets; there a group that takes no part, or is empty, fails the row.
+    Whole matches are found by built-in expressions. No built-in gives the offsets of a capture group, so a rule with one
+    looks for it within the matches in an Arrow-batched function, in Python's dialect: where that finds other matches
+    than the built-in one, or the group takes no part or is empty, the row fails.
     """
 
     def __init__(self, rules: Iterable[RegexRule], provider: str = "REGEX", validators: Mapping[str, Callable[[Column], Column]] | None = None):
@@ -63,7 +65,8 @@ class RegexDetector:
         parts, bad = [], F.lit(False)
         for k, rule in enumerate(self.rules):
             if rule.capture_group:
-                df = df.withColumn(f"_group_{k}", group_spans(rule.pattern, rule.capture_group)(value))
+                whole = F.when(value.rlike(rule.pattern), F.regexp_extract_all(value, F.lit(rule.pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+                df = df.withColumn(f"_group_{k}", group_spans(rule.pattern, rule.capture_group)(value, whole))
                 found = F.col(f"_group_{k}")
                 bad = bad | (~is_blank(value) & found.isNull())
                 found = F.coalesce(found, F.array().cast("array<struct<start:int,end:int,value:string>>"))
@@ -87,24 +90,26 @@ class RegexDetector:
 
 
 def group_spans(pattern: str, group: int):
-    """D3: pandas function from text to the spans of one group (Python's dialect); null where a match breaks the contract."""
+    """D3: pandas function from text and the whole matches that the engine's own dialect finds to the spans of one group;
+    null where a match breaks the contract, or Python's dialect finds other matches."""
 
     @F.pandas_udf("array<struct<start:int,end:int,value:string>>")
-    def find(texts: pd.Series) -> pd.Series:
-        compiled = re.compile(pattern)
-
-        def one(t):
-            if not t:
+    def find(texts: pd.Series, wholes: pd.Series) -> pd.Series:
+        try:
+            compiled = re.compile(pattern)
+        except re.error:
+            compiled = None
+
+        def one(t, whole):
+            if not t or not len(whole):
                 return []
-            out = []
-            for m in compiled.finditer(t):
-                a, b = m.span(group)
-                if a < 0 or a == b:
-                    return None
-                out.append({"start": a, "end": b, "value": t[a:b]})
-            return out
+            found = list(compiled.finditer(t)) if compiled else []
+            spans = [m.span(group) for m in found]
+            if [m[0] for m in found] != list(whole) or any(a < 0 or a == b for a, b in spans):
+                return None
+            return [{"start": a, "end": b, "value": t[a:b]} for a, b in spans]
 
-        return texts.map(one, na_action=None)
+        return pd.Series([one(t, w if w is not None else []) for t, w in zip(texts, wholes, strict=True)], dtype="object")
 
     return find
 
@@ -175,6 +180,8 @@ def _analyzed(analyze, provider: str, text: str | None) -> tuple[list[dict], dic
         return rows, None
     except AnalyzerFailed as e:
         return [], {"provider": provider, "code": e.code, "phase": "ANALYSIS", "attempt_count": e.attempts}
+    except InterruptedError:  # E8: the detector gave up because it was told to stop
+        return [], {"provider": provider, "code": "ANALYSIS_INTERRUPTED", "phase": "ANALYSIS", "attempt_count": 1}
     except Exception:  # E6: what a detector raises may hold text, so only the code goes on
         return [], {"provider": provider, "code": "ANALYZER_EXECUTION_FAILED", "phase": "ANALYSIS", "attempt_count": 1}
 
@@ -247,7 +254,7 @@ def remote_analyzer(config: RemoteConfig, language: str = "en", send=None, sleep
     urllib, one client for each batch of rows. Retries happen here, so that a task is not run again for them."""
 
     def make():
-        ask = send or _urllib_send
+        ask = send or partial(_urllib_send, most=config.max_response_bytes)
 
         def analyze(text: str):
             body = json.dumps({"text": text, "language": language}).encode()
@@ -264,6 +271,8 @@ def remote_analyzer(config: RemoteConfig, language: str = "en", send=None, sleep
                     code, again = http_failure(status)
                 except TimeoutError:
                     code, again = "ANALYZER_TIMEOUT", True
+                except InterruptedError:
+                    raise
                 except OSError:
                     code, again = "ANALYZER_UNAVAILABLE", True
                 if not again or attempt > config.retries:
@@ -276,13 +285,14 @@ def remote_analyzer(config: RemoteConfig, language: str = "en", send=None, sleep
     return make
 
 
-def _urllib_send(url: str, body: bytes, headers: Mapping[str, str], timeout: float) -> tuple[int, bytes]:
+def _urllib_send(url: str, body: bytes, headers: Mapping[str, str], timeout: float, most: int = 8 << 20) -> tuple[int, bytes]:
+    """Reads one byte more than ``most``, so that the caller can tell a body that is too long."""
     from urllib.error import HTTPError
     from urllib.request import Request, urlopen
 
     try:
         with urlopen(Request(url, body, dict(headers), method="POST"), timeout=timeout) as answer:
-            return answer.status, answer.read((8 << 20) + 1)
+            return answer.status, answer.read(most + 1)
     except HTTPError as e:
         return e.code, b""
 

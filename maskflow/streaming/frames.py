@@ -112,7 +112,10 @@ def pass_valid_calls(stream: DataFrame, registered: Sequence[str], name: str = "
 # --- live streams ----------------------------------------------------------------------------------------------
 
 WHOLE = "response_id string, choice long, channel string, text string, failure_code string"
-_FRAME = "frame_seq long, position int, choice_index long, channel string, text string, last boolean"
+_FRAME = "frame_seq long, position int, choice_index long, channel string, text string, last boolean, media long"
+_FIELDS = ["frame_seq", "position", "choice_index", "channel", "text", "last", "media"]
+#: How long a finished response is remembered, in times of its idle limit: later frames of it are refused.
+REMEMBER = 60
 
 
 def join_frames(frames: list[tuple]) -> list[tuple[int, str, str | None, str | None]]:
@@ -138,7 +141,8 @@ def join_frames(frames: list[tuple]) -> list[tuple[int, str, str | None, str | N
 class ResponseBuffer(StatefulProcessor):
     """Keeps the frames of a response until its last one, then gives the whole text and forgets it.
 
-    Over a limit, or silent too long, it gives a failure instead and forgets as well; frames after that are refused."""
+    Over a limit, or silent too long, it gives a failure instead and forgets as well. Frames after that are refused with
+    a row that says so, until the mark of the finished response expires (REMEMBER idle times later, with timers)."""
 
     def __init__(self, limits: InspectionLimits | None = None, timers: bool = True):
         self.limits, self.timers = limits or InspectionLimits(), timers
@@ -146,27 +150,30 @@ class ResponseBuffer(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.frames = handle.getListState("frames", _FRAME)
-        self.closed = handle.getValueState("closed", "code string")
+        life = {"ttlDurationMs": int(REMEMBER * self.limits.idle_seconds * 1000)} if self.timers else {}
+        self.closed = handle.getValueState("closed", "code string", **life)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = [f for part in rows for f in part.reindex(columns=_FIELDS).itertuples(index=False, name=None)]
+        new = [tuple(None if v is None or v != v else v for v in f) for f in new]
         if self.closed.exists():
-            for _ in rows:
-                pass
+            yield self._out(key, [(-1, "", None, "TRANSFORMATION_CONFLICT")])
             return
-        new = [f for part in rows for f in part[["frame_seq", "position", "choice_index", "channel", "text", "last"]].itertuples(index=False, name=None)]
-        new = [tuple(None if v is None or v != v else v for v in f) for f in new]
         held = [*self.frames.get(), *new] if self.frames.exists() else new
-        code = None
-        if len({f[0] for f in held}) > self.limits.max_frames or sum(len(f[4] or "") for f in held) > self.limits.max_characters:
-            code = "RESPONSE_INSPECTION_LIMIT_EXCEEDED"
+        code = "RESPONSE_INSPECTION_LIMIT_EXCEEDED" if self.over(held) else None
         if code is None and not any(f[5] for f in held):
-            self.frames.put([(int(f[0]), int(f[1]), None if f[2] is None else int(f[2]), f[3], f[4], bool(f[5])) for f in held])
+            self.frames.appendList([(int(f[0]), int(f[1]), None if f[2] is None else int(f[2]), f[3], f[4], bool(f[5]), int(f[6] or 0)) for f in new])
             self._rearm(timerValues)
             return
         self.frames.clear()
         self.closed.update((code or "",))
         yield self._out(key, [(-1, "", None, code)] if code else join_frames(held))
 
+    def over(self, held: list[tuple]) -> bool:
+        """Whether frames, characters or media bytes pass a limit; what is held never grows beyond these."""
+        most = self.limits
+        return len({f[0] for f in held}) > most.max_frames or sum(len(f[4] or "") for f in held) > most.max_characters or sum(int(f[6] or 0) for f in held) > most.max_media_bytes
+
     def _rearm(self, timer) -> None:
         if not self.timers:
             return
@@ -188,5 +195,6 @@ class ResponseBuffer(StatefulProcessor):
 
 
 def buffer_responses(stream: DataFrame, limits: InspectionLimits | None = None, timers: bool = True) -> DataFrame:
-    """Whole responses of a live stream of frames (response_id, and the columns of a frame with ``last``)."""
+    """Whole responses of a live stream of frames (response_id, and the columns of a frame with ``last``; ``media``, the bytes
+    of its media, may be missing)."""
     return stream.groupBy("response_id").transformWithStateInPandas(statefulProcessor=ResponseBuffer(limits, timers), outputStructType=WHOLE, outputMode="Append", timeMode="ProcessingTime" if timers else "None")

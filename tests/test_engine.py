@@ -430,3 +430,172 @@ def test_own_folder_where_the_cluster_names_none():
     assert shared_dir(bare) == shared_dir(bare) and shared_dir(bare).startswith("file://") and work_path(bare, "t") != work_path(bare, "t")
     named = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: "s3://x"))
     assert work_path(named, "t").startswith("s3://x/t-")
+
+
+# --- rows without a key, or with a shared one ------------------------------------------------------------------
+
+
+def leaky(spark):
+    rows = [(None, "s", "leak me Alice"), (7, "s", "Alice and Bob"), (7, "s", "Bob at the front, then Alice"), (7, "s", "clean"), (None, None, "Alice without session"), (None, "s", "leak me Alice"), (8, "s", None), (None, "s", "clean")]
+    return spark.createDataFrame(rows, "doc_id long, session string, text string").repartition(3)
+
+
+def test_null_and_repeated_keys_are_protected(spark):
+    df = leaky(spark)
+    rows, vault = rewrite.analyze_and_tokenize(df, [PEOPLE], "session", "doc_id", ["doc_id"], nonce=F.md5)
+    got = sorted((r.text or "", r.tokenized or "") for r in rows.collect())
+    assert len(got) == 8 and not any(name in t for _, t in got for name in ("Alice", "Bob"))
+    by = {}
+    for text, token in got:
+        by.setdefault(text, set()).add(token)
+    assert by["clean"] == {"clean"} and by["Alice without session"] == {""} and by[""] == {""}
+    assert all(t.count("[[PII_PERSON_") == 1 and t.startswith("leak me ") for t in by["leak me Alice"]) and len(by["leak me Alice"]) == 1
+    assert {t.count("[[PII_") for t in by["Alice and Bob"] | by["Bob at the front, then Alice"]} == {2}
+    back = rewrite.detokenize(rows, vault, "session", "doc_id", "tokenized")
+    assert sorted(r.restored for r in back.where("tokenized is not null").collect()) == sorted(t for t, k in got if k)
+    wide = rows.where("tokenized is not null").select("doc_id", "session", F.col("tokenized").alias("text"), F.array(F.struct(F.lit(0).alias("start"), F.length("tokenized").alias("end"), F.lit("PERSON").alias("entity_type"))).alias("spans"))
+    left = rewrite.exclude_known_tokens(wide, vault, "session", "doc_id")
+    assert left.count() == 6
+    for r in left.collect():
+        assert "[[PII_" not in "".join(r.text[x.start : x.end] for x in r.spans)
+
+
+def test_null_and_repeated_keys_in_json(spark):
+    df = leaky(spark).withColumn("text", F.when(F.col("text").isNotNull(), F.concat(F.lit('{"a": "'), "text", F.lit('", "b": [1, true]}'))))
+    for action, settings in (("REDACT", {}), ("TOKENIZE", {"session": "session", "order": ["doc_id"]})):
+        done, vault = jsonval.protect_json(df, "doc_id", [PEOPLE], action, **settings)
+        rows = done.collect()
+        assert len(rows) == 8 and not any(n in (r.payload or "") for r in rows for n in ("Alice", "Bob"))
+        assert sum("clean" in (r.payload or "") for r in rows) == 2
+        lost = [r.failure_code for r in rows if r.text and r.payload is None]
+        assert lost == ([] if action == "REDACT" else ["CONTEXT_REQUIRED"])
+    back = jsonval.restore_json(done.drop("mode", "failure_code"), vault, "doc_id", "session", "payload")
+    assert all(r.restored == r.text for r in back.where("payload is not null").collect())
+    hits = jsonval.protect_json(df, "doc_id", [PEOPLE], "CONTAINS_PII")[0]
+    assert sorted((r.text is not None and ("Alice" in r.text or "Bob" in r.text), r.payload) for r in hits.collect()) == [(False, False)] * 3 + [(True, True)] * 5
+    plan = jsonval.protect_json(df.select("doc_id", "session", "text").coalesce(1), "doc_id", [PEOPLE])[0].select("payload")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_messages_without_key_or_with_a_shared_one(spark):
+    df = leaky(spark).withColumn("role", F.lit("user"))
+    done, _ = policy.transform_messages(df, "doc_id", "session", ["doc_id"], [PEOPLE])
+    rows = done.collect()
+    assert len(rows) == 8 and not any(n in (r.protected or "") for r in rows for n in ("Alice", "Bob"))
+
+
+def test_rows_of_one_id_with_other_spans_lose_their_text(spark):
+    span = "array<struct<start:int,end:int,entity_type:string>>"
+    df = spark.createDataFrame([(1, "s", "Alice Bob", [(0, 5, "PERSON")]), (1, "s", "Alice Bob", [(6, 9, "PERSON")]), (2, "s", "Alice Bob", [(0, 9, "PERSON")])], f"doc_id long, session string, text string, spans {span}")
+    found = rewrite.found_spans(df, "session", "doc_id", ["doc_id"])
+    vault = rewrite.build_vault(rewrite.found_values(found))
+    assert sorted((r.doc_id, r.tokenized is None) for r in rewrite.tokenize_found(df, found, vault, "doc_id", "session").collect()) == [(1, True), (1, True), (2, False)]
+
+
+def test_nonces_are_random_and_stay(spark):
+    df = sessions(spark, ("s", "Alice and Bob"))
+    tokens = [rewrite.analyze_and_tokenize(df, [PEOPLE], "session", "doc_id", ["doc_id"])[0].first().tokenized for _ in range(2)]
+    assert tokens[0] != tokens[1]
+    same = [rewrite.analyze_and_tokenize(df, [PEOPLE], "session", "doc_id", ["doc_id"], secret="k")[0].first().tokenized for _ in range(2)]
+    assert same[0] == same[1]
+    rows, vault = rewrite.analyze_and_tokenize(df, [PEOPLE], "session", "doc_id", ["doc_id"])
+    assert rows.first().tokenized == rows.first().tokenized
+    again = sessions(spark, ("s", "Alice, Bob and Carol"))
+    grown = rewrite.analyze_and_tokenize(again, [RegexDetector([RegexRule("PERSON", "Alice|Bob|Carol")])], "session", "doc_id", ["doc_id"], vault=vault)[1]
+    nonces = {r.token.rsplit("_", 2)[1] for r in grown.collect()}
+    assert len(nonces) == 1 and grown.count() == 3
+
+
+# --- very many spans -------------------------------------------------------------------------------------------
+
+
+def test_many_spans_take_linear_time(spark):
+    import time
+
+    words = 100_000
+    text = "".join(f"x{k % 7} 6{k % 10}, é😀 " for k in range(words))
+    df = spark.createDataFrame([(1, text), (2, text[: len(text) // 12])], "doc_id long, text string")
+    number = RegexDetector([RegexRule("NATIONAL_ID", "6[0-9]")])
+    began = time.perf_counter()
+    short = rewrite.redact(resolve.analyze(df.where("doc_id = 2"), [number])).first()
+    took = time.perf_counter() - began
+    assert short.redacted == re.sub("6[0-9]", "[REDACTED_NATIONAL_ID]", short.text) and len(short.spans) > 8_000 and took < 30
+    long = rewrite.redact(resolve.analyze(df.where("doc_id = 1"), [number])).first()
+    assert long.failure is None and long.redacted == re.sub("6[0-9]", "[REDACTED_NATIONAL_ID]", text)
+    rows, vault = rewrite.analyze_and_tokenize(df.where("doc_id = 2").withColumn("session", F.lit("s")), [number], "session", "doc_id", ["doc_id"])
+    assert rewrite.detokenize(rows, vault, "session", "doc_id", "tokenized").first().restored == short.text
+
+
+def test_scans_equal_plain_sums(spark):
+    from maskflow.functions.text import scan_before
+
+    rows = [[], [5], list(range(300)), [1] * 128, [2] * 129, [3] * 1000]
+    df = spark.createDataFrame([(r,) for r in rows], "xs array<int>")
+    got = df.select("xs", scan_before(F.col("xs"), 0, lambda a, b: a + b).alias("sums"), scan_before(F.col("xs"), -1, F.greatest).alias("tops")).collect()
+    for r in got:
+        assert r.sums == [sum(r.xs[:k]) for k in range(len(r.xs))] and r.tops == [max([-1, *r.xs[:k]]) for k in range(len(r.xs))]
+
+
+# --- the rest --------------------------------------------------------------------------------------------------
+
+
+def test_dialects_that_disagree_fail_closed(spark):
+    rules = [RegexDetector([RegexRule("A", r"(\h)x", 0.8, 1)]), RegexDetector([RegexRule("A", r"(\p{Lu})x", 0.8, 1)])]
+    for rule in rules:  # Java knows both patterns, Python neither
+        rows = resolve.analyze(texts(spark, "Q x Zx", "nothing"), [rule]).orderBy("doc_id").collect()
+        assert rows[0].spans is None and rows[0].failure.code == "ANALYZER_CONTRACT_VIOLATION" and rows[1].spans == []
+
+
+def test_response_limit_is_the_configured_one():
+    import http.server
+    import threading
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = b"[" + b" " * 9_000_000 + b"]"
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *a):
+            pass
+
+    try:
+        server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    except OSError as e:
+        pytest.skip(str(e))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    try:
+        assert remote_analyzer(RemoteConfig(url, max_response_bytes=10_000_000, timeout_s=20))()("x") == []
+        with pytest.raises(AnalyzerFailed, match="RESPONSE_INVALID"):
+            remote_analyzer(RemoteConfig(url, max_response_bytes=1_000, timeout_s=20, retries=0))()("x")
+    finally:
+        server.shutdown()
+
+
+def test_work_tables_need_a_shared_folder_and_can_be_released(spark, tmp_path):
+    import os
+    from types import SimpleNamespace
+
+    from maskflow.functions import storage
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: {"spark.master": "spark://far:7077"}.get(k, d)))
+    with pytest.raises(RuntimeError, match="checkpoint.dir"):
+        storage.shared_dir(far)
+    held = storage._WRITTEN[:]
+    del storage._WRITTEN[:]
+    try:
+        storage.materialize(spark.range(3), "released")
+        path = storage._WRITTEN[-1].removeprefix("file://")
+        assert os.path.isdir(path) and storage.release(spark) == 1 and not os.path.isdir(path)
+    finally:
+        storage._WRITTEN[:] = held
+
+
+def test_buffer_limits():
+    buffer = fr.ResponseBuffer(InspectionLimits(max_frames=2, max_characters=5, max_media_bytes=9), timers=False)
+    frame = lambda k, text="", media=None: (k, 0, None, "DEFAULT", text, False, media)
+    assert not buffer.over([frame(0, "ab"), frame(1, "cde"), frame(1)]) and buffer.over([frame(0, "ab"), frame(1, "cdef")])
+    assert buffer.over([frame(k) for k in range(3)]) and buffer.over([frame(0, media=4), frame(1, media=6)]) and not buffer.over([frame(0, media=9)])
