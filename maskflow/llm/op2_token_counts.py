@@ -46,8 +46,9 @@ class LongestMatch:
                 node = nxt
             is_piece[node] = True
         n = len(children)
-        self.step, self.pops = np.zeros((n, 256), np.int32), np.zeros((n, 256), np.uint8)
-        link, popped = np.zeros(n, np.int32), np.zeros(n, np.uint8)  # popped: pieces in a node's string before its link
+        kind = np.min_scalar_type(max(depth))  # a node's string is cut into at most as many pieces as it has bytes
+        self.step, self.pops = np.zeros((n, 256), np.int32), np.zeros((n, 256), kind)
+        link, popped = np.zeros(n, np.int32), np.zeros(n, kind)  # popped: pieces in a node's string before its link
         order = sorted(range(n), key=depth.__getitem__)
         for node in order:
             for b, child in children[node].items():

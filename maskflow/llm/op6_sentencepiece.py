@@ -163,7 +163,6 @@ class Codec:
         n = self.library.get_piece_size()
         self.sizes = np.array([1 if self.library.is_byte(k) else len(self.library.id_to_piece(k).encode()) for k in range(n)], np.int64)
         self.unknown = self.library.unk_id()
-        self.by_byte = any(self.library.is_byte(k) for k in range(n))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.library.encode(texts, num_threads=1)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from test_join import brute
 
 import corpus_pipeline as cp
-from maskflow.llm import op7_toxicity, op10_language
+from maskflow.llm import op7_toxicity, op8_mixing, op10_language
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,7 +41,35 @@ def test_language_stage(spark, docs):
 
 def test_near_copies_stage(spark, docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    assert sorted(r.doc_id for r in cp.near_copies(spark, docs, SF).collect()) == sorted(i for i, _, c in brute(rows, cp.COPY_PERCENT) if i == c)
+    assert sorted(r.doc_id for r in cp.near_copies(spark, docs, SF).collect()) == sorted(i for i, _, c in brute(rows, 80, 5) if i == c)
+
+
+def test_toxicity_stage_keeps_texts_without_a_word(spark, docs):
+    odd = docs.limit(4).withColumn("text", F.when(F.col("doc_id") % 2 == 0, "12 34 !!").when(F.col("doc_id") % 3 == 0, "")).withColumn("doc_id", F.col("doc_id") + 10**6)
+    assert cp.toxicity(spark, docs.union(odd), SF).where("doc_id >= 1000000").count() == 4
+
+
+def test_mixing_stage(spark, docs):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.register("docs", docs.toArrow())
+    domain = "'d' || (nullif(regexp_extract(doc_source, '[0-9]+'), '')::INT % 4)"
+    want = con.execute(f"WITH {op8_mixing.mixing_sql(cp.MIX, 'docs', domain)} SELECT doc_id, epoch FROM taken").fetchall()
+    got = cp.mixing(spark, docs, SF)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(i for i, _ in want) and 0 < len(want) < docs.count()
+
+
+def test_encoding_stage(spark, docs):
+    import hashlib
+
+    import public_tokenizers
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    for r in cp.encoding(spark, docs, SF).join(docs, "doc_id").collect():
+        ids = library.encode(r.text or "")
+        digests = [hashlib.sha256(x.encode()).hexdigest() for x in (",".join(map(str, ids)), library.decode(ids))]
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), *digests)
 
 
 def test_near_copies_are_those_of_five_words_and_80_percent(spark):

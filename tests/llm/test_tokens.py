@@ -112,6 +112,15 @@ def test_automaton_equals_greedy_matching():
         assert a.count(data, ends - [len(w) for w in words], ends).tolist() == [greedy(w, set(vocabulary)) for w in words]
 
 
+def test_long_pieces_are_counted():
+    have = [b"a" * 400, b"ab"]
+    automaton = op2.LongestMatch(have)
+    for text in (b"a" * 399, b"a" * 400, b"a" * 399 + b"b", b"a" * 801):
+        data = np.frombuffer(text, np.uint8)
+        pieces = set(have) | {bytes([b]) for b in range(256)}
+        assert automaton.count(data, np.array([0]), np.array([len(text)])).tolist() == [greedy(text, pieces)]
+
+
 def test_counts_and_cases(spark):
     docs = documents(spark)
     have = set(op2.byte_pieces(RANKS))
