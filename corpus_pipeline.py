@@ -18,12 +18,10 @@ from maskflow.llm.sampling import fold
 MIX = op8_mixing.Mix(percent=80, epochs=1)
 #: Two documents are near copies when they share 80 % of their five-word shingles.
 COPY_RULE = {"n": 5, "percent": 80}
-#: What COPY_RULE comes to in three-word shingles where texts differ in scattered single words only; the stage doesn't use it.
-COPY_PERCENT = 87
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the labelled neighbours call toxic go."""
+    """Documents that the labelled neighbours call toxic go; those without a word have no neighbours and stay."""
     labels = read_table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
     scored = op7_toxicity.score(docs, op7_toxicity.fit(docs, labels), keep=True, prefix="_toxicity_")
     return scored.where("_toxicity_predicted = 0").select(docs.columns)
@@ -36,7 +34,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by n-gram overlap, directly or through others, the one with the smallest id stays."""
+    """Of documents linked by n-gram overlap, directly or through others, the one with the smallest id stays; documents
+    without words are copies of nothing, and of those equal in doc_id and text one stays."""
     return op3_ngram_jaccard.one_of_each(docs, op3_ngram_jaccard.ngram_jaccard(docs, **COPY_RULE))
 
 
