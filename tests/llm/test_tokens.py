@@ -113,12 +113,10 @@ def test_automaton_equals_greedy_matching():
 
 
 def test_long_pieces_are_counted():
-    have = [b"a" * 400, b"ab"]
-    automaton = op2.LongestMatch(have)
-    for text in (b"a" * 399, b"a" * 400, b"a" * 399 + b"b", b"a" * 801):
+    automaton = op2.LongestMatch([b"a" * 400, b"ab"])
+    for text, n in ((b"a" * 399, 399), (b"a" * 400, 1), (b"a" * 399 + b"b", 399), (b"a" * 801, 3)):
         data = np.frombuffer(text, np.uint8)
-        pieces = set(have) | {bytes([b]) for b in range(256)}
-        assert automaton.count(data, np.array([0]), np.array([len(text)])).tolist() == [greedy(text, pieces)]
+        assert automaton.count(data, np.array([0]), np.array([len(text)])).tolist() == [n]
 
 
 def test_counts_and_cases(spark):
