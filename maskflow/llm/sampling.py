@@ -44,6 +44,9 @@ def bounded(rows: DataFrame, order: str, most: int, text: str | None = None, mos
     narrow rows are put in order, a top-``most`` of each task at a time."""
     held = materialize(rows.dropDuplicates(), "sample")
     size = F.coalesce(F.octet_length(text), F.lit(0)) if text else F.lit(0)
+    n, total = held.agg(F.count("*"), F.sum(size.cast("long"))).first()
+    if n <= most and (total or 0) <= most_bytes:
+        return held
     first = held.select(order, size.cast("long").alias("_size")).orderBy(order).limit(most)
     upto = F.sum("_size").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))  # at most ``most`` rows
     last = first.withColumn("_upto", upto).where(F.col("_upto") <= most_bytes).agg(F.max(order), F.count("*")).first()
