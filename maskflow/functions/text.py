@@ -45,24 +45,32 @@ _FOLD = 128
 MANY = 64
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is evaluated once."""
-    return F.transform(F.array(value), body)[0]
+def let(value: Column, body: Callable[[Column], Column] | str) -> Column:
+    """``body`` of a value that is evaluated once: a function, or (cheaper to build) the text of a SQL lambda."""
+    inner = F.expr(body) if isinstance(body, str) else None
+    return (F.transform(F.array(value), body) if inner is None else F.call_function("transform", F.array(value), inner))[0]
 
 
-def scan_before(values: Column, zero: int, op: Callable[[Column, Column], Column]) -> Column:
-    """For each element of an array of integers, ``op`` over those before it, in n * _FOLD steps and not n * n."""
+def scan_sql(values: str, zero: int, op: str) -> str:
+    """SQL: for each element of an array of integers, ``op`` (of {a} and {b}) over those before it, in n * _FOLD steps and
+    not n * n."""
 
-    def fold(xs: Column, begin: Column) -> Column:
-        start = F.struct(begin.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
-        step = lambda acc, x: F.struct(op(acc["at"], x).cast("int").alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
-        return F.aggregate(xs, start, step, lambda acc: acc["out"])
+    def fold(xs: str, begin: str) -> str:
+        step = op.format(a="acc.at", b="v")
+        return f"aggregate({xs}, named_struct('at', {begin}, 'out', cast(array() as array<int>)), (acc, v) -> named_struct('at', {step}, 'out', concat(acc.out, array(acc.at))), acc -> acc.out)"
 
-    def parts(xs: Column) -> Column:
-        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / _FOLD).cast("int")), lambda c: F.slice(xs, c * _FOLD + 1, F.lit(_FOLD)))
-        return let(cut, lambda pieces: F.flatten(F.zip_with(pieces, fold(F.transform(pieces, lambda p: F.aggregate(p, F.lit(zero), lambda a, x: op(a, x).cast("int"))), F.lit(zero)), fold)))
+    pieces = f"transform(sequence(0, cast(greatest(size(xs) - 1, 0) div {_FOLD} as int)), c -> slice(xs, c * {_FOLD} + 1, {_FOLD}))"
+    sums = f"transform(ps, p -> aggregate(p, {zero}, (t, v) -> {op.format(a='t', b='v')}))"
+    return f"transform(array({values}), xs -> transform(array({pieces}), ps -> flatten(zip_with(ps, {fold(sums, str(zero))}, (p, b) -> {fold('p', 'b')})))[0])[0]"
 
-    return let(values, lambda xs: F.when(F.size(xs) == 0, F.array().cast("array<int>")).when(F.size(xs) <= _FOLD, fold(xs, F.lit(zero))).otherwise(parts(xs)))
+
+def scan_before(values: Column, zero: int, op: str) -> Column:
+    """The same as a column; ``op`` is SQL of {a} and {b}."""
+    return let(values, "given -> " + scan_sql("given", zero, op))
+
+
+_SPANS = f"""m -> transform(array(zip_with(slice(m.between, 1, size(m.found)), m.found, (g, f) -> named_struct('gap', length(g), 'value', f))), both ->
+  zip_with(both, {scan_sql("transform(both, x -> x.gap + length(x.value))", 0, "{a} + {b}")}, (x, at) -> named_struct('start', at + x.gap, 'end', at + x.gap + length(x.value), 'value', x.value)))[0]"""
 
 
 def match_spans(text: Column, pattern: str) -> Column:
@@ -71,50 +79,28 @@ def match_spans(text: Column, pattern: str) -> Column:
     The pieces between matches and the matches take turns, so sums of their lengths give every offset.
     """
     found = F.struct(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
-
-    def spans(p: Column) -> Column:
-        both = F.arrays_zip(F.slice(p["between"], 1, F.size(p["found"])).alias("before"), p["found"].alias("value"))
-        upto = scan_before(F.transform(both, lambda x: F.length(x["before"]) + F.length(x["value"])), 0, lambda a, b: a + b)
-
-        def one(x: Column, at: Column) -> Column:
-            begin = at + F.length(x["before"])
-            return F.struct(begin.alias("start"), (begin + F.length(x["value"])).alias("end"), x["value"].alias("value"))
-
-        return F.zip_with(both, upto, one)
-
     # most texts have no match: one cheap search spares them the split
-    return F.when(text.rlike(pattern), let(found, spans)).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+    return F.when(text.rlike(pattern), let(found, _SPANS)).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
 
 
-def _characters(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+_CHARACTERS = "regexp_extract_all(r.text, '(?s).', 0)"
+_CUT = f"""r -> case when size(r.spans) > {MANY} then transform(array({_CHARACTERS}), ch -> transform(r.spans, x -> array_join(slice(ch, x.start + 1, x.`end` - x.start), '')))[0]
+  else transform(r.spans, x -> substring(r.text, x.start + 1, x.`end` - x.start)) end"""
+_BEFORE, _LAST = "case when i = 0 then 0 else r.spans[i - 1].`end` end", "element_at(r.spans, -1).`end`"
+_REPLACE = f"""r -> case when size(r.spans) = 0 then r.text
+  when size(r.spans) > {MANY} then transform(array({_CHARACTERS}), ch -> concat(
+    array_join(transform(r.spans, (x, i) -> concat(array_join(slice(ch, {_BEFORE} + 1, x.start - {_BEFORE}), ''), x.put)), ''), array_join(slice(ch, {_LAST} + 1, greatest(size(ch) - {_LAST}, 0)), '')))[0]
+  else concat(array_join(transform(r.spans, (x, i) -> concat(substring(r.text, {_BEFORE} + 1, x.start - {_BEFORE}), x.put)), ''), substring(r.text, {_LAST} + 1, length(r.text))) end"""
 
 
 def cut_spans(text: Column, spans: Column) -> Column:
     """The text of each span."""
-    whole = let(_characters(text), lambda chars: F.transform(spans, lambda x: F.array_join(F.slice(chars, x["start"] + 1, x["end"] - x["start"]), "")))
-    return F.when(F.size(spans) > MANY, whole).otherwise(F.transform(spans, lambda x: slice_text(text, x["start"], x["end"])))
+    return let(F.struct(text.alias("text"), spans.alias("spans")), _CUT)
 
 
-def replace_spans(text: Column, spans: Column, put: Column | None = None) -> Column:
+def replace_spans(text: Column, spans: Column) -> Column:
     """``text`` with each span (ordered, disjoint) replaced by its field ``put``."""
-
-    def before(xs: Column, i: Column) -> Column:
-        return F.when(i == 0, F.lit(0)).otherwise(F.element_at(xs, F.when(i == 0, F.lit(1)).otherwise(i))["end"])
-
-    def few(xs: Column) -> Column:
-        pieces = F.transform(xs, lambda x, i: F.concat(slice_text(text, before(xs, i), x["start"]), x["put"]))
-        return F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at(xs, -1)["end"] + 1, F.length(text)))
-
-    def many(xs: Column) -> Column:
-        def joined(chars: Column) -> Column:
-            pieces = F.transform(xs, lambda x, i: F.concat(F.array_join(F.slice(chars, before(xs, i) + 1, x["start"] - before(xs, i)), ""), x["put"]))
-            last = F.element_at(xs, -1)["end"]
-            return F.concat(F.array_join(pieces, ""), F.array_join(F.slice(chars, last + 1, F.greatest(F.size(chars) - last, F.lit(0))), ""))
-
-        return let(_characters(text), joined)
-
-    return let(spans, lambda xs: F.when(F.size(xs) == 0, text).when(F.size(xs) > MANY, many(xs)).otherwise(few(xs)))
+    return let(F.struct(text.alias("text"), spans.alias("spans")), _REPLACE)
 
 
 def subtract_ranges(spans: Column, ranges: Column) -> Column:

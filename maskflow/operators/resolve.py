@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import EVIDENCE, is_blank, let, once, scan_before
+from ..functions.text import EVIDENCE, is_blank, let, literal, once, scan_sql
 from ..plans.model import DEFAULT_TYPES, FALLBACK_TYPE, MAX_SPANS, TYPE_GRAMMAR, Options, Policy, Registry
 from ..sources.detect import FAILURE, NO_EVIDENCE, Detector, failure_of
 
@@ -32,11 +32,14 @@ def canonical_type(label: Column, registry: Registry, own: Mapping[str, Sequence
     return F.when(good & trusted, at).when(good, F.lit(FALLBACK_TYPE))
 
 
+_BROKEN = rf"""r -> exists(r.es, x -> x is null or coalesce(x.start < 0 or x.`end` <= x.start or x.`end` > r.n or not x.score >= 0 or not x.score <= 1 or isnan(x.score)
+  or not x.entity_type rlike {literal(rf"\A{TYPE_GRAMMAR}\z")} or length(x.entity_type) > 128, true))"""
+
+
 def broken_range(text: Column, evidence: Column) -> Column:
     """Whether a span is null or reaches outside the text, or its label or score is malformed."""
-    bad = lambda x, n: x.isNull() | F.coalesce((x["start"] < 0) | (x["end"] <= x["start"]) | (x["end"] > n) | ~(x["score"] >= 0) | ~(x["score"] <= 1) | F.isnan(x["score"]) | ~x["entity_type"].rlike(rf"\A{TYPE_GRAMMAR}\z") | (F.length(x["entity_type"]) > 128), F.lit(True))
     # most rows have no evidence; of the others the text is measured once, not once a span
-    return evidence.isNull() | ((F.size(evidence) > 0) & let(F.length(text), lambda n: F.exists(evidence, lambda x: bad(x, n))))
+    return evidence.isNull() | ((F.size(evidence) > 0) & let(F.struct(F.length(text).alias("n"), evidence.alias("es")), _BROKEN))
 
 
 def accept(evidence: Column, options: Options, policy: Policy, registry: Registry, own: Mapping[str, Sequence[str]] | None = None) -> Column:
@@ -60,39 +63,26 @@ def select_providers(evidence: Column, succeeded: Column, policy: Policy) -> Col
     return F.filter(evidence, lambda x: used(x["provider"]))
 
 
+def _clusters(fallback: str) -> str:
+    """SQL lambda from ordered evidence to resolved spans. A cluster begins where a span starts at or after the end of all
+    before it."""
+    first = f"zip_with(transform(es, e -> e.start), {scan_sql('transform(es, e -> e.`end`)', -1, 'greatest({a}, {b})')}, (s, m) -> s >= m)"
+    found = "slice(es, f + 1, coalesce(try_element_at(firsts, k + 2), size(es)) - f)"
+    cluster = "named_struct('start', found[0].start, 'end', array_max(transform(found, e -> e.`end`)), 'kinds', array_distinct(transform(found, e -> e.entity_type)))"
+    whole = "named_struct('n', size(exact), 'kinds', array_distinct(transform(exact, e -> e.entity_type)))"
+    decided = f"""named_struct(
+      'entity_type', case when size(x.kinds) = 1 then x.kinds[0] when size(c.kinds) = 1 then c.kinds[0] else {literal(fallback)} end, 'start', c.start, 'end', c.`end`,
+      'reason', case when size(found) = 1 then 'SINGLE_EVIDENCE' when x.n = size(found) and size(c.kinds) = 1 then 'EXACT_MATCH' when x.n = size(found) then 'TYPE_CONFLICT'
+        when size(x.kinds) = 1 then 'COVERING_EVIDENCE' when size(c.kinds) > 1 then 'TYPE_CONFLICT' else 'OVERLAP_UNION' end, 'evidence', found)"""
+    exact = "filter(found, e -> e.start = c.start and e.`end` = c.`end`)"
+    one = f"transform(array({found}), found -> transform(array({cluster}), c -> transform(array({exact}), exact -> transform(array({whole}), x -> {decided})[0])[0])[0])[0]"
+    return f"es -> transform(array(filter(transform({first}, (o, i) -> case when o then i end), i -> i is not null)), firsts -> transform(firsts, (f, k) -> {one}))[0]"
+
+
 def resolve(evidence: Column, fallback: str = FALLBACK_TYPE) -> Column:
     """Disjoint spans, in order. A span joins the cluster that it overlaps; touching ones stay apart."""
-    order = F.array_sort(F.transform(evidence, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["provider"].alias("provider"), x["entity_type"].alias("entity_type"), x["score"].alias("score"))))
-
-    def clusters(xs: Column) -> Column:
-        """A cluster begins where a span starts at or after the end of all before it."""
-        ends = scan_before(F.transform(xs, lambda x: x["end"]), -1, F.greatest)
-        opens = F.zip_with(F.transform(xs, lambda x: x["start"]), ends, lambda start, end: start >= end)
-        firsts = F.filter(F.transform(opens, lambda o, i: F.when(o, i)), lambda i: i.isNotNull())
-
-        def one(f: Column, k: Column, all_: Column) -> Column:
-            upto = F.coalesce(F.try_element_at(all_, k + 2), F.size(xs))
-            return let(F.slice(xs, f + 1, upto - f), lambda found: decide(F.struct(found[0]["start"].alias("start"), F.array_max(F.transform(found, lambda x: x["end"])).alias("end"), found.alias("evidence"))))
-
-        return let(firsts, lambda all_: F.transform(all_, lambda f, k: one(f, k, all_)))
-
-    def decide(c: Column) -> Column:
-        found = c["evidence"]
-        exact = F.filter(found, lambda x: (x["start"] == c["start"]) & (x["end"] == c["end"]))
-        kinds = F.array_distinct(F.transform(found, lambda x: x["entity_type"]))
-        covering = F.array_distinct(F.transform(exact, lambda x: x["entity_type"]))
-        kind = F.when(F.size(covering) == 1, covering[0]).when(F.size(kinds) == 1, kinds[0]).otherwise(F.lit(fallback))
-        reason = (
-            F.when(F.size(found) == 1, "SINGLE_EVIDENCE")
-            .when((F.size(exact) == F.size(found)) & (F.size(kinds) == 1), "EXACT_MATCH")
-            .when(F.size(exact) == F.size(found), "TYPE_CONFLICT")
-            .when(F.size(covering) == 1, "COVERING_EVIDENCE")
-            .when(F.size(kinds) > 1, "TYPE_CONFLICT")
-            .otherwise("OVERLAP_UNION")
-        )
-        return F.struct(kind.alias("entity_type"), c["start"].alias("start"), c["end"].alias("end"), reason.alias("reason"), found.alias("evidence"))
-
-    return F.when(F.size(evidence) == 0, F.array().cast(f"array<{RESOLVED}>")).otherwise(let(order, clusters))
+    order = F.array_sort(let(evidence, "es -> transform(es, e -> named_struct('start', e.start, 'end', e.`end`, 'provider', e.provider, 'entity_type', e.entity_type, 'score', e.score))"))
+    return F.when(F.size(evidence) == 0, F.array().cast(f"array<{RESOLVED}>")).otherwise(let(order, _clusters(fallback)).cast(f"array<{RESOLVED}>"))
 
 
 def outcome(failures: Column, succeeded: Column, policy: Policy) -> Column:

@@ -531,7 +531,7 @@ def test_scans_equal_plain_sums(spark):
 
     rows = [[], [5], list(range(300)), [1] * 128, [2] * 129, [3] * 1000]
     df = spark.createDataFrame([(r,) for r in rows], "xs array<int>")
-    got = df.select("xs", scan_before(F.col("xs"), 0, lambda a, b: a + b).alias("sums"), scan_before(F.col("xs"), -1, F.greatest).alias("tops")).collect()
+    got = df.select("xs", scan_before(F.col("xs"), 0, "{a} + {b}").alias("sums"), scan_before(F.col("xs"), -1, "greatest({a}, {b})").alias("tops")).collect()
     for r in got:
         assert r.sums == [sum(r.xs[:k]) for k in range(len(r.xs))] and r.tops == [max([-1, *r.xs[:k]]) for k in range(len(r.xs))]
 
