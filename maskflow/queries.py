@@ -677,7 +677,7 @@ _TREE = """'{"a":{"t":"' || regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 .,]'
 _RED_NAMES = """regexp_replace(regexp_replace({x}, 'Ther[a-z]+', '[REDACTED_PERSON]', 'g'), '[A-Z]nt[a-z]+', '[REDACTED_LOCATION]', 'g')"""
 
 
-@query(f"""WITH t AS (SELECT conv_id, turn, {_TREE.replace(" GLOBAL", ", 'g'")} AS tree FROM conversations)
+@query(rf"""WITH t AS (SELECT conv_id, turn, {_TREE.replace(" GLOBAL", ", 'g'")} AS tree FROM conversations)
 SELECT conv_id, turn, replace(CASE WHEN turn BETWEEN 60 AND 69 THEN regexp_replace(red, '\[[0-9]+\]', '["[REDACTED_NATIONAL_ID]"]') ELSE red END, ' 64,', ' "[REDACTED_NATIONAL_ID]",') AS tree, true AS had FROM (SELECT *, {_RED_NAMES.format(x='tree')} AS red FROM t)""")
 def json_tree_protect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names, strings and numbers of a nested value, analysed in one go."""
