@@ -106,12 +106,13 @@ def evidence_gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id", F.col("e.entity_type").alias("entity_type")).agg(F.count("*").alias("n"))
 
 
-@query("WITH s AS (SELECT unnest(range(100, 600)) AS status) SELECT status::INTEGER AS status, CASE WHEN status IN (401, 403) THEN 'ANALYZER_AUTHENTICATION_FAILED' WHEN status = 408 THEN 'ANALYZER_TIMEOUT' WHEN status = 429 THEN 'ANALYZER_RATE_LIMITED' WHEN status >= 500 THEN 'ANALYZER_UNAVAILABLE' ELSE 'ANALYZER_EXECUTION_FAILED' END AS code, (status IN (408, 429) OR status >= 500) AS retryable FROM s")
+@query("WITH s AS (SELECT event_id % 500 + 100 AS status FROM events) SELECT status::INTEGER AS status, CASE WHEN status IN (401, 403) THEN 'ANALYZER_AUTHENTICATION_FAILED' WHEN status = 408 THEN 'ANALYZER_TIMEOUT' WHEN status = 429 THEN 'ANALYZER_RATE_LIMITED' WHEN status >= 500 THEN 'ANALYZER_UNAVAILABLE' ELSE 'ANALYZER_EXECUTION_FAILED' END AS code, (status IN (408, 429) OR status >= 500) AS retryable, count(*) AS n FROM s GROUP BY ALL")
 def http_status_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D9."""
-    status = spark.range(100, 600).select(F.col("id").cast("int").alias("status"))
+    """Each event's number stands for a status."""
+    status = table(spark, sf_dir, "events").select((F.col("event_id") % 500 + 100).cast("int").alias("status"))
     code, again = http_failure_column(F.col("status"))
-    return status.select("status", code.alias("code"), again.alias("retryable"))
+    return status.groupBy("status", code.alias("code"), again.alias("retryable")).agg(F.count("*").alias("n"))
+
 
 
 SUPPLIED = r"""SELECT doc_id, 'EXTERNAL' AS provider, entity_type, "start", "end", score FROM (
@@ -144,13 +145,25 @@ def canonicalize_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 LABELS = [("PER", "X"), ("STAFF_NAME", "X"), ("person", "X"), ("GEO", "X"), ("GEO", "Y"), ("BAD__TYPE", "X"), ("EMAIL_ADDRESS", "Y"), ("TICKET_1", "Y")]
 
 
-@query(f"""WITH {sql_values('v', 'label, provider', LABELS)}
-SELECT label, provider, CASE WHEN NOT regexp_full_match(label, '[A-Z0-9]+(_[A-Z0-9]+)*') THEN NULL WHEN label IN ('PER', 'STAFF_NAME') THEN 'PERSON' WHEN label = 'EMAIL_ADDRESS' OR (label = 'GEO' AND provider = 'X') THEN label ELSE 'PII' END AS entity_type FROM v""")
+def _picked(spark: SparkSession, sf_dir: str, rows: list[tuple], *columns: str) -> DataFrame:
+    """A row of ``rows`` for each event, by its number."""
+    given = F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip(columns, r, strict=True))) for r in rows))
+    return table(spark, sf_dir, "events").select(F.element_at(given, (F.col("event_id") % len(rows) + 1).cast("int")).alias("r")).select("r.*")
+
+
+def _picked_sql(columns: str, rows: list[tuple]) -> str:
+    numbered = [(k, *r) for k, r in enumerate(rows)]
+    return f"{sql_values('given', 'k, ' + columns, numbered)}, v AS (SELECT {columns} FROM events JOIN given ON event_id % {len(rows)} = k)"
+
+
+@query(f"""WITH {_picked_sql('label, provider', LABELS)}
+SELECT label, provider, CASE WHEN NOT regexp_full_match(label, '[A-Z0-9]+(_[A-Z0-9]+)*') THEN NULL WHEN label IN ('PER', 'STAFF_NAME') THEN 'PERSON' WHEN label = 'EMAIL_ADDRESS' OR (label = 'GEO' AND provider = 'X') THEN label ELSE 'PII' END AS entity_type, count(*) AS n FROM v GROUP BY ALL""")
 def canonicalize_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Malformed labels, chains of aliases, and types that one provider alone is trusted for."""
+    """Malformed labels, chains of aliases, and types that one provider alone is trusted for; a label for each event."""
     registry = Registry(aliases={"PER": "PERSON", "STAFF_NAME": "PER"})
-    rows = values(spark, LABELS, "label string, provider string")
-    return rows.withColumn("entity_type", resolve.canonical_type(F.col("label"), registry, {"X": ("GEO",)}, F.col("provider")))
+    rows = _picked(spark, sf_dir, LABELS, "label", "provider")
+    return rows.groupBy("label", "provider", resolve.canonical_type(F.col("label"), registry, {"X": ("GEO",)}, F.col("provider")).alias("entity_type")).agg(F.count("*").alias("n"))
+
 
 
 @query(f"""WITH {EV}, k AS (SELECT * FROM ev WHERE entity_type IN ('EMAIL_ADDRESS', 'CREDIT_CARD', 'PHONE_NUMBER') AND score >= 0.95) SELECT doc_id, entity_type, count(*) AS n FROM k GROUP BY ALL""")
@@ -317,15 +330,17 @@ def json_props_protect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("event_id", F.col("protected").alias("props"))
 
 
-JSON_CASES = [(1, '{"a": 1.10, "a": 2}', "TRANSFORMATION_CONFLICT"), (2, '{"a": 1.10, "b": 1e3}', None), (3, '{"x": {"k": 64, "k": 1}}', "TRANSFORMATION_CONFLICT"), (4, "no json 64", None)]
+_DOUBLED = "CASE event_id % 3 WHEN 0 THEN '{\"x\": {\"k\": ' || (event_id % 100) || ', \"k\": 2}}' WHEN 1 THEN '{\"a\": ' || (event_id % 100) || ', \"b\": 1e3, \"c\": 1.10}' ELSE 'no json ' || (event_id % 100) || ' here' END"
 
 
-@query(f"WITH {sql_values('v', 'id, payload, failure_code', JSON_CASES)} SELECT id, failure_code, CASE WHEN failure_code IS NULL THEN regexp_replace(payload, '64', '[REDACTED_NATIONAL_ID]') END AS protected FROM v")
+@query(f"""WITH v AS (SELECT event_id, {_DOUBLED} AS payload, event_id % 100 BETWEEN 60 AND 69 AS hit FROM events)
+SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'TRANSFORMATION_CONFLICT' END AS failure_code,
+CASE event_id % 3 WHEN 1 THEN CASE WHEN hit THEN regexp_replace(payload, '6[0-9]', '"[REDACTED_NATIONAL_ID]"') ELSE payload END WHEN 2 THEN regexp_replace(payload, '6[0-9]', '[REDACTED_NATIONAL_ID]') END AS protected FROM v""")
 def json_duplicate_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J5, J8, J11, J12."""
-    rows = values(spark, [(i, t) for i, t, _ in JSON_CASES], "id int, payload string")
-    done, _ = jsonval.protect_json(rows, "id", [RegexDetector(NUMBERS)], "REDACT", "payload", out="protected")
-    return done.select("id", "failure_code", "protected")
+    """A name that stands twice in an object, untouched lexemes, and what isn't JSON."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.expr(_DOUBLED).alias("payload"))
+    done, _ = jsonval.protect_json(rows, "event_id", [RegexDetector(NUMBERS)], "REDACT", "payload", out="protected")
+    return done.select("event_id", "failure_code", "protected")
 
 
 _NUMBERS = """n AS (SELECT event_id, user_id, props, nullif(regexp_extract(props, '6[0-9]'), '') IS NOT NULL AS hit, regexp_extract(props, '-?[0-9]+') AS value FROM events),
@@ -383,29 +398,29 @@ def toolcall_unregistered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.unregistered(table(spark, sf_dir, "events"), tools, "event_type").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-CALLS = [("r1", "c1", "message"), ("r1", "c1", "metadata"), ("r1", "c2", "message"), ("r2", "c1", "metadata"), ("r3", "c9", "message"), ("r3", "c9", "message")]
-
-
-@query(f"WITH {sql_values('v', 'response_id, id, source', CALLS)} SELECT response_id, id FROM v WHERE source = 'message' INTERSECT SELECT response_id, id FROM v WHERE source = 'metadata'")
+@query("SELECT conv_id AS response_id, turn AS id FROM conversations WHERE turn % 6 = 0 INTERSECT SELECT conv_id, turn FROM conversations")
 def toolcall_cross_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W10, P18."""
-    return fr.doubled_calls(values(spark, CALLS, "response_id string, id string, source string"))
+    """Calls that stand in a message and in its metadata."""
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("response_id"), F.col("turn").alias("id"))
+    told = rows.where("id % 2 = 0").withColumn("source", F.lit("message")).unionByName(rows.where("id % 3 = 0").withColumn("source", F.lit("metadata")))
+    return fr.doubled_calls(told)
 
 
-@query(f"WITH {sql_values('v', 'tool_name', [('a',), ('b',), ('a',), ('c',), ('b',), ('b',)])} SELECT tool_name, count(*) AS n FROM v GROUP BY tool_name HAVING count(*) > 1")
+@query("SELECT tool_name, count(*) AS n FROM (SELECT p_name AS tool_name FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_name FROM part WHERE p_partkey % 5 = 0) GROUP BY tool_name HAVING count(*) > 1")
 def toolcall_duplicate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P10, P15."""
-    return policy.duplicate_tools(values(spark, [("a",), ("b",), ("a",)], "tool_name string"), values(spark, [("c",), ("b",), ("b",)], "tool_name string"))
+    """Names that two providers' tools have in common, or that one has twice."""
+    tools = table(spark, sf_dir, "part").withColumnRenamed("p_name", "tool_name")
+    return policy.duplicate_tools(tools.where("p_partkey % 3 = 0"), tools.where("p_partkey % 5 = 0"))
 
 
-GUARDED = [("t1", "lookup", "finds bob@x.org"), ("t2", "lookup", "finds people"), ("t3", "call 10.0.0.1", "dials")]
+_GUARDED = "p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'call 10.0.0.1' ELSE p_name END AS name, CASE WHEN p_partkey % 3 = 0 THEN 'finds bob@x.org' ELSE p_type END AS description"
 
 
-@query(f"WITH {sql_values('v', 'id, name, description', GUARDED)} SELECT id, concat_ws(',', CASE WHEN regexp_matches(name, '@|[0-9]+[.][0-9]+') THEN 'name' END, CASE WHEN regexp_matches(description, '@|[0-9]+[.][0-9]+') THEN 'description' END) AS rejected FROM v")
+@query("SELECT p_partkey, concat_ws(',', CASE WHEN p_partkey % 4 = 0 THEN 'name' END, CASE WHEN p_partkey % 3 = 0 THEN 'description' END) AS rejected FROM part")
 def control_field_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P8."""
-    rows = values(spark, GUARDED, "id string, name string, description string")
-    return policy.guard_controls(rows, [RULES], ["name", "description"], "id").select("id", F.array_join("rejected", ",").alias("rejected"))
+    """Personal data in a tool's name or description."""
+    rows = table(spark, sf_dir, "part").selectExpr(*_GUARDED.split(", "))
+    return policy.guard_controls(rows, [RULES], ["name", "description"], "p_partkey").select("p_partkey", F.array_join("rejected", ",").alias("rejected"))
 
 
 @query(f"""{WITH_EV}, d AS (SELECT doc_id, doc_id IN (SELECT doc_id FROM resolved) AS hit FROM documents)
@@ -443,19 +458,19 @@ KEYS = ["mode", "language", "minimum-score", "failure-policy", "primary-provider
 TYPOS = [("mod",), ("mdoe",), ("langauge",), ("minimum-scores",), ("failurepolicy",), ("nothing-like-it",), ("primary-providers",)]
 
 
-@query(f"""WITH {sql_values('k', 'name', [(k,) for k in KEYS])}, {sql_values('t', 'input', TYPOS)},
+@query(f"""WITH {sql_values('k', 'name', [(k,) for k in KEYS])}, {_picked_sql('input', TYPOS)}, t AS (SELECT input, count(*) AS n_settings FROM v GROUP BY input),
 d AS (SELECT input, name, levenshtein(input, name) AS dist FROM t, k), m AS (SELECT *, min(dist) OVER (PARTITION BY input) AS least FROM d),
 b AS (SELECT input, min(name) AS name, count(*) AS n, min(dist) AS dist FROM m WHERE dist = least GROUP BY input)
-SELECT input, CASE WHEN n = 1 AND dist <= CASE WHEN length(name) <= 4 THEN 1 WHEN length(name) <= 8 THEN 3 ELSE 4 END THEN name END AS suggestion FROM b""")
+SELECT input, CASE WHEN n = 1 AND dist <= CASE WHEN length(name) <= 4 THEN 1 WHEN length(name) <= 8 THEN 3 ELSE 4 END THEN name END AS suggestion, n_settings FROM b JOIN t USING (input)""")
 def config_typo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G4, over a table of settings (as many candidate pairs as settings times known names)."""
     names = F.array(*(F.lit(k) for k in KEYS))
-    rows = values(spark, TYPOS, "input string")
+    rows = _picked(spark, sf_dir, TYPOS, "input").groupBy("input").agg(F.count("*").alias("n_settings"))
     near = F.array_sort(F.transform(names, lambda n: F.struct(F.levenshtein(F.col("input"), n).alias("distance"), n.alias("name"))))
     rows = rows.withColumn("near", near)
     first, second = F.col("near")[0], F.col("near")[1]
     limit = F.when(F.length(first["name"]) <= 4, typo_limit(4)).when(F.length(first["name"]) <= 8, typo_limit(8)).otherwise(typo_limit(9))
-    return rows.select("input", F.when((first["distance"] < second["distance"]) & (first["distance"] <= limit), first["name"]).alias("suggestion"))
+    return rows.select("input", F.when((first["distance"] < second["distance"]) & (first["distance"] <= limit), first["name"]).alias("suggestion"), "n_settings")
 
 
 # --- streams ---------------------------------------------------------------------------------------------------
@@ -495,15 +510,16 @@ def stream_idle_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fr.idle_gaps(table(spark, sf_dir, "events"), "user_id", "ts", 3600)
 
 
-FRAGMENTS = [(1, 0, "ab"), (1, 1, "abc"), (1, 2, "abc"), (1, 3, "x"), (2, 0, ""), (2, 1, "q"), (2, 2, "rs"), (3, 0, "long"), (3, 1, "lo"), (4, 0, None)]
-
-
-@query(f"WITH {sql_values('v', 'id, merged', [(1, 'abcx'), (2, 'qrs'), (3, 'long'), (4, '')])} SELECT id, merged FROM v")
+@query("""WITH c AS (SELECT DISTINCT conv_id, turn FROM conversations), l AS (SELECT conv_id, max(turn) AS most FROM c GROUP BY conv_id)
+SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN string_agg(turn || ';', '' ORDER BY turn) ELSE repeat('ab', (most + 1)::INT) END AS merged FROM c JOIN l USING (conv_id) GROUP BY conv_id, most""")
 def stream_merge_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cumulative and delta fragments."""
-    rows = values(spark, FRAGMENTS, "id int, seq int, part string")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "part"))), lambda x: x["part"])
-    return rows.groupBy("id").agg(fr.merge_fragments(ordered).alias("merged"))
+    """Fragments that repeat what came before (and now and then less of it), and fragments that go on."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn").distinct()
+    part = F.when(F.col("conv_id") % 2 == 0, F.concat(F.col("turn").cast("string"), F.lit(";"))).otherwise(F.expr("repeat('ab', cast(turn + 1 as int))"))
+    late = rows.where("conv_id % 2 = 1 and turn = 0").select("conv_id", F.lit(10_000).cast("long").alias("turn"), F.lit("ab").alias("part"))
+    frames = rows.withColumn("part", part).unionByName(late)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", "part"))), lambda x: x["part"])
+    return frames.groupBy("conv_id").agg(fr.merge_fragments(ordered).alias("merged"))
 
 
 # --- evaluation ------------------------------------------------------------------------------------------------
