@@ -8,8 +8,9 @@ can supply, a shortage reaches an ancestor's siblings only when its own siblings
 A leaf takes whole passes while its budget lasts, then a prefix of one seeded pass: documents in the order of a
 digest of (seed, pass, doc_id, text) until the budget is used; of the last document a prefix of its tokens.
 
-Scale: token sums are grouped by leaf, then by leaf and 4096 ranges of the digest; only the one range in which a
-leaf's prefix ends is put in order, so a leaf that holds a third of all rows never is. The cut of each leaf is a
+Scale: token sums are grouped by leaf, then by leaf and 4096 ranges of the digest. The one range in which a leaf's prefix
+ends is found digit by digit (16 sums a leaf at a time), and only its documents are put in order, so a leaf that holds a
+third of all rows never is. The cut of each leaf is a
 digest, and rows are kept by comparing with it: texts are never shuffled.
 
 Defined cases: null domain, lang or source is a value ``(none)`` of its own; null text has no tokens; documents
@@ -110,6 +111,21 @@ def budgets(supply: DataFrame, mix: Mix) -> DataFrame:
     return level.join(supply, columns).select(*columns, "tokens", "budget", F.expr("cast(case when tokens > 0 then budget div tokens else 0 end as int)").alias("passes"), F.expr("case when tokens > 0 then budget % tokens else 0 end").alias("rest"))
 
 
+def last_ranges(sums: DataFrame, columns: list[str]) -> DataFrame:
+    """Of the digest ranges (columns, rest, range, n) of each leaf, the one in which its rest is used up, with ``before``,
+    the tokens of earlier ones. It is found digit by digit, so no window holds more than 16 rows of a leaf."""
+    inside = sums.withColumn("before", F.lit(0).cast("long"))
+    for digits in range(1, DIGITS + 1):
+        wide = F.substring("range", 1, digits)
+        steps = inside.groupBy(*columns, "rest", "before", wide.alias("range")).agg(F.sum("n").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy(*columns).orderBy("range"))
+        steps = steps.withColumn("before", F.col("before") + upto - F.col("n"))
+        last = steps.where("before < rest and rest <= before + n").select(*columns, "range", "before")
+        if digits < DIGITS:
+            inside = sums.withColumn("_wide", wide).join(last.withColumnRenamed("range", "_wide"), [*columns, "_wide"]).drop("_wide")
+    return last
+
+
 def mix_documents(docs: DataFrame, mix: Mix) -> DataFrame:
     """The rows of ``docs`` that are taken, as struct _row, once for each pass; with _epoch, _taken (tokens of it), _n and
     the leaf."""
@@ -119,10 +135,8 @@ def mix_documents(docs: DataFrame, mix: Mix) -> DataFrame:
     leaves = materialize(budgets(small.groupBy(*columns).agg(F.sum("_n").alias("tokens")), mix), "op8-leaves")
     ordered = small.join(leaves.where("rest > 0").select(*columns, "passes", "rest"), columns).withColumn("key", _key(mix, F.col("passes")))
     part = F.substring("key", 1, DIGITS).alias("range")
-    ranges = ordered.groupBy(*columns, "rest", part).agg(F.sum("_n").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(*columns).orderBy("range"))
-    last = ranges.withColumn("before", upto - F.col("n")).where("before < rest and rest <= before + n").select(*columns, "range", "before")
-    last = materialize(last, "op8-ranges")
+    sums = materialize(ordered.groupBy(*columns, "rest", part).agg(F.sum("_n").alias("n")), "op8-sums")
+    last = materialize(last_ranges(sums, columns), "op8-ranges")
     ending = ordered.withColumn("range", F.substring("key", 1, DIGITS)).join(last, [*columns, "range"])
     sums = ending.groupBy(*columns, "rest", "before", "key").agg(F.sum("_n").alias("n"))
     start = F.col("before") + F.sum("n").over(Window.partitionBy(*columns).orderBy("key")) - F.col("n")

@@ -225,6 +225,23 @@ def test_weight_zero_leaves_a_node_out(spark):
             op8.Mix(**bad)
 
 
+def test_last_range_of_each_leaf(spark):
+    rng = random.Random(3)
+    rows = {(leaf, f"{k:03x}"): rng.choice([0, 1, 50]) for leaf in range(40) for k in sorted(rng.sample(range(4096), rng.choice([1, 5, 300])))}
+    total = Counter()
+    for (leaf, _), n in rows.items():
+        total[leaf] += n
+    rest = {leaf: rng.choice([1, max(1, n // 2), max(1, n), n + 1]) for leaf, n in total.items()}
+    want, upto = {}, Counter()
+    for (leaf, at), n in sorted(rows.items()):
+        if upto[leaf] < rest[leaf] <= upto[leaf] + n:
+            want[leaf] = (at, upto[leaf])
+        upto[leaf] += n
+    df = spark.createDataFrame([(str(leaf), rest[leaf], at, n) for (leaf, at), n in rows.items()], "leaf string, rest long, range string, n long")
+    got = op8.last_ranges(df, ["leaf"]).collect()
+    assert {int(r.leaf): (r.range, r.before) for r in got} == want and len(got) == len(want)
+
+
 @pytest.mark.parametrize("mix", [op8.Mix(), op8.Mix(percent=80, epochs=1), op8.Mix(percent=170, epochs=3, seed=1)])
 def test_prefix_of_each_leaf(spark, mix):
     docs = documents(spark)
