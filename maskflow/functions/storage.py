@@ -67,10 +67,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-#: Rows up to which a table of keys is broadcast by ``fitted``; beyond, the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Rows and bytes up to which a table is broadcast by ``fitted``; beyond either, the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 128 << 20
 
 
-def fitted(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if it has so few rows, as counted."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def fitted(df: DataFrame) -> DataFrame:
+    """``df``, a work table, with a broadcast hint if it is small. Rows and bytes (as JSON, no less than the values take)
+    are counted over all of it, so few rows with very many spans aren't sent whole to every executor."""
+    size = F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)))).cast("long")
+    rows, held = df.agg(F.count("*"), F.sum(size)).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and (held or 0) <= BROADCAST_BYTES else df

@@ -251,7 +251,7 @@ def _put_arrays(hits: DataFrame) -> DataFrame:
 def _put_back(df: DataFrame, named: DataFrame, key: str, session: str, text: str, strict: bool, out: str) -> DataFrame:
     """Rows of ``df`` with the replacements of ``named`` (_rid, _failed, _puts) in their payloads."""
     held = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), F.col(text).alias("_text"), F.when(F.col(text).isNotNull(), row_id(key, session, text)).alias("_rid"))
-    held = held.join(fitted(named, named.count()), "_rid", "left").withColumn("_new", put_scalars("_text", "_puts"))
+    held = held.join(fitted(named), "_rid", "left").withColumn("_new", put_scalars("_text", "_puts"))
     return _written(held, "_new.mode", F.col("_failed"), strict, out)
 
 

@@ -138,10 +138,10 @@ def _arrays(hits: DataFrame, fields: str, out: str) -> DataFrame:
 
 def apply_puts(df: DataFrame, hits: DataFrame, key: str, session: str, text: str, out: str) -> DataFrame:
     """Adds ``out``: ``text`` with the replacements of ``hits`` (_rid, start, end, put). Only the replacements move, as long
-    as the rows that have some are few enough to be broadcast; beyond, both sides are dealt by row id."""
+    as those are counted to be small enough to be broadcast; beyond, both sides are dealt by row id."""
     puts = materialize(_arrays(hits, "start end put", "_put"), "puts")
     some = F.when(F.contains(F.col(text), F.lit("[[PII_")), row_id(key, session, text))
-    joined = df.withColumn("_rid", some).join(fitted(puts, puts.count()), "_rid", "left")
+    joined = df.withColumn("_rid", some).join(fitted(puts), "_rid", "left")
     return joined.withColumn(out, F.when(F.col("_put").isNull(), F.col(text)).otherwise(replace_spans(F.col(text), F.col("_put")))).drop("_put", "_rid")
 
 
@@ -175,7 +175,7 @@ def tokenize_found(df: DataFrame, found: DataFrame, vault: DataFrame, key: str,
     filled = one.join(vault.select("session_id", "entity_type", "value_kind", "original", F.col("token").alias("put")), ["session_id", "entity_type", "value_kind", "original"])
     named = same.join(_arrays(filled, "start end put", "_put"), "_rid", "left")
     named = materialize(named.select("_rid", (F.col("_refused") | (F.col("_ways") != 1) | F.coalesce(F.size("_put") != F.col("_wanted"), F.lit(True))).alias("_refused"), "_put"), "puts")
-    joined = df.withColumn("_rid", F.when(F.col(text).isNotNull(), row_id(key, session, text))).join(fitted(named, named.count()), "_rid", "left")
+    joined = df.withColumn("_rid", F.when(F.col(text).isNotNull(), row_id(key, session, text))).join(fitted(named), "_rid", "left")
     value = F.when(F.col("_refused").isNull(), F.col(text)).when(~F.col("_refused"), replace_spans(F.col(text), F.col("_put")))
     return joined.withColumn(out, value).drop("_put", "_refused", "_rid")
 
@@ -212,7 +212,7 @@ def exclude_known_tokens(df: DataFrame, vault: DataFrame, session: str, key: str
     known = token_ranges(df, session, key, text).join(vault.select("session_id", "token"), ["session_id", "token"], "left_semi")
     arrays = materialize(_arrays(known, "start end", "_known"), "known")
     some = F.when(F.contains(F.col(text), F.lit("[[PII_")), row_id(key, session, text))
-    joined = df.withColumn("_rid", some).join(fitted(arrays, arrays.count()), "_rid", "left")
+    joined = df.withColumn("_rid", some).join(fitted(arrays), "_rid", "left")
     left = subtract_ranges(plain_spans(F.col(spans)), F.coalesce("_known", F.array().cast("array<struct<start:int,end:int>>")))
     return joined.withColumn(spans, F.when(F.col(spans).isNotNull(), left)).drop("_known", "_rid")
 

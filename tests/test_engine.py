@@ -599,3 +599,22 @@ def test_buffer_limits():
     frame = lambda k, text="", media=None: (k, 0, None, "DEFAULT", text, False, media)
     assert not buffer.over([frame(0, "ab"), frame(1, "cde"), frame(1)]) and buffer.over([frame(0, "ab"), frame(1, "cdef")])
     assert buffer.over([frame(k) for k in range(3)]) and buffer.over([frame(0, media=4), frame(1, media=6)]) and not buffer.over([frame(0, media=9)])
+
+
+def test_broadcasts_are_bounded_in_rows_and_bytes(spark, monkeypatch):
+    from maskflow.functions import storage
+
+    def hinted(df):
+        return "broadcast" in storage.fitted(df)._jdf.queryExecution().logical().toString()
+
+    few = spark.createDataFrame([("r1", [(0, 5, "x" * 3000)]), ("r2", None)], "_rid string, _put array<struct<start:int,end:int,put:string>>")
+    assert hinted(few) and hinted(few.limit(0))
+    monkeypatch.setattr(storage, "BROADCAST_BYTES", 2000)  # one row, many bytes
+    assert not hinted(few)
+    docs = spark.createDataFrame([(1, "s", "mail a@b.org " * 20), (2, "s", None), (3, "s", "none")], "doc_id long, session_id string, text string")
+    tokens, vault = rewrite.analyze_and_tokenize(docs, [RegexDetector(SAFE)], "session_id", "doc_id", ["doc_id"])
+    back = rewrite.detokenize(tokens, vault, "session_id", "doc_id", "tokenized").orderBy("doc_id").collect()
+    assert [(r["text"], r["restored"]) for r in back] == [(r["text"], r["text"]) for r in back] and "a@b.org" not in back[0]["tokenized"]
+    monkeypatch.setattr(storage, "BROADCAST_BYTES", 128 << 20)
+    monkeypatch.setattr(storage, "BROADCAST_ROWS", 1)
+    assert not hinted(few)
