@@ -283,6 +283,20 @@ def test_json_actions(spark):
     assert "821012345678]" in scoped and "Alice" not in scoped
 
 
+def test_a_lexeme_is_looked_at_once(spark, monkeypatch):
+    looked, plain = [], jsonval.plain_number
+    monkeypatch.setattr(jsonval, "plain_number", lambda x: looked.append(x) or plain(x))
+    text = '{"a": [' + "1e1, true, " * 9_000 + '2], "b": {"a": "[null]"}}'
+    assert jsonval._read(text) == ("json", None, [("string", "a"), ("number", "10"), ("number", "2"), ("string", "b"), ("string", "[null]")], False)
+    assert looked == ["1e1", "2"]
+    most = ["[" + "1, true, " * (n - 1) + "1]" for n in (100_000, 100_001)]
+    assert [jsonval._read(x)[1] for x in most] == [None, "PAYLOAD_LIMIT_EXCEEDED"]
+    twice = sessions(spark, ("s", '{"x": 1, "x": 2}'), ("s", '{"x": "Alice", "x": 2}'), ("s", '[{"x": 1}, {"x": 1}]'))
+    for action, settings in (("REDACT", {}), ("TOKENIZE", {"session": "session", "order": ["doc_id"]})):
+        got = jsonval.protect_json(twice, "doc_id", [PEOPLE], action, **settings)[0].orderBy("doc_id").collect()
+        assert [(r.payload, r.failure_code) for r in got] == [(None, "TRANSFORMATION_CONFLICT")] * 2 + [('[{"x": 1}, {"x": 1}]', None)]
+
+
 # --- policies --------------------------------------------------------------------------------------------------
 
 
