@@ -241,6 +241,27 @@ def test_no_language_is_left_out_silently(spark):
         op10.fit(docs, max_languages=3)
 
 
+def test_language_is_fitted_on_all_texts(tables):
+    docs = tables["documents"].select("doc_id", "text", "lang")
+    model, again = op10.fit(docs), op10.fit(docs.repartition(3), per_language=5)
+    assert model.languages == again.languages and (model.centroids == again.centroids).all() and model.bounds == again.bounds
+    rows = [r for r in docs.collect() if r.lang == "en" and any(map(str.isalpha, r.text or ""))]
+    x = op10.weigh(op10.features([r.text for r in rows])[0], model.idf)
+    own = model.centroids[[k == "en" for k in model.languages]]
+    near = (x @ own.T).argmax(1)
+    for j, c in enumerate(own):  # each centroid is the direction of all texts nearest to it
+        total = x[near == j].sum(0)
+        assert c == pytest.approx(total / np.linalg.norm(total), abs=1e-4)
+
+
+def test_bounds_are_exact_quantiles(spark):
+    rng = np.random.default_rng(1)
+    values = {k: rng.random(n).astype(np.float32) for k, n in ((3, 5000), (5, 1001), (10, 40))}
+    rows = [(k, int(b), 2) for k, v in values.items() for b in v.view(np.int32)]
+    got = op10._quantiles(spark.createDataFrame(rows, "letters int, bits int, n long"))
+    assert got == [(k, pytest.approx(np.quantile(np.repeat(values[k], 2).astype(float), op10.QUANTILE))) for k in (3, 5)]
+
+
 def test_noise_is_rejected(tables):
     model = op10.fit(tables["documents"], per_language=100)
     spark = tables["documents"].sparkSession
