@@ -84,16 +84,22 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    row, place = np.nonzero(counts)
-    return _weighed(row, place, counts[row, place], idf, len(counts))
+    at = np.flatnonzero(counts)
+    return _dense(at, _weights(at, counts.ravel()[at], idf, len(counts)), len(counts))
 
 
-def _weighed(row: np.ndarray, place: np.ndarray, n: np.ndarray, idf: np.ndarray, rows: int) -> np.ndarray:
-    value = np.log1p(n) * idf[place]
+def _weights(at: np.ndarray, n: np.ndarray, idf: np.ndarray, rows: int) -> np.ndarray:
+    """Weight of each n-gram, for its number of occurrences and row * DIM + place."""
+    row = at // DIM
+    value = np.log1p(n) * idf[at % DIM]
     norm = np.sqrt(np.bincount(row, value * value, rows))
-    x = np.zeros((rows, DIM), np.float32)
-    x[row, place] = value / np.where(norm > 0, norm, 1)[row]
-    return x
+    return (value / np.where(norm > 0, norm, 1)[row]).astype(np.float32)
+
+
+def _dense(at: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
+    x = np.zeros(rows * DIM, np.float32)
+    x[at] = value
+    return x.reshape(rows, DIM)
 
 
 @dataclass
@@ -140,8 +146,8 @@ def _bounds(rows: DataFrame, models: list[Model]) -> list[tuple[int, float]]:
                 for at in range(0, part.num_rows, 8):  # as many as fit a processor's cache
                     some = [(r["half"], c) for r in part.slice(at, 8).to_pylist() if r["lang"] in others[1 - r["half"]].languages for c in cuts(r["text"] or "")]
                     if some:
-                        x = features([text for _, (_, text) in some])[0]
-                        best = np.stack([(weigh(x, m.idf) @ m.centroids.T).max(1) for m in others])
+                        x = weigh(features([text for _, (_, text) in some])[0], others[0].idf)  # both halves have that of all texts
+                        best = np.stack([(x @ m.centroids.T).max(1) for m in others])
                         cosines.append(best[[1 - half for half, _ in some], np.arange(len(some))])
                         letters += [k for _, (k, _) in some]
                 if letters:  # positive floats sort as their bits do
@@ -206,13 +212,13 @@ def _pack(rows: DataFrame) -> DataFrame:
     return materialize(done.withColumn("seed", F.xxhash64("places", "counts")), "language-packed")
 
 
-def _unpack(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, place, count) of each n-gram of packed texts."""
+def _unpack(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(row * DIM + place, count) of each n-gram of packed texts."""
     bits = np.frombuffer(b"".join(rows.column("places").to_pylist()), np.uint8).reshape(rows.num_rows, DIM // 8)
-    row, place = np.nonzero(np.unpackbits(bits, axis=1))
-    held = np.bincount(row, minlength=rows.num_rows).tolist()
+    at = np.flatnonzero(np.unpackbits(bits.ravel()).view(bool))
+    held = np.bincount(at // DIM, minlength=rows.num_rows).tolist()
     counts = [np.frombuffer(c, np.uint8 if len(c) == k else np.uint32) for c, k in zip(rows.column("counts").to_pylist(), held, strict=True)]
-    return row, place, np.concatenate(counts).astype(np.float64)
+    return at, np.concatenate(counts).astype(np.float64)
 
 
 def _each(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -228,7 +234,7 @@ def document_idf(packed: DataFrame) -> np.ndarray:
         seen, df = 0, np.zeros(DIM, np.int64)
         for rows in _each(batches):
             seen += rows.num_rows
-            df += np.bincount(_unpack(rows)[1], minlength=DIM)
+            df += np.bincount(_unpack(rows)[0] % DIM, minlength=DIM)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, DIM)), pa.array(np.concatenate([[seen], df]))], names=["place", "n"])
 
     sums = packed.select("places", "counts").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
@@ -261,14 +267,14 @@ def _seeds(packed: DataFrame, k: int, idf: np.ndarray) -> list[tuple[list[str],
     vectors = {}
     for r in texts:
         one = pa.RecordBatch.from_pylist([{"places": bytes(r["places"]), "counts": bytes(r["counts"])}])
-        vectors[r["seed"]] = _weighed(*_unpack(one), idf, 1)[0]
+        at, n = _unpack(one)
+        vectors[r["seed"]] = _dense(at, _weights(at, n, idf, 1), 1)[0]
     return [([lang for lang, _ in group], np.array([vectors[x] for _, x in group], np.float32).reshape(-1, DIM)) for group in chosen]
 
 
 def _moved(packed: DataFrame, groups: list[tuple[list[str], np.ndarray]], idf: np.ndarray) -> dict[int, np.ndarray]:
     """Sums of the vectors nearest to each centroid of their language, by number over all groups; one pass over all texts."""
     held = packed.sparkSession.sparkContext.broadcast(pickle.dumps((groups, idf)))
-    first = [0, len(groups[0][0]), len(groups[0][0]) + len(groups[1][0])]
     schema = "cell int, sums binary"
 
     def table(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
@@ -276,19 +282,21 @@ def _moved(packed: DataFrame, groups: list[tuple[list[str], np.ndarray]], idf: n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, weights = pickle.loads(held.value)
-        sums: dict[int, np.ndarray] = {}
+        names = np.array([n for g, _ in own for n in g], object)
+        means = np.concatenate([m for _, m in own])
+        group = np.repeat([0, 1, 2], [len(g) for g, _ in own])
+        total, seen = np.zeros(len(names) * DIM), np.zeros(len(names), np.int64)
         for rows in _each(batches):
-            x = _weighed(*_unpack(rows), weights, rows.num_rows)
-            whole = np.rint(x.astype(np.float64) * (1 << 24))
+            at, n = _unpack(rows)
+            value = _weights(at, n, weights, rows.num_rows)
+            whole = np.rint(value.astype(np.float64) * (1 << 24))
             lang, half = np.array(rows.column("lang").to_pylist(), object), np.array(rows.column("half"))
-            for g, (names, means) in enumerate(own):
-                mine = np.flatnonzero(half == g) if g < 2 else np.arange(len(half))
-                if len(mine):
-                    near = np.where(lang[mine, None] == np.array(names, object)[None], x[mine] @ means.T, -np.inf).argmax(1)
-                    for j in np.unique(near).tolist():
-                        add = whole[mine[near == j]].sum(0)
-                        sums[first[g] + j] = sums[first[g] + j] + add if first[g] + j in sums else add
-        yield table(sums)
+            cosine = np.where(lang[:, None] == names[None], _dense(at, value, rows.num_rows) @ means.T, -np.inf)
+            for other in (group == 2, group[None] == half[:, None]):
+                near = np.where(other, cosine, -np.inf).argmax(1)
+                total += np.bincount(near[at // DIM] * DIM + at % DIM, whole, len(total))
+                seen += np.bincount(near, minlength=len(seen))
+        yield table({int(j): total[j * DIM : (j + 1) * DIM] for j in np.flatnonzero(seen)})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
